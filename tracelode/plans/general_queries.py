@@ -1 +1,89 @@
+"""Queries of the general operators over the driver's tables, and SQL where it can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracelode.operators import faults, grid, intervals, packed, units
+
 QUERIES, ORACLE = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+@query("p1_found")
+def _(spark, sf):
+    return packed.unpack(_table(spark, sf, "recordings"), "file_id", ["patient_id", "recording_id"])
+
+
+def _units(spark, sf):
+    return units.harmonise(
+        _table(spark, sf, "signals"), _table(spark, sf, "recordings"), _table(spark, sf, "unit_ref"),
+        "file_id", "signal_index", ["site", "equipment"], "physical_dimension", "physical_min", "physical_max", ["label", "transducer", "prefiltering"],
+    )
+
+
+@query("p2_found")
+def _(spark, sf):
+    return _units(spark, sf).where("source = 'stated' and not is_common").select("file_id", "signal_index", "unit_id")
+
+
+@query("p2_common_ranges")
+def _(spark, sf):
+    return _units(spark, sf)
+
+
+def _grid(spark, sf):
+    return grid.regular_grid(_table(spark, sf, "record_onsets"), _table(spark, sf, "recordings"), "file_id", "onset", "record_duration_secs")
+
+
+P4_SLOTS = """WITH d AS (SELECT file_id, max(record_duration_secs) d FROM recordings WHERE record_duration_secs > 0 AND isfinite(record_duration_secs) GROUP BY 1),
+o AS (SELECT file_id, onset, min(onset) OVER (PARTITION BY file_id) t0 FROM record_onsets WHERE onset IS NOT NULL),
+s AS (SELECT file_id, CAST(floor((onset - t0) / d + 0.5) AS bigint) slot, onset FROM o JOIN d USING (file_id)),
+u AS (SELECT file_id, slot, min(onset) onset, count(*) n FROM s GROUP BY 1, 2),
+g AS (SELECT file_id, unnest(range(0, max(slot) + 1)) slot FROM u GROUP BY 1)
+"""
+
+
+@query("p4_found", P4_SLOTS + "SELECT file_id, slot FROM g ANTI JOIN u USING (file_id, slot)")
+def _(spark, sf):
+    return _grid(spark, sf).where("status <> 'observed'").select("file_id", "slot")
+
+
+@query("p4_grid", P4_SLOTS + "SELECT g.file_id, g.slot, coalesce(u.n, 0) AS n_readings, CASE WHEN u.n IS NULL THEN 'filled' ELSE 'observed' END AS status, p.onset AS prev_time, q.onset AS next_time FROM g LEFT JOIN u USING (file_id, slot) ASOF JOIN u p ON g.file_id = p.file_id AND g.slot >= p.slot ASOF JOIN u q ON g.file_id = q.file_id AND g.slot <= q.slot")
+def _(spark, sf):
+    return _grid(spark, sf).select("file_id", "slot", "n_readings", "status", "prev_time", "next_time")
+
+
+P6 = """WITH i AS (SELECT file_id, CAST(round(onset * 1000) AS bigint) s, CAST(round(onset * 1000) AS bigint) + CAST(round(duration * 1000) AS bigint) e FROM annotations WHERE duration > 0 AND onset IS NOT NULL),
+a AS (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM i WHERE s < e),
+b AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) k FROM a),
+p AS (SELECT file_id, k, min(s) s, max(e) e FROM b GROUP BY 1, 2),
+n AS (SELECT file_id, s, e, lead(s) OVER (PARTITION BY file_id ORDER BY s) x FROM p)
+SELECT file_id, 'period' AS kind, s AS start_ms, e AS end_ms FROM n UNION ALL SELECT file_id, 'gap', e, x FROM n WHERE x IS NOT NULL"""
+
+
+@query("p6_found", P6)
+def _(spark, sf):
+    # Not-a-number and infinite times cover nothing; bounds keep the milliseconds within bigint.
+    ms = lambda c: F.when(F.abs(c) < 9e15, F.round(c * 1000)).cast("long")
+    t = _table(spark, sf, "annotations").select("file_id", "onset", "duration").where("duration > 0 and not isnan(duration) and not isnan(onset)")
+    start = ms(F.col("onset"))
+    return intervals.merge(t, "file_id", start, start + ms(F.col("duration")))
+
+
+@query("p7_found")
+def _(spark, sf):
+    return faults.implausible(_table(spark, sf, "sample_snippets"), _table(spark, sf, "signals"), ["file_id", "signal_index"], "record_idx", "digital_first_10", "physical_first_10", "digital_min", "digital_max")
