@@ -7,7 +7,9 @@ characters allow is a candidate; the cheapest by minimum description length is u
   digits and blanks collapsed, other characters kept) is counted over all candidate parses
   of all rows, each parse weighing one over the number of the field's candidates;
 * a parse costs the sum of its values' code lengths (-log2 of the shape's share among the
-  shapes of that field name), plus the separators' names and the dialect's own index.
+  shapes of that field name, and ``MARK_BITS`` for each quote mark left at the edge of a word),
+  plus the separators' names and the dialect's own index;
+* the shapes are then counted again over the cheapest parses alone, and those counts decide.
 
 Counts are aggregated map-side by shape hash into a table of fixed size (2**16 cells for
 each field name), so what is sent to the tasks has a proven bound whatever the input.
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 SEPARATORS = ",;|^\t"
 QUOTES = "\"'"
 CELLS = 2**16
+MARK_BITS = 24.0
+_LOOSE = re.compile(r"(?<!\w)[\"']|[\"'](?!\w)")
 _SHAPE = (
     (re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "a"),
     (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"),
@@ -129,17 +133,42 @@ def _candidates(s: str):
         yield d, split(s, *d) or ([s], 0)
 
 
-def _count(batches):
-    for pdf in batches:
-        sums: dict[tuple[str, int], float] = {}
-        for name, text in zip(pdf["name"], pdf["text"]):
-            if s := unwrap(text):
-                every = list(_candidates(s))
-                for _, (values, _) in every:
-                    for v in values:
-                        key = (name, _cell(name, v))
-                        sums[key] = sums.get(key, 0.0) + 1.0 / len(every)
-        yield pd.DataFrame([(n, c, w) for (n, c), w in sums.items()], columns=["name", "cell", "weight"])
+def _cost(bits: np.ndarray, name: str, dialect: tuple[str, str], parsed: tuple[list[str], int]) -> float:
+    values, passed = parsed
+    code = sum(float(bits[_cell(name, v)]) + MARK_BITS * len(_LOOSE.findall(v)) for v in values)
+    return code + passed * np.log2((len(dialect[0]) or 1) + 1) + 6.0 * len(dialect[0]) + 2.0 * len(dialect[1])
+
+
+def _best(bits: np.ndarray, name: str, s: str) -> list[str]:
+    every = list(_candidates(s))
+    return (every[0] if len(every) == 1 else min(every, key=lambda c: _cost(bits, name, *c)))[1][0]
+
+
+def _counter(bits_b):
+    """Counts shapes over all candidate parses, or over the cheapest ones under given code lengths."""
+
+    def count(batches):
+        for pdf in batches:
+            sums: dict[tuple[str, int], float] = {}
+            for name, text in zip(pdf["name"], pdf["text"]):
+                if s := unwrap(text):
+                    parses = [_best(bits_b.value[name], name, s)] if bits_b else [values for _, (values, _) in _candidates(s)]
+                    for values in parses:
+                        for v in values:
+                            key = (name, _cell(name, v))
+                            sums[key] = sums.get(key, 0.0) + 1.0 / len(parses)
+            yield pd.DataFrame([(n, c, w) for (n, c), w in sums.items()], columns=["name", "cell", "weight"])
+
+    return count
+
+
+def _code_lengths(texts: DataFrame, fields: list[str], bits_b=None):
+    """Code length of each cell, as a broadcast: at most 2**16 cells for each field name reach the driver."""
+    counts = texts.select("name", "text").mapInPandas(_counter(bits_b), "name string, cell int, weight double").groupBy("name", "cell").agg(F.sum("weight").alias("w")).collect()
+    bits = {f: np.zeros(CELLS) for f in fields}
+    for r in counts:
+        bits[r["name"]][r["cell"]] = r["w"]
+    return texts.sparkSession.sparkContext.broadcast({f: -np.log2((b + 0.5) / (b.sum() + 0.5 * CELLS)).astype(np.float32) for f, b in bits.items()})
 
 
 def unpack(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -150,28 +179,14 @@ def unpack(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Very long fields are parsed whole. Further columns of df are ignored, whatever their names."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("p")
     texts = df.select(F.col(key).alias("key"), pairs).select("key", "p.name", "p.text").where(F.trim("text") != "").dropDuplicates()
-    # At most 2**16 cells for each field name reach the driver, and go to the tasks.
-    counts = texts.select("name", "text").mapInPandas(_count, "name string, cell int, weight double").groupBy("name", "cell").agg(F.sum("weight").alias("w")).collect()
-    bits = {f: np.zeros(CELLS) for f in fields}
-    for r in counts:
-        bits[r["name"]][r["cell"]] = r["w"]
-    bits = {f: -np.log2((b + 0.5) / (b.sum() + 0.5 * CELLS)).astype(np.float32) for f, b in bits.items()}
-    bits_b = df.sparkSession.sparkContext.broadcast(bits)
+    bits_b = _code_lengths(texts, fields, _code_lengths(texts, fields))
 
     def parse(batches):
-        tables = bits_b.value
-
-        def cost(name, s, d, values, passed):
-            kinds = len(d[0]) or 1
-            return float(sum(tables[name][_cell(name, v)] for v in values)) + passed * np.log2(kinds + 1) + 6.0 * len(d[0]) + 2.0 * len(d[1])
-
         for pdf in batches:
             rows = []
             for k, name, text in zip(pdf["key"], pdf["name"], pdf["text"]):
                 if s := unwrap(text):
-                    every = list(_candidates(s))
-                    best = every[0][1] if len(every) == 1 else min(every, key=lambda c: cost(name, s, c[0], *c[1]))[1]
-                    rows += [(k, name, i, v) for i, v in enumerate(best[0], 1) if v]
+                    rows += [(k, name, i, v) for i, v in enumerate(_best(bits_b.value[name], name, s), 1) if v]
             yield pd.DataFrame(rows, columns=["key", "field_name", "pos", "val"])
 
     kind = dict(df.dtypes)[key]
