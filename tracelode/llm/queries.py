@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelode.llm import canonical, runs
+from tracelode.llm import canonical, encode, runs
 
 QUERIES, ORACLE = {}, {}
 
@@ -33,3 +33,8 @@ def _(spark, sf):
 def _(spark, sf):
     m = canonical.map_values(_table(spark, sf, "signals"), _table(spark, sf, "channel_ref"), ["file_id", "signal_index"], ["label", "transducer"])
     return m.select("file_id", "signal_index", "field_name", "ref_id").distinct()
+
+
+@query("p8_ids")
+def _(spark, sf):
+    return encode.encode_table(_table(spark, sf, "documents"), "doc_id", "text", encode.tokenizer_path(spark, "byte_bpe_50k.tiktoken"))
