@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelode.llm import canonical, encode, runs
+from tracelode.llm import canonical, encode, leakage, runs
 
 QUERIES, ORACLE = {}, {}
 
@@ -38,3 +38,9 @@ def _(spark, sf):
 @query("p8_ids")
 def _(spark, sf):
     return encode.encode_table(_table(spark, sf, "documents"), "doc_id", "text", encode.tokenizer_path(spark, "byte_bpe_50k.tiktoken"))
+
+
+@query("p9_found")
+def _(spark, sf):
+    found = leakage.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"), "doc_id", "text", "lines", "item_id", "text")
+    return found.select("doc_id", "item_id")
