@@ -284,7 +284,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: st
     if size > MOST_ITEM_WORDS:
         raise ValueError(f"the items have {size} words; at most {MOST_ITEM_WORDS} are broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(Items(sorted({r.i: r.t for r in reversed(listed.orderBy("i", "t").collect())}.items())))
-    boxes = [F.transform(lines, lambda b, k=k: b[k].cast("double")).alias(k) if lines else F.lit(None).cast("array<double>").alias(k) for k in ("x0", "x1", "y0")]
+    edge = lambda k: F.transform(lines, lambda b: b[k].cast("double")) if lines else F.lit(None).cast("array<double>")
+    boxes = [edge(k).alias(k) for k in ("x0", "x1", "y0")]
     rows = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t"), *boxes).where("d is not null and t is not null")
 
     def run(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelode.llm import canonical, encode, leakage, runs
+from tracelode.llm import canonical, encode, leakage, mojibake, runs
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,3 +44,17 @@ def _(spark, sf):
 def _(spark, sf):
     found = leakage.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"), "doc_id", "text", "lines", "item_id", "text")
     return found.select("doc_id", "item_id")
+
+
+def _restored(spark, sf):
+    return mojibake.repair(_table(spark, sf, "documents"), "doc_id", "text", "lang")
+
+
+@query("p10_found")
+def _(spark, sf):
+    return _restored(spark, sf).select("doc_id").distinct()
+
+
+@query("p10_restored")
+def _(spark, sf):
+    return _restored(spark, sf)
