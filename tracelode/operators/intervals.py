@@ -4,8 +4,9 @@ Two-level merge, so that an entity may hold any share of the rows: intervals are
 into time shards of ``SHARD_MS``; pieces are reduced to one per (entity, shard, start) with
 the largest end before the shuffle, and merged within each shard. Shards that an interval
 covers wholly aren't written out one by one: only the first of them with the farthest last
-one is kept, at most one row for each shard. Coverage that touches a shard's edge, together
-with those spans, is then stitched per entity and coalesced; the rest is final.
+one is kept, at most one row for each shard, and what lies within them is dropped. Coverage that
+touches a shard's edge, together with those spans, is then stitched per entity and coalesced; the
+rest is final.
 """
 
 from __future__ import annotations
@@ -39,9 +40,14 @@ def merge(df: DataFrame, entity: str, start: Column, end: Column) -> DataFrame:
     pieces = iv.select("ent", F.explode(F.when(F.col("a") == F.col("b"), F.array(head)).otherwise(F.array(head, tail))).alias("p")).select("ent", "p.*")
     pieces = pieces.groupBy("ent", "shard", "s").agg(F.max("e").alias("e"))
     local = _islands(pieces, ["ent", "shard"])
-    edge = (F.col("s") == F.col("shard") * width) | (F.col("e") == (F.col("shard") + 1) * width)
-    # One pass over the shards; rows at an edge get a common key for stitching, the others a key of their own.
     spans = iv.where("b > a + 1").groupBy("ent", (F.col("a") + 1).alias("shard")).agg(F.max("b").alias("b"))
+    # Shards inside a span, by the farthest span begun so far: one row for each shard and span of an entity.
+    marks = local.select("ent", "shard").distinct().withColumn("b", F.lit(None).cast("long")).unionByName(spans)
+    reach = F.max("b").over(Window.partitionBy("ent").orderBy("shard"))
+    inside = marks.withColumn("reach", reach).where("b is null and reach > shard").select("ent", "shard")
+    local = local.join(inside, ["ent", "shard"], "left_anti")
+    edge = (F.col("s") == F.col("shard") * width) | (F.col("e") == (F.col("shard") + 1) * width)
+    # Coverage at an edge gets a common key for stitching, the rest a key of its own.
     spans = spans.select("ent", "shard", (F.col("shard") * width).alias("s"), (F.col("b") * width).alias("e"), F.lit(True).alias("edge"))
     parts = local.select("ent", "shard", "s", "e", edge.alias("edge")).unionByName(spans)
     home = F.when(F.col("edge"), F.lit(-(2**62))).otherwise(F.col("shard"))

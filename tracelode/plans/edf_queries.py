@@ -19,10 +19,14 @@ g AS (SELECT 655.35 / 65535.0::double gain, 0.0 - (655.35 / 65535.0::double) * (
 R2 = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) - 1 p, count(*) OVER (PARTITION BY l_returnflag) n FROM lineitem),
 l AS (SELECT l_returnflag f, p, p // 100 r, n // 100 nrec, CAST(round(l_quantity) AS bigint) q, CAST(round(l_discount * 100) AS bigint) d, CAST(round(l_tax * 100) AS bigint) t, CAST(l_linenumber AS bigint) ln FROM o WHERE p < n // 100 * 100)
 """
-NAME = F.regexp_extract("path", r"([^/]+)\.edf$", 1).alias("file")
 QUERIES, ORACLE = {}, {}
 
 
+def _file():
+    """A file's name without folder and extension."""
+    return F.regexp_extract("path", r"([^/]+)\.edf$", 1).alias("file")
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -50,7 +54,7 @@ def _value(spark, sf):
  CAST(256 * 5 AS bigint) AS header_bytes, CAST(362 AS bigint) AS record_size, 'X X X X' AS patient_id, 'Startdate X X X X' AS recording_id, strftime(min(t0), '%Y-%m-%d %H:%M:%S') AS start_datetime FROM events, m""")
 def _(spark, sf):
     r = _view(spark, sf, "r1", "recordings")
-    return r.select(NAME, "variant", "num_signals", "num_records", "record_duration", "duration", "header_bytes", "record_size", "patient_id", "recording_id", F.date_format("start_datetime", "yyyy-MM-dd HH:mm:ss").alias("start_datetime"))
+    return r.select(_file(), "variant", "num_signals", "num_records", "record_duration", "duration", "header_bytes", "record_size", "patient_id", "recording_id", F.date_format("start_datetime", "yyyy-MM-dd HH:mm:ss").alias("start_datetime"))
 
 
 @query("src_signals", R2 + """, n1 AS (SELECT count(*) // 10 n FROM events), n2 AS (SELECT f, max(nrec) n FROM l GROUP BY f),
@@ -61,7 +65,7 @@ SELECT file, CAST(i AS int) AS signal_idx, label, CAST(spr AS bigint) AS samples
  spr / d::double AS sample_rate, CAST(n * spr AS bigint) AS num_samples, CAST(bo AS bigint) AS byte_offset, ann AS is_annotation FROM u""")
 def _(spark, sf):
     s = read_edf(spark, staged(spark, sf, "r1") + staged(spark, sf, "r2"), "signals")
-    return s.select(NAME, "signal_idx", "label", "samples_per_record", "gain", "offset", "sample_rate", "num_samples", "byte_offset", "is_annotation")
+    return s.select(_file(), "signal_idx", "label", "samples_per_record", "gain", "offset", "sample_rate", "num_samples", "byte_offset", "is_annotation")
 
 
 @query("src_chunks_sum", R1 + """, x AS (SELECT r, 0 i, dg d FROM e UNION ALL SELECT r, 1, user_id FROM e UNION ALL SELECT r, 2, k FROM rec)
@@ -91,12 +95,12 @@ def _(spark, sf):
 
 @query("flt_ordinary", "SELECT f AS file, CAST(i AS int) AS signal_idx FROM (SELECT unnest(['A', 'N', 'R']) f), (SELECT unnest([0, 1, 2, 3]) i) UNION ALL SELECT 'events', CAST(unnest([0, 1, 2]) AS int)")
 def _(spark, sf):
-    return sp.ordinary(read_edf(spark, staged(spark, sf, "r1") + staged(spark, sf, "r2"), "signals")).select(NAME, "signal_idx")
+    return sp.ordinary(read_edf(spark, staged(spark, sf, "r1") + staged(spark, sf, "r2"), "signals")).select(_file(), "signal_idx")
 
 
 @query("flt_signal_by_label", "SELECT 'events' AS file, CAST(0 AS int) AS signal_idx, CAST(count(*) // 10 * 10 AS bigint) AS num_samples FROM events")
 def _(spark, sf):
-    return sp.by_label(_view(spark, sf, "r1", "signals"), "value").select(NAME, "signal_idx", "num_samples")
+    return sp.by_label(_view(spark, sf, "r1", "signals"), "value").select(_file(), "signal_idx", "num_samples")
 
 
 @query("idx_point", R1 + "SELECT event_id AS sample_idx, CAST(dg AS bigint) AS digital, dg::double * gain + off AS physical FROM e, g WHERE event_id = 17")
@@ -176,14 +180,14 @@ def _(spark, sf):
 
 @query("page_fleet", R2 + ", x AS (SELECT f, 0 i, p si, q v FROM l UNION ALL SELECT f, 1, p, d FROM l UNION ALL SELECT f, 2, p // 2, t FROM l WHERE p % 2 = 0 UNION ALL SELECT f, 3, p, ln FROM l) SELECT f AS file, CAST(i AS int) AS signal_idx, CAST(si AS bigint) AS sample_idx, v AS value FROM x WHERE si >= CASE WHEN i = 2 THEN 75 ELSE 150 END AND si < CASE WHEN i = 2 THEN 175 ELSE 350 END")
 def _(spark, sf):
-    return sp.read_page(_view(spark, sf, "r2", "chunks"), None, 1.5, 3.5).select(NAME, "signal_idx", "sample_idx", F.col("digital").cast("long").alias("value"))
+    return sp.read_page(_view(spark, sf, "r2", "chunks"), None, 1.5, 3.5).select(_file(), "signal_idx", "sample_idx", F.col("digital").cast("long").alias("value"))
 
 
 @query("fleet_totals", R2 + ", x AS (SELECT f, 0 i, q v FROM l UNION ALL SELECT f, 1, d FROM l UNION ALL SELECT f, 2, t FROM l WHERE p % 2 = 0 UNION ALL SELECT f, 3, ln FROM l) SELECT f AS file, CAST(i AS int) AS signal_idx, CAST(sum(v) AS bigint) AS total, CAST(count(*) AS bigint) AS n FROM x GROUP BY f, i")
 def _(spark, sf):
     c = _view(spark, sf, "r2", "chunks")
     part = c.select("path", "signal_idx", F.aggregate("digital", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"), F.size("digital").alias("k"))
-    return part.groupBy(NAME, "signal_idx").agg(F.sum("t").alias("total"), F.sum("k").alias("n"))
+    return part.groupBy(_file(), "signal_idx").agg(F.sum("t").alias("total"), F.sum("k").alias("n"))
 
 
 @query("true_time_window", R1 + ", x AS (SELECT event_id, (ron - s) + o / 1.0 t FROM e JOIN rec USING (r), s0) SELECT event_id AS sample_idx, t AS time_sec FROM x WHERE t >= 86400 AND t < 172800")
@@ -199,19 +203,19 @@ def _(spark, sf):
 @query("rate_groups", "SELECT f AS file, CAST(h AS bigint) AS rate_hz, CAST(i AS int) AS signal_idx FROM (VALUES ('events', 1, 0), ('events', 1, 1), ('events', 0, 2), ('A', 100, 0), ('A', 100, 1), ('A', 100, 3), ('A', 50, 2), ('N', 100, 0), ('N', 100, 1), ('N', 100, 3), ('N', 50, 2), ('R', 100, 0), ('R', 100, 1), ('R', 100, 3), ('R', 50, 2)) v(f, h, i)")
 def _(spark, sf):
     g = sp.rate_groups(read_edf(spark, staged(spark, sf, "r1") + staged(spark, sf, "r2"), "signals"))
-    return g.select(NAME, "rate_hz", F.explode("signal_indices").alias("signal_idx"))
+    return g.select(_file(), "rate_hz", F.explode("signal_indices").alias("signal_idx"))
 
 
 @query("proxy_shape", R2 + "SELECT f AS file, CAST(3 AS bigint) AS n_signals, CAST(max(nrec) * 100 AS bigint) AS n_samples, false AS mixed FROM l GROUP BY f UNION ALL SELECT 'events', CAST(2 AS bigint), CAST(count(*) // 10 * 10 AS bigint), false FROM events")
 def _(spark, sf):
     a = _view(spark, sf, "r1", "signals").where("signal_idx in (0, 1)")
     b = _view(spark, sf, "r2", "signals").where("signal_idx in (0, 1, 3)")
-    return sp.proxy_shape(a.unionByName(b)).select(NAME, "n_signals", "n_samples", "mixed")
+    return sp.proxy_shape(a.unionByName(b)).select(_file(), "n_signals", "n_samples", "mixed")
 
 
 @query("proxy_mixed", "SELECT unnest(['A', 'N', 'R']) AS file, true AS mixed")
 def _(spark, sf):
-    return sp.proxy_shape(sp.ordinary(_view(spark, sf, "r2", "signals"))).select(NAME, "mixed")
+    return sp.proxy_shape(sp.ordinary(_view(spark, sf, "r2", "signals"))).select(_file(), "mixed")
 
 
 def _rect(spark, sf, wanted, a, b):
@@ -275,7 +279,7 @@ def _(spark, sf):
 
 @query("uniform_onsets", R2 + "SELECT DISTINCT f AS file, r AS record_idx, r * 1.0::double AS onset FROM l")
 def _(spark, sf):
-    return ev.record_onsets(_view(spark, sf, "r2", "tals")).select(NAME, "record_idx", "onset")
+    return ev.record_onsets(_view(spark, sf, "r2", "tals")).select(_file(), "record_idx", "onset")
 
 
 @query("onset_gap_check", R1 + ", x AS (SELECT r, ron - lag(ron) OVER (ORDER BY r) gap FROM rec) SELECT CAST(count(*) AS bigint) AS faults FROM x WHERE gap < 9.999")
@@ -296,25 +300,25 @@ def _(spark, sf):
 
 @query("meta_dates")
 def _(spark, sf):
-    return _view(spark, sf, "r3", "recordings").select(NAME, F.col("start_datetime").cast("string").alias("start"), "start_datetime_raw", "variant", "num_records_raw", "num_records", "duration")
+    return _view(spark, sf, "r3", "recordings").select(_file(), F.col("start_datetime").cast("string").alias("start"), "start_datetime_raw", "variant", "num_records_raw", "num_records", "duration")
 
 
 @query("meta_patient")
 def _(spark, sf):
-    return _view(spark, sf, "r3", "recordings").select(NAME, "patient.*", F.col("recording.start_date").alias("start_date"), F.col("recording.admin_code").alias("admin_code"), F.col("recording.technician").alias("technician"), F.col("recording.equipment").alias("equipment"), F.col("recording.additional").alias("recording_additional"))
+    return _view(spark, sf, "r3", "recordings").select(_file(), "patient.*", F.col("recording.start_date").alias("start_date"), F.col("recording.admin_code").alias("admin_code"), F.col("recording.technician").alias("technician"), F.col("recording.equipment").alias("equipment"), F.col("recording.additional").alias("recording_additional"))
 
 
 @query("tal_edge_cases")
 def _(spark, sf):
-    return ev.annotations(_view(spark, sf, "r3", "tals")).select(NAME, "ann_idx", "onset", "duration", "text")
+    return ev.annotations(_view(spark, sf, "r3", "tals")).select(_file(), "ann_idx", "onset", "duration", "text")
 
 
 @query("truncated_file")
 def _(spark, sf):
-    return ev.warnings(_view(spark, sf, "r3", "recordings"), _view(spark, sf, "r3", "tals")).select(NAME, "seq", "stage", "message")
+    return ev.warnings(_view(spark, sf, "r3", "recordings"), _view(spark, sf, "r3", "tals")).select(_file(), "seq", "stage", "message")
 
 
 @query("edge_samples")
 def _(spark, sf):
     rows = sp.read_range(_view(spark, sf, "r3", "chunks").where("not is_annotation"), 0, 2**62)
-    return sp.with_times(rows, ev.record_onsets(_view(spark, sf, "r3", "tals"))).select(NAME, "signal_idx", "sample_idx", "physical", F.col("time_sec").cast("string").alias("time_sec"))
+    return sp.with_times(rows, ev.record_onsets(_view(spark, sf, "r3", "tals"))).select(_file(), "signal_idx", "sample_idx", "physical", F.col("time_sec").cast("string").alias("time_sec"))
