@@ -118,7 +118,8 @@ class Items:
         self.words, self.keys, self.lost, self.places, self.folded = [], [], [], [], []
         windows, item_of, at = [], [], []
         for k, (_, text) in enumerate(rows):
-            kept = [(*x, i) for i, x in enumerate(map(plain, (text or "").split())) if x[0]]
+            chunks = [c for c in (text or "").split() if any(x.isalnum() for x in c)]
+            kept = [(*x, i) for i, x in enumerate(map(plain, chunks)) if x[0]]
             self.words.append([x[0] for x in kept])
             self.keys.append([x[1] for x in kept])
             self.lost.append([x[2] for x in kept])
