@@ -78,3 +78,48 @@ def day(text: Column) -> Column:
     fits = text.rlike(r"^\+?[0-9]+-[A-Za-z]{3}-\+?[0-9]+$") & (month > 0)
     iso = F.format_string("%04d-%02d-%02d", F.get(p, F.lit(2)).try_cast("int"), month, F.get(p, F.lit(0)).try_cast("int"))
     return F.when(fits, iso.try_cast("date"))
+
+
+def _tokens(text: Column) -> Column:
+    return F.split(clean(text), r"\s+")
+
+
+def _token(tokens: Column, i: int) -> Column:
+    return F.get(tokens, F.lit(i))
+
+
+def _spaced(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit(" "))
+
+
+def _rest(tokens: Column, start: int) -> Column:
+    """Tokens from the start-th on (from 0), joined; null if there are none."""
+    return F.when(F.size(tokens) > start, _spaced(F.array_join(F.slice(tokens, start + 1, F.greatest(F.size(tokens) - start, F.lit(0))), " ")))
+
+
+def _unless_unknown(token: Column, value: Column) -> Column:
+    return F.when(F.upper(token) != "X", value)
+
+
+def patient(text: Column) -> Column:
+    """Struct of patient_id's subfields; all null with fewer than four."""
+    t = _tokens(text)
+    sex, born = F.upper(_token(t, 1)), _token(t, 2)
+    fields = {
+        "code": known(_token(t, 0)), "sex": F.when(sex.isin("M", "F"), sex), "birthdate": _unless_unknown(born, day(born)),
+        "birthdate_raw": F.when(day(born).isNull(), _unless_unknown(born, born)), "name": known(_token(t, 3)), "additional": _rest(t, 4),
+    }
+    fields["name"] = _spaced(fields["name"])
+    return F.struct(*[F.when(F.size(t) >= 4, c).alias(n) for n, c in fields.items()])
+
+
+def recording(text: Column) -> Column:
+    """Struct of recording_id's subfields; all null unless it begins with Startdate and has five at least."""
+    t = _tokens(text)
+    date = _token(t, 1)
+    fits = (F.size(t) >= 5) & (F.lower(_token(t, 0)) == "startdate")
+    fields = {
+        "start_date": _unless_unknown(date, day(date)), "start_date_raw": F.when(day(date).isNull(), _unless_unknown(date, date)), "admin_code": known(_token(t, 2)),
+        "technician": _spaced(known(_token(t, 3))), "equipment": _spaced(known(_token(t, 4))), "additional": _rest(t, 5),
+    }
+    return F.struct(*[F.when(fits, c).alias(n) for n, c in fields.items()])

@@ -62,13 +62,21 @@ def _value(quotes: str) -> re.Pattern:
     return re.compile(rf"[ ]*(?:{forms})" if forms else r"(?!)")
 
 
+@lru_cache(maxsize=1024)
+def _separators(separators: str) -> tuple[re.Pattern, re.Pattern]:
+    """(what ends a value, separators that the dialect doesn't have)."""
+    slash = r"(?:(?<=\s)|^)/(?=\s|$)"
+    ends = [*(re.escape(c) for c in separators if c != "/"), *([slash] if "/" in separators else [])] or ["[ ]+"]
+    others = ["[" + re.escape("".join(c for c in SEPARATORS if c not in separators) or "\0") + "]", *([] if "/" in separators else [slash])]
+    return re.compile("|".join(ends)), re.compile("|".join(others))
+
+
 def split(s: str, separators: str, quotes: str) -> tuple[list[str], int] | None:
     """(values with their places, separators passed), or None if a separator that isn't in the dialect stands outside quotes."""
     blank = not separators
     out, at, n, passed = [], 0, len(s), 0
     opening = _value(quotes)
-    ends = re.compile(r"[ ]+" if blank else "|".join([*(re.escape(c) for c in separators if c != "/"), *([r"(?:(?<=\s)|^)/(?=\s|$)"] if "/" in separators else [])]))
-    foreign = re.compile("[" + re.escape("".join(c for c in SEPARATORS if c not in separators) or "\0") + "]" + ("" if "/" in separators else r"|(?:(?<=\s)|^)/(?=\s|$)"))
+    ends, foreign = _separators(separators)
     while True:
         m = opening.match(s, at)
         if m:
@@ -100,15 +108,28 @@ def _bare(foreign: re.Pattern, s: str, start: int, end: int) -> bool:
     return any(start <= m.start() < end for m in foreign.finditer(s))
 
 
+_MARK = {q: re.compile(rf"(?:^|[\s{re.escape(SEPARATORS)}]){q}") for q in QUOTES}
+_SLASH = re.compile(r"(?:\s|^)/(?:\s|$)")
+
+
 def dialects(s: str) -> list[tuple[str, str]]:
-    """Candidate dialects of a field: each set of its quote marks with each set of its separators, as far as they parse it."""
-    marks = [q for q in QUOTES if re.search(rf"(?:^|[\s{re.escape(SEPARATORS)}]){q}", s)]
-    seps = [c for c in SEPARATORS if c in s] + (["/"] if re.search(r"(?:\s|^)/(?:\s|$)", s) else [])
+    """Candidate dialects of a field: each set of its quote marks with each set of its separators, as far as they parse it.
+
+    A separator before the first or behind the last quote mark of a kind can't be inside quotes, so all candidates have it."""
+    marks = [q for q in QUOTES if q in s and _MARK[q].search(s)]
+    seps = [c for c in SEPARATORS if c in s] + (["/"] if "/" in s and _SLASH.search(s) else [])
+    if not marks:
+        return [("".join(seps), "")]
+    first, last = min(s.index(q) for q in marks), max(s.rindex(q) for q in marks)
+    outer = s[:first] + "\0" + s[last + 1 :]
+    must = [c for c in seps if (c in outer if c != "/" else _SLASH.search(outer))]
+    may = [c for c in seps if c not in must]
     found = []
     for k in range(len(marks), -1, -1):
         for qs in itertools.combinations(marks, k):
-            for j in range(len(seps) + 1):
-                for ss in itertools.combinations(seps, j):
+            for j in range(len(may) + 1):
+                for some in itertools.combinations(may, j):
+                    ss = [c for c in seps if c in must or c in some]
                     d = ("".join(ss), "".join(qs))
                     if (parsed := split(s, *d)) is not None and parsed[1] >= len(ss):
                         found.append(d)

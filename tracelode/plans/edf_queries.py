@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracelode.functions import columns as fc
 from tracelode.functions.edf_bytes import read_header
 from tracelode.operators import events as ev
 from tracelode.operators import samples as sp
@@ -322,3 +323,43 @@ def _(spark, sf):
 def _(spark, sf):
     rows = sp.read_range(_view(spark, sf, "r3", "chunks").where("not is_annotation"), 0, 2**62)
     return sp.with_times(rows, ev.record_onsets(_view(spark, sf, "r3", "tals"))).select(_file(), "signal_idx", "sample_idx", "physical", F.col("time_sec").cast("string").alias("time_sec"))
+
+
+# Scalar functions as column expressions, over text made from tables or found in them.
+TOKENS = "string_split_regex(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')"
+KNOWN = "CASE WHEN upper({0}) <> 'X' THEN {0} END"
+DAY = "CASE WHEN regexp_full_match({0}, '[0-9]+-[A-Za-z]{{3}}-[0-9]+') THEN try_strptime(upper({0}), '%d-%b-%Y')::date END"
+
+
+@query("fn_patient", f"""WITH t AS (SELECT DISTINCT file_id, {TOKENS.format('patient_id')} t FROM recordings WHERE patient_id IS NOT NULL), u AS (SELECT * FROM t WHERE len(t) >= 4)
+SELECT file_id, {KNOWN.format('t[1]')} AS code, CASE WHEN upper(t[2]) IN ('M', 'F') THEN upper(t[2]) END AS sex, strftime({DAY.format('t[3]')}, '%Y-%m-%d') AS birthdate,
+ replace({KNOWN.format('t[4]')}, '_', ' ') AS name, CASE WHEN len(t) > 4 THEN replace(array_to_string(t[5:], ' '), '_', ' ') END AS additional FROM u""")
+def _(spark, sf):
+    r = spark.read.parquet(f"{sf}/recordings.parquet").where("patient_id is not null").select("file_id", F.col("patient_id").alias("t")).distinct()
+    p = r.where(F.size(F.split(fc.clean(F.col("t")), r"\s+")) >= 4).select("file_id", fc.patient(F.col("t")).alias("p"))
+    return p.select("file_id", "p.code", "p.sex", F.col("p.birthdate").cast("string").alias("birthdate"), "p.name", "p.additional")
+
+
+@query("fn_recording", f"""WITH t AS (SELECT DISTINCT file_id, {TOKENS.format('recording_id')} t FROM recordings WHERE recording_id IS NOT NULL), u AS (SELECT * FROM t WHERE len(t) >= 5 AND lower(t[1]) = 'startdate')
+SELECT file_id, strftime({DAY.format('t[2]')}, '%Y-%m-%d') AS start_date, {KNOWN.format('t[3]')} AS admin_code, replace({KNOWN.format('t[4]')}, '_', ' ') AS technician, replace({KNOWN.format('t[5]')}, '_', ' ') AS equipment,
+ CASE WHEN len(t) > 5 THEN replace(array_to_string(t[6:], ' '), '_', ' ') END AS additional FROM u""")
+def _(spark, sf):
+    r = spark.read.parquet(f"{sf}/recordings.parquet").where("recording_id is not null").select("file_id", F.col("recording_id").alias("t")).distinct()
+    t = F.split(fc.clean(F.col("t")), r"\s+")
+    p = r.where((F.size(t) >= 5) & (F.lower(F.get(t, F.lit(0))) == "startdate")).select("file_id", fc.recording(F.col("t")).alias("p"))
+    return p.select("file_id", F.col("p.start_date").cast("string").alias("start_date"), "p.admin_code", "p.technician", "p.equipment", "p.additional")
+
+
+@query("fn_start_datetime", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d 01:02:03') AS start FROM orders")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", fc.start_datetime(F.date_format("o_orderdate", "dd.MM.yy"), F.lit("01.02.03")).cast("string").alias("start"))
+
+
+@query("fn_signal_scaling", """WITH s AS (SELECT DISTINCT file_id, signal_index, physical_min a, physical_max b, digital_min c, digital_max d, samples_per_data_record n FROM signals WHERE physical_min IS NOT NULL AND physical_max IS NOT NULL AND digital_min < digital_max)
+SELECT file_id, signal_index, (b - a) / (d::double - c::double) AS gain, a - (b - a) / (d::double - c::double) * c::double AS "offset", n / 2.0::double AS rate FROM s""")
+def _(spark, sf):
+    s = spark.read.parquet(f"{sf}/signals.parquet").where("physical_min is not null and physical_max is not null and digital_min < digital_max")
+    a, b, c, d = (F.col(x) for x in ("physical_min", "physical_max", "digital_min", "digital_max"))
+    g = fc.gain(a, b, c, d)
+    return s.select("file_id", "signal_index", g.alias("gain"), fc.offset(a, g, c).alias("offset"), fc.sample_rate(F.col("samples_per_data_record"), F.lit(2.0)).alias("rate"), "physical_min", "physical_max", "digital_min", "digital_max").distinct().drop("physical_min", "physical_max", "digital_min", "digital_max")
