@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 GRAM, LEAST_WORDS, LEAST_HITS, SKIP_LINES, AFTER_SKIP = 3, 12, 4, 8, 3
 MOST_ITEM_WORDS = 5_000_000
+PAGES = 500
 
 # Letters that scanners take for one another, by the letter that stands for them.
 CONFUSED = {"o": "eca0", "n": "rum", "i": "l1", "t": "f", "h": "b8", "s": "5", "v": "y", "g": "q"}
@@ -43,11 +45,8 @@ def plain(chunk: str) -> tuple[str, int, int, str]:
     Accented and wrongly decoded letters drop out; so do marks and specks."""
     c = unicodedata.normalize("NFC", chunk).lower()
     w = _NOISE.sub("", c)
-    h = 14695981039346656037
     f = fold(w)
-    for x in f.encode():
-        h = (h ^ x) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return w, h, 0 if c.isascii() else sum(not x.isascii() for x in c), f
+    return w, zlib.crc32(f.encode()), 0 if c.isascii() else sum(not x.isascii() for x in c), f
 
 
 class _Known(dict):
@@ -65,8 +64,10 @@ _SEEN = _Known()
 
 def alike(a: str, b: str, fa: str, fb: str, lost: int) -> bool:
     """Whether words that differ after folding may still be the same: by a letter in a long word, by letters that dropped out."""
+    if abs(len(fa) - len(fb)) > 2:
+        return False
     m = max(len(a), len(b))
-    if m < 6 and not lost or m < 3 or abs(len(fa) - len(fb)) > 2 or a.isdigit() or b.isdigit():
+    if m < 6 and not lost or m < 3 or a.isdigit() or b.isdigit():
         return False
     k = min(max(lost, m >= 6), 1 if m < 5 else 2)
     return _within(fa, fb, k)
@@ -170,11 +171,12 @@ class _Trace:
     """Follows a passage of one item through a page."""
 
     def __init__(self, page: Page, items: Items, k: int):
-        self.page, self.words, self.keys, self.lost, self.folded = page, items.words[k], items.keys[k], items.lost[k], items.folded[k]
+        self.page, self.words, self.lost, self.folded = page, items.words[k], items.lost[k], items.folded[k]
 
     def same(self, p: int, q: int) -> bool:
-        w, h, lost, f = self.page.words[p]
-        return h == self.keys[q] or alike(w, self.words[q], f, self.folded[q], lost + self.lost[q])
+        w, _, lost, f = self.page.words[p]
+        want = self.folded[q]
+        return f == want or alike(w, self.words[q], f, want, lost + self.lost[q])
 
     def joined(self, a: int, b: int, q: int) -> bool:
         """Whether words a and b of the page, broken at a line's end, make up word q of the item."""
@@ -239,40 +241,60 @@ class _Trace:
         return abs(q - began)
 
 
-def leaked_items(page: Page, items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """(item, first word, words in a row) of each item of which the page has that many words in a row."""
-    p, k, q = items.hits(grams(page.keys))
-    out = []
+def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
+    """(page, item, first word, words in a row) of each item of which a page has that many words in a row."""
+    sizes = np.array([len(g.words) for g in pages], np.int64)
+    if not sizes.sum():
+        return []
+    begin = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(pages)), sizes)
+    h = grams(np.concatenate([g.keys for g in pages]))
+    p, k, q = items.hits(h)
+    one = of[p] == of[p + GRAM - 1]  # a window doesn't reach into the next page
+    p, k, q = p[one], k[one], q[one]
     if len(p) < LEAST_HITS:
-        return out
+        return []
     # A passage of so many words has several windows of its item close together, also with words broken at line ends.
-    wide = np.int64(2) << np.int64(40)
-    codes = np.unique(k.astype(np.int64) * wide + q)
+    wide = np.int64(1) << np.int64(30)
+    pair = of[p] * len(items.ids) + k
+    every = pair * wide + q
+    codes = np.unique(every)
     close = codes[LEAST_HITS - 1 :] - codes[: len(codes) - LEAST_HITS + 1] <= least - GRAM
     if not close.any():
-        return out
-    page.lay_out()
-    dense = codes[np.unique(np.flatnonzero(close)[:, None] + np.arange(LEAST_HITS))]
-    all_codes = k.astype(np.int64) * wide + q
-    at = np.minimum(np.searchsorted(dense, all_codes), len(dense) - 1)
-    kept = dense[at] == all_codes
-    p, k, q = p[kept], k[kept], q[kept]
-    for item in np.unique(k).tolist():
+        return []
+    dense = np.zeros(len(codes), bool)
+    for i in range(LEAST_HITS):
+        dense[i : len(codes) - LEAST_HITS + 1 + i] |= close
+    kept = np.flatnonzero(dense[np.searchsorted(codes, every)])
+    kept = kept[np.argsort(pair[kept], kind="stable")]
+    pair, p, q = pair[kept], p[kept], q[kept]
+    cuts = np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), len(pair)].tolist()
+    out, laid = [], -1
+    for i, j in zip(cuts, cuts[1:]):
+        at, item = divmod(int(pair[i]), len(items.ids))
+        page = pages[at]
+        if at != laid:
+            page.lay_out()
+            laid = at
         trace, places, best, seen = _Trace(page, items, item), items.places[item], (0, 0), set()
-        mine = np.flatnonzero(k == item)
-        for a, b in zip(p[mine].tolist(), q[mine].tolist()):
+        for a, b in zip((p[i:j] - begin[at]).tolist(), q[i:j].tolist()):
             if (a, b) in seen:
                 continue
             after = trace.follow(a + GRAM - 1, b + GRAM - 1, 1)
             before = trace.follow(a, b, -1)
-            seen.update((a + i, b + i) for i in range(after + 1))
+            seen.update((a + x, b + x) for x in range(after + 1))
             first, last = b - before, b + GRAM - 1 + after
             best = max(best, (places[last] - places[first] + 1, first))
         if best[0] >= least:
-            out.append((items.ids[item], best[1], best[0]))
+            out.append((at, items.ids[item], best[1], best[0]))
     return out
 
 
+def leaked_items(page: Page, items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
+    """(item, first word, words in a row) of the items that one page leaks."""
+    return [x[1:] for x in leaked([page], items, least)]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: str | None, item: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
     """Columns: doc, item, first_word (of the item, from 0), n_words (in a row); one row per document and leaked item.
 
@@ -299,11 +321,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: st
                 flat.append(col.flatten().fill_null(0.0).to_numpy(zero_copy_only=False))
                 ends.append(np.r_[0, np.cumsum(np.asarray(col.value_lengths().fill_null(0)))])
             where, out = [], []
-            for r, t in enumerate(texts):
-                page = Page(t, *(f[e[r] : e[r + 1]] for f, e in zip(flat, ends)))
-                for i, a, n in leaked_items(page, known, least):
-                    where.append(r)
-                    out.append((i, a, n))
+            for i in range(0, len(texts), PAGES):
+                pages = [Page(texts[r], *(f[e[r] : e[r + 1]] for f, e in zip(flat, ends))) for r in range(i, min(i + PAGES, len(texts)))]
+                for at, item, a, n in leaked(pages, known, least):
+                    where.append(i + at)
+                    out.append((item, a, n))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["d", "i", "a", "n"])
 
