@@ -30,20 +30,20 @@ PAGES = 500
 # Letters that scanners take for one another, by the letter that stands for them.
 CONFUSED = {"o": "eca0", "n": "rum", "i": "l1", "t": "f", "h": "b8", "s": "5", "v": "y", "g": "q"}
 _FOLD = str.maketrans({c: k for k, cs in CONFUSED.items() for c in cs})
+_WIDE = re.compile("nn+")
 _NOISE = re.compile(r"[^0-9a-z]+")
 
 
 def fold(word: str) -> str:
-    """A word with confusable letters made equal, repeated ones taken once."""
-    w = word.translate(_FOLD)
-    return re.sub(r"(.)\1+", r"\1", w)
+    """A word with confusable letters made equal; two of the n kind are one, as rn is taken for m."""
+    return _WIDE.sub("n", word.translate(_FOLD))
 
 
 def plain(chunk: str) -> tuple[str, int, int, str]:
     """(ASCII letters and digits of a blank-separated chunk in lower case, hash of them folded, how many other letters dropped out, folded).
 
     Accented and wrongly decoded letters drop out; so do marks and specks."""
-    c = unicodedata.normalize("NFC", chunk).lower()
+    c = unicodedata.normalize("NFC", chunk).lower().replace("ß", "ss")
     w = _NOISE.sub("", c)
     f = fold(w)
     return w, zlib.crc32(f.encode()), 0 if c.isascii() else sum(not x.isascii() for x in c), f
@@ -63,14 +63,11 @@ _SEEN = _Known()
 
 
 def alike(a: str, b: str, fa: str, fb: str, lost: int) -> bool:
-    """Whether words that differ after folding may still be the same: by a letter in a long word, by letters that dropped out."""
-    if abs(len(fa) - len(fb)) > 2:
+    """Whether words that differ after folding may still be the same, by accented or wrongly decoded letters that dropped out."""
+    if not lost or abs(len(fa) - len(fb)) > 2 or a.isdigit() or b.isdigit():
         return False
     m = max(len(a), len(b))
-    if m < 6 and not lost or m < 3 or a.isdigit() or b.isdigit():
-        return False
-    k = min(max(lost, m >= 6), 1 if m < 5 else 2)
-    return _within(fa, fb, k)
+    return m > 1 and _within(fa, fb, min(lost, 1 if m < 5 else 2))
 
 
 @lru_cache(maxsize=1 << 18)
@@ -171,7 +168,7 @@ class _Trace:
     """Follows a passage of one item through a page."""
 
     def __init__(self, page: Page, items: Items, k: int):
-        self.page, self.words, self.lost, self.folded = page, items.words[k], items.lost[k], items.folded[k]
+        self.page, self.words, self.lost, self.folded, self.places = page, items.words[k], items.lost[k], items.folded[k], items.places[k]
 
     def same(self, p: int, q: int) -> bool:
         w, _, lost, f = self.page.words[p]
@@ -208,9 +205,15 @@ class _Trace:
         head = (lambda k: g.starts[k]) if step > 0 else (lambda k: g.starts[k + 1] - 1)
         while 0 <= q + step < m:
             want, nxt, here = q + step, p + step, g.line[p]
-            if 0 <= nxt < n and self.same(nxt, want):
-                p, q = nxt, want
-                continue
+            if 0 <= nxt < n:
+                if self.same(nxt, want):
+                    p, q = nxt, want
+                    continue
+                # Words of accented letters alone drop out of the item; without their accents the page has them.
+                gap = abs(self.places[want] - self.places[q]) - 1
+                if gap and 0 <= nxt + step < n and len(g.words[nxt][0]) < 3 and self.same(nxt + step, want):
+                    p, q = nxt + step, want
+                    continue
             edge = head(here + 1) - 1 if step > 0 and here + 1 < lines else head(here - 1) + 1 if step < 0 and here > 0 else (n - 1 if step > 0 else 0)
             found = None
             # A word broken at the line's end, its other part in the next line or after lines in between.
