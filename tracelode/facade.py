@@ -40,11 +40,24 @@ class _Data:
             self.bytes = np.memmap(path, np.uint8, "r")
         except (OSError, ValueError):
             raise E.MapFailedError(path) from None
-        self.block = self.bytes[h.header_bytes : h.header_bytes + self.complete * h.record_size].reshape(self.complete, h.record_size) if h.record_size else np.zeros((self.complete, 0), np.uint8)
+        self.block = np.asarray(self.bytes[h.header_bytes : h.header_bytes + self.complete * h.record_size]).reshape(self.complete, h.record_size) if h.record_size else np.zeros((self.complete, 0), np.uint8)
+        self.cube = self.block.view("<i2") if h.record_size else self.block.view(np.int16)  # records x samples of all signals
+        self.gains, self.offsets = np.array([s.gain for s in h.signals]), np.array([s.offset for s in h.signals])
+        # Of each signal its samples in all, its samples in a record, and where a record has them.
+        self.lengths = [h.num_records * s.samples_per_record for s in h.signals]
+        self.widths, self.begins = [s.samples_per_record for s in h.signals], [s.byte_offset // 2 for s in h.signals]
         self._index = None
 
     def length(self, k: int) -> int:
-        return self.head.num_records * self.head.signals[k].samples_per_record
+        return self.lengths[k]
+
+    def sample(self, k: int, i: int) -> float:
+        """Physical value of one sample inside the signal."""
+        r, at = divmod(i, self.widths[k])
+        if r >= self.complete:
+            raise E.RecordOutOfRange(r, self.head.num_records)
+        s = self.head.signals[k]
+        return s.gain * self.cube.item(r, self.begins[k] + at) + s.offset
 
     def digital(self, k: int, start: int, end: int) -> np.ndarray:
         """int16 samples [start, end); typed errors for what lies outside."""
@@ -59,13 +72,29 @@ class _Data:
         first, last = start // spr, (end - 1) // spr
         if last >= self.complete:
             raise E.RecordOutOfRange(max(first, self.complete), self.head.num_records)
-        part = self.block[first : last + 1, s.byte_offset : s.byte_offset + 2 * spr]
-        flat = np.ascontiguousarray(part).view("<i2").reshape(-1)
+        at = self.begins[k]
+        flat = self.cube[first : last + 1, at : at + spr].reshape(-1)
         return flat[start - first * spr : end - first * spr]
 
     def physical(self, k: int, start: int, end: int) -> np.ndarray:
-        s = self.head.signals[k]
-        return self.digital(k, start, end) * np.float64(s.gain) + s.offset
+        out = self.digital(k, start, end) * self.gains[k]
+        out += self.offsets[k]
+        return out
+
+    def neighbours(self, wanted: list[int], start: int, end: int) -> np.ndarray | None:
+        """Physical values [start, end) of signals that lie side by side and have as many samples, in one go; None for others."""
+        k, n = wanted[0], len(wanted)
+        spr = self.widths[k]
+        if not 0 <= start < end <= self.lengths[k] or wanted != list(range(k, k + n)) or self.widths[k : k + n] != [spr] * n:
+            return None
+        first, last = start // spr, (end - 1) // spr
+        if last >= self.complete:
+            return None
+        at = self.begins[k]
+        cut = self.cube[first : last + 1, at : at + n * spr].reshape(last + 1 - first, n, spr).transpose(1, 0, 2)
+        out = np.multiply(cut, self.gains[k : k + n, None, None], order="C").reshape(n, -1)
+        out += self.offsets[k : k + n, None]
+        return out[:, start - first * spr : end - first * spr]
 
     def record(self, r: int) -> bytes:
         if r >= self.complete or r < 0:
@@ -160,7 +189,7 @@ class Signal:
         return f"Signal(label={eb.quoted(self.label)}, samples={len(self)}, rate={eb.plain_number(self.sample_rate)}Hz)"
 
     def __getitem__(self, key):
-        n = len(self)
+        n = self._d.lengths[self.index]
         if isinstance(key, slice):
             start, stop, step = key.indices(n)
             picked = range(start, stop, step)
@@ -173,8 +202,9 @@ class Signal:
             i = operator.index(key)
         except TypeError:
             raise IndexError("index must be int or slice") from None
-        i = _wrap(i, n, "index {} out of range for signal with {} samples")
-        return float(self._d.physical(self.index, i, i + 1)[0])
+        if i < 0 or i >= n:
+            i = _wrap(i, n, "index {} out of range for signal with {} samples")
+        return self._d.sample(self.index, i)
 
     def to_numpy(self) -> np.ndarray:
         return self._d.physical(self.index, 0, len(self))
@@ -262,6 +292,7 @@ class EdfFile:
 
     def __init__(self, path: str):
         self._d = _Data(str(path))
+        self._ordinary = [k for k, s in enumerate(self._d.head.signals) if not s.is_annotation]
 
     def __enter__(self):
         return self
@@ -331,7 +362,7 @@ class EdfFile:
         return [s.label for s in self._d.head.signals]
 
     def ordinary_signal_indices(self) -> list[int]:
-        return [k for k, s in enumerate(self._d.head.signals) if not s.is_annotation]
+        return list(self._ordinary)
 
     def signal_indices_by_rate(self) -> dict[int, list[int]]:
         groups: dict[int, list[int]] = {}
@@ -343,11 +374,20 @@ class EdfFile:
         return ArrayProxy(self._d, self.ordinary_signal_indices() if signal_indices is None else list(signal_indices))
 
     def _page(self, t0: float, t1: float, signals, how) -> list[np.ndarray]:
+        wanted = self._ordinary if signals is None else list(signals)
+        d, h = self._d, self._d.head
+        for k in wanted:
+            if not 0 <= k < h.num_signals:
+                raise E.SignalOutOfRange(k, h.num_signals)
+        if how == d.physical and wanted:
+            rate = h.signals[wanted[0]].rate(h.record_duration)
+            together = d.neighbours(wanted, self._bound(t0, rate), min(self._bound(t1, rate), d.lengths[wanted[0]]))
+            if together is not None:
+                return list(together)
         out = []
-        for k in self.ordinary_signal_indices() if signals is None else signals:
-            n, rate = Signal(self._d, k).num_samples, Signal(self._d, k).sample_rate
-            a, b = (self._bound(t, rate) for t in (t0, t1))
-            b = min(b, n)
+        for k in wanted:
+            rate = h.signals[k].rate(h.record_duration)
+            a, b = self._bound(t0, rate), min(self._bound(t1, rate), d.lengths[k])
             out.append(how(k, a, b) if a < b else how(k, 0, 0))
         return out
 
