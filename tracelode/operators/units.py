@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FILES, SIGNALS = 256, 256
+FILES, SIGNALS = 4096, 256
 STATED, STAY, SAME = 40.0, np.log(0.6), np.log(0.1)
 
 # Spellings of units (lower case, without blanks, dots and brackets) by symbol.
