@@ -23,7 +23,17 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("p3_found")
+P3 = r"""WITH a AS (SELECT DISTINCT file_id, onset, ann_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) t FROM annotations WHERE regexp_matches(text, '\S') AND onset IS NOT NULL),
+t AS (SELECT t, count(*) n FROM a GROUP BY t), w AS (SELECT w, sum(n) n FROM (SELECT unnest(string_split(t, ' ')) w, n FROM t) GROUP BY w),
+c AS (SELECT x.w, arg_max(y.w, y.n) c FROM w x JOIN w y ON y.n >= 8 * x.n AND length(y.w) >= 5 AND length(x.w) >= 4 AND NOT regexp_matches(x.w || y.w, '[0-9]') AND damerau_levenshtein(x.w, y.w) = 1 GROUP BY x.w),
+u AS (SELECT t, unnest(string_split(t, ' ')) w, generate_subscripts(string_split(t, ' '), 1) i FROM t),
+v AS (SELECT t, string_agg(coalesce(c, w), ' ' ORDER BY i) ev FROM u LEFT JOIN c USING (w) GROUP BY t),
+b AS (SELECT file_id, onset, ann_id, ev, lag(ev) OVER (PARTITION BY file_id ORDER BY onset, ann_id) p FROM a JOIN v USING (t)),
+r AS (SELECT *, sum(CASE WHEN ev = p THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY onset, ann_id ROWS UNBOUNDED PRECEDING) run FROM b)
+SELECT file_id, arg_min(ann_id, (onset, ann_id)) AS first_ann_id, arg_max(ann_id, (onset, ann_id)) AS last_ann_id, CAST(count(*) AS int) AS n_anns FROM r GROUP BY file_id, run HAVING count(*) > 1"""
+
+
+@query("p3_found", P3)
 def _(spark, sf):
     r = runs.collapse(_table(spark, sf, "annotations"), "file_id", "ann_id", "onset", "duration", "text")
     return r.select("file_id", F.col("first_id").alias("first_ann_id"), F.col("last_id").alias("last_ann_id"), F.col("n_events").alias("n_anns"))
