@@ -54,13 +54,14 @@ def regular_grid(readings: DataFrame, sources: DataFrame, source: str, time: str
     merged = grid.select("src", "shard", "slot", "t0", "d", "before", "after", none.cast("double").alias("t"), none.cast("double").alias("v"), none.cast("long").alias("n")).unionByName(
         per.select("src", "shard", "slot", "t0", "d", none.cast(grid.schema["before"].dataType).alias("before"), none.cast(grid.schema["after"].dataType).alias("after"), "t", "v", "n")
     )
-    both = Window.partitionBy("src", "shard").orderBy("slot")
-    near = F.when(F.col("n").isNotNull(), F.struct("slot", "t", "v"))
-    back, ahead = both.rangeBetween(Window.unboundedPreceding, 0), both.rangeBetween(0, Window.unboundedFollowing)
-    rows = merged.select(
-        "*", F.last(near, True).over(back).alias("p"), F.first(near, True).over(ahead).alias("q"), F.max("n").over(both.rangeBetween(0, 0)).alias("here")
-    ).where(F.col("n").isNull())
-    p, q = F.coalesce("p", "before"), F.coalesce("q", "after")
+    # Readings stand before the grid's row of their slot in either direction, so running frames find both neighbours.
+    reading = F.col("n").isNotNull()
+    near = F.when(reading, F.struct("slot", "t", "v", "n"))
+    within = lambda *order: Window.partitionBy("src", "shard").orderBy(*order, reading.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = merged.withColumn("p", F.last(near, True).over(within(F.col("slot")))).withColumn("q", F.last(near, True).over(within(F.col("slot").desc()))).where(F.col("n").isNull())
+    rows = rows.withColumn("here", F.when(F.col("p.slot") == F.col("slot"), F.col("p.n")))
+    bare = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.slot"), F.col(f"{c}.t"), F.col(f"{c}.v")))
+    p, q = F.coalesce(bare("p"), "before"), F.coalesce(bare("q"), "after")
     rows = rows.select("src", "slot", (F.col("t0") + F.col("slot") * F.col("d")).alias("grid_time"), F.coalesce("here", F.lit(0)).alias("n_readings"), p.alias("p"), q.alias("q"))
     span = F.col("q.t") - F.col("p.t")
     within = F.lit(True) if gap_limit is None else span <= gap_limit
