@@ -69,6 +69,14 @@ def test_permissive(spark, tmp_path, edge):
     assert read_edf(spark, str(tmp_path / "none*.edf")).count() == 0
 
 
+def test_every_header_error(spark, tmp_path):
+    from tracelode.plans.staging import bad_files
+
+    got = {r.path.rpartition("/")[2]: r.error.partition(":")[0] for r in read_edf(spark, bad_files(str(tmp_path)), mode="PERMISSIVE").collect()}
+    want = ["FileTooSmall", "FileTooSmall", "InvalidHeaderField", "HeaderSizeMismatch", "NoSignals", "InvalidSignalField", "InvalidDigitalRange", "InvalidPhysicalRange", "FileOpenError"]
+    assert [got[f"{n}.edf"] for n in ("too_small", "cut_header", "bad_field", "size_mismatch", "no_signals", "bad_signal_field", "digital_range", "physical_range", "absent")] == want
+
+
 def test_columns(spark):
     texts = ["+5", ".5", "5.", "1e5", "-inf", "1_0", "1d", "", "1 0", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fc.number(F.col("t"))).collect()]

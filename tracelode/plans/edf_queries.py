@@ -363,3 +363,8 @@ def _(spark, sf):
     a, b, c, d = (F.col(x) for x in ("physical_min", "physical_max", "digital_min", "digital_max"))
     g = fc.gain(a, b, c, d)
     return s.select("file_id", "signal_index", g.alias("gain"), fc.offset(a, g, c).alias("offset"), fc.sample_rate(F.col("samples_per_data_record"), F.lit(2.0)).alias("rate"), "physical_min", "physical_max", "digital_min", "digital_max").distinct().drop("physical_min", "physical_max", "digital_min", "digital_max")
+
+
+@query("errors")
+def _(spark, sf):
+    return _view(spark, sf, "bad", "recordings", mode="PERMISSIVE").select(_file(), "error")

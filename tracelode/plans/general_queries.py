@@ -84,6 +84,23 @@ def _(spark, sf):
     return intervals.merge(t, "file_id", start, start + ms(F.col("duration")))
 
 
-@query("p7_found")
+P7 = """WITH lim AS (SELECT file_id, signal_index, min(digital_min) lo, max(digital_max) hi FROM signals GROUP BY ALL),
+s AS (SELECT DISTINCT file_id, signal_index, record_idx, physical_first_10 p, digital_first_10 d FROM sample_snippets),
+i AS (SELECT *, unnest(range(1, greatest(coalesce(len(d), 0), coalesce(len(p), 0)) + 1)) i FROM s),
+e AS (SELECT file_id, signal_index, record_idx, i - 1 k, d[i] dv, p[i] pv FROM i),
+m AS (SELECT file_id, signal_index, median(dv) md, median(pv) FILTER (WHERE isfinite(pv)) mp FROM e GROUP BY ALL),
+w AS (SELECT file_id, signal_index, md, mp, 1.4826 * median(abs(dv - md)) sd, 1.4826 * median(abs(pv - mp)) FILTER (WHERE isfinite(pv)) sp FROM e JOIN m USING (file_id, signal_index) GROUP BY ALL),
+n AS (SELECT *, lag(dv) OVER r lv FROM e WINDOW r AS (PARTITION BY file_id, signal_index, record_idx ORDER BY k)),
+q AS (SELECT file_id, signal_index, record_idx, avg(CASE WHEN dv = lv THEN 1.0 ELSE 0.0 END) eq FROM n WHERE dv IS NOT NULL AND lv IS NOT NULL GROUP BY ALL),
+h AS (SELECT file_id, signal_index, median(eq) > 0.5 held FROM q GROUP BY ALL),
+g AS (SELECT *, sum(CASE WHEN dv = lv THEN 0 ELSE 1 END) OVER (PARTITION BY file_id, signal_index, record_idx ORDER BY k ROWS UNBOUNDED PRECEDING) run FROM n),
+c AS (SELECT *, count(dv) OVER (PARTITION BY file_id, signal_index, record_idx, run) len FROM g),
+j AS (SELECT c.file_id, c.signal_index, record_idx, k, CASE WHEN dv < lo OR dv > hi OR (pv IS NOT NULL AND NOT isfinite(pv)) THEN 'impossible' WHEN coalesce(held, false) THEN NULL WHEN dv IS NOT NULL AND len >= 5 THEN 'stuck'
+  WHEN abs(dv - md) > 10 * sd OR (isfinite(pv) AND abs(pv - mp) > 10 * sp) THEN 'spike' END kind
+ FROM c JOIN w USING (file_id, signal_index) LEFT JOIN h USING (file_id, signal_index) LEFT JOIN lim USING (file_id, signal_index))
+SELECT file_id, signal_index, record_idx, CAST(k AS int) AS sample_no, kind FROM j WHERE kind IS NOT NULL"""
+
+
+@query("p7_found", P7)
 def _(spark, sf):
     return faults.implausible(_table(spark, sf, "sample_snippets"), _table(spark, sf, "signals"), ["file_id", "signal_index"], "record_idx", "digital_first_10", "physical_first_10", "digital_min", "digital_max")

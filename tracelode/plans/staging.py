@@ -28,8 +28,8 @@ def _folder(spark, sf_dir: str, kind: str) -> str:
 
 def staged(spark, sf_dir: str, kind: str) -> list[str]:
     key = (sf_dir, kind)
-    if key not in _DONE or not all(os.path.exists(p) for p in _DONE[key]):
-        _DONE[key] = {"r1": _r1, "r2": _r2, "r3": _r3}[kind](_folder(spark, sf_dir, kind), sf_dir)
+    if key not in _DONE or not all(os.path.exists(p) or p.endswith("absent.edf") for p in _DONE[key]):
+        _DONE[key] = {"r1": _r1, "r2": _r2, "r3": _r3, "bad": _bad}[kind](_folder(spark, sf_dir, kind), sf_dir)
     return _DONE[key]
 
 
@@ -107,3 +107,17 @@ def edge_files(folder: str) -> list[str]:
 
 def _r3(folder: str, sf_dir: str) -> list[str]:
     return edge_files(folder)
+
+
+def bad_files(folder: str) -> list[str]:
+    """A file for each header error."""
+    one = w.signal("A", 1)
+    heads = {
+        "too_small": b"x" * 100, "cut_header": w.header([one, one], 1)[:600], "bad_field": w.header([one], "1_0"), "size_mismatch": w.header([one], 1, header_bytes=999), "no_signals": w.header([], 1),
+        "bad_signal_field": w.header([one | {"dmin": "40000"}], 1), "digital_range": w.header([one | {"dmin": "5", "dmax": "5"}], 1), "physical_range": w.header([one | {"pmin": "1", "pmax": "1"}], 1),
+    }
+    return [w.write(f"{folder}/{name}.edf", head, b"") for name, head in heads.items()] + [f"{folder}/absent.edf"]
+
+
+def _bad(folder: str, sf_dir: str) -> list[str]:
+    return bad_files(folder)
