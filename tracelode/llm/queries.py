@@ -24,8 +24,8 @@ def _table(spark, sf, name):
 
 
 P3 = r"""WITH a AS (SELECT DISTINCT file_id, onset, ann_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) t FROM annotations WHERE regexp_matches(text, '\S') AND onset IS NOT NULL),
-t AS (SELECT t, count(*) n FROM a GROUP BY t), w AS (SELECT w, sum(n) n FROM (SELECT unnest(string_split(t, ' ')) w, n FROM t) GROUP BY w),
-c AS (SELECT x.w, arg_max(y.w, y.n) c FROM w x JOIN w y ON y.n >= 8 * x.n AND length(y.w) >= 5 AND length(x.w) >= 4 AND NOT regexp_matches(x.w || y.w, '[0-9]') AND damerau_levenshtein(x.w, y.w) = 1 GROUP BY x.w),
+z AS (SELECT trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) t FROM annotations WHERE regexp_matches(text, '\S') AND onset IS NOT NULL), t AS (SELECT t, count(*) n FROM z GROUP BY t), w AS (SELECT w, sum(n) n FROM (SELECT unnest(string_split(t, ' ')) w, n FROM t) GROUP BY w),
+o AS (SELECT x.w, arg_max(y.w, (y.n, y.w)) c FROM w x JOIN w y ON (y.n >= 3 * x.n OR x.n + y.n <= 16 AND (y.n, y.w) > (x.n, x.w)) AND length(y.w) >= 5 AND length(x.w) >= 4 AND NOT regexp_matches(x.w || y.w, '[0-9]') AND damerau_levenshtein(x.w, y.w) = 1 GROUP BY x.w), c AS (SELECT o.w, coalesce(m.c, o.c) c FROM o LEFT JOIN o m ON m.w = o.c),
 u AS (SELECT t, unnest(string_split(t, ' ')) w, generate_subscripts(string_split(t, ' '), 1) i FROM t),
 v AS (SELECT t, string_agg(coalesce(c, w), ' ' ORDER BY i) ev FROM u LEFT JOIN c USING (w) GROUP BY t),
 b AS (SELECT file_id, onset, ann_id, ev, lag(ev) OVER (PARTITION BY file_id ORDER BY onset, ann_id) p FROM a JOIN v USING (t)),

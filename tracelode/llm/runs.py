@@ -3,7 +3,7 @@
 Names are equal if they agree word by word apart from case, blanks, punctuation and one
 mistyped letter (changed, dropped, added or swapped with its neighbour) in a word of five or
 more letters. Words are counted over all rows; a word becomes its most frequent neighbour, if
-that is ``RATIO`` times as frequent. Neighbours are found by patterns (a word without its i-th
+that is ``RATIO`` times as frequent or both are rare. Neighbours are found by patterns (a word without its i-th
 letter, with a pair of letters sorted), grouped by pattern: a group yields its most frequent
 word only, so no pairs are formed.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracelode.operators.hot import materialize, small
 
-LEAST, RATIO = 5, 8
+LEAST, RATIO, RARE = 5, 3, 16
 BROADCAST_ROWS = 200_000
 
 
@@ -66,7 +66,7 @@ def canonical_words(words: DataFrame) -> DataFrame:
     enough = F.length("c.word") >= LEAST
     near = seen.where(enough & (F.col("c.word") != F.col("word"))).groupBy("word", "n").agg(F.max("c").alias("c"))
     # Between rare words, where frequency can't tell, the more frequent (then the later) one stands for both.
-    rare = (F.col("c.n") + F.col("n") <= RATIO) & (F.struct(F.col("c.n").alias("n"), F.col("c.word").alias("word")) > F.struct("n", "word"))
+    rare = (F.col("c.n") + F.col("n") <= RARE) & (F.struct(F.col("c.n").alias("n"), F.col("c.word").alias("word")) > F.struct("n", "word"))
     return near.where((F.col("c.n") >= RATIO * F.col("n")) | rare).select("word", F.col("c.word").alias("canon"))
 
 
