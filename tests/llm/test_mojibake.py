@@ -12,7 +12,7 @@ TEXTS = [(t, g) for t, g in ((DE, "de"), (FR, "fr"), (PL, "pl"), (RU, "ru"), (EN
 WRONG = [
     (DE.encode().decode("cp1252"), DE, "de"), (FR.encode().decode("mac_roman"), FR, "fr"), (FR.encode("cp1252").decode("mac_roman"), FR, "fr"), (RU.encode("cp1251").decode("latin-1"), RU, "ru"),
     (RU.encode("cp866").decode("cp1251"), RU, "ru"), (PL.encode("iso8859-2").decode("latin-1"), PL, "pl"), (DE.replace("Mühle", "MÃ¼hle"), DE, "de"), (EN.encode().decode("cp437"), EN, "en"),
-    (EN.encode().decode("cp1252", "ignore") if False else EN.replace("’", "â€™"), EN, "en"), (EN.replace("é", "é".encode().decode("latin-1").encode().decode("latin-1")), EN, "en"),
+    (EN.replace("’", "â€™"), EN, "en"), (RU.replace("читатель", "\n" + "читатель".encode("cp1251").decode("cp1252")), RU.replace("читатель", "\nчитатель"), "ru"), (EN.replace("é", "é".encode().decode("latin-1").encode().decode("latin-1")), EN, "en"),
 ]
 
 

@@ -290,7 +290,7 @@ def _edge(text: str, at: int, step: int) -> str:
     """The word characters right before or after a place, 64 at most."""
     if step > 0:
         return re.match(r"\w{0,64}", text[at : at + 64])[0]
-    return re.search(r"\w{0,64}$", text[max(0, at - 64) : at])[0]
+    return re.search(r"\w{0,64}\Z", text[max(0, at - 64) : at])[0]
 
 
 def corpus_model(docs: DataFrame, text: str, group: str | None) -> Model:
