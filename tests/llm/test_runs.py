@@ -61,3 +61,21 @@ def test_patterns(a, b, near):
     pa, pb = dict(runs._patterns(a)), dict(runs._patterns(b))
     shared = [p for p in pa.keys() & pb.keys() if not p.startswith("d") or pa[p] != pb[p]]
     assert bool(shared) == near
+
+
+def test_long_words():
+    """Words of over WHOLE letters are compared by hashes, across the limit too."""
+    rnd = random.Random(3)
+    for n in (runs.WHOLE - 1, runs.WHOLE, runs.WHOLE + 1, 300):
+        w = "".join(rnd.choices("abcdefgh", k=n))
+        i = n // 2
+        for other in (w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :]):
+            pa, pb = dict(runs._patterns(w)), dict(runs._patterns(other))
+            assert other == w or any(not p.startswith("d") or pa[p] != pb[p] for p in pa.keys() & pb.keys())
+        far = dict(runs._patterns("y" + w[1:-1] + "y"))
+        assert not [p for p in far.keys() & dict(runs._patterns(w)).keys() if not p.startswith("d")]
+
+
+def test_very_long_text(spark):
+    rows = [(1, i, float(i), 1.0, t) for i, t in enumerate(["x" * 30_000 + " end", "X" * 30_000 + " END", "word " * 20_000, "other"])]
+    assert collapse(spark, rows) == [(1, 0, 1, 2)]

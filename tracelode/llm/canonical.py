@@ -91,6 +91,7 @@ class Reference:
         self.notes = {w for w in NOTES if w not in self.vocabulary}
         df = Counter(w for _, ws in self.entries for w in set(ws))
         self.idf = {w: math.log(1 + len(self.entries) / n) for w, n in df.items()}
+        self.longest = max(map(len, self.vocabulary), default=0)
         self.near = defaultdict(set)
         for w in [*self.vocabulary, *self.joined, *self.notes]:
             if len(w) > REPAIR_LEAST:
@@ -108,7 +109,7 @@ class Reference:
         if parts := self.joined.get(token) or self._joined(token):
             return True, [(p, 1.0) for p in parts]
         found = {}
-        if len(token) >= REPAIR_LEAST:
+        if REPAIR_LEAST <= len(token) <= self.longest + 1:
             for p, plain in _patterns(token):
                 for w, other in self.near.get(p, ()):
                     if not p.startswith("d") or plain != other:
@@ -123,7 +124,7 @@ class Reference:
 
     def _joined(self, token: str) -> list[str]:
         """Two words written as one, both spelled exactly."""
-        for i in range(2, len(token) - 1):
+        for i in range(2, len(token) - 1 if len(token) <= 2 * self.longest else 0):
             a, b = token[:i], token[i:]
             if a in self.vocabulary and b in self.vocabulary and any(c.isdigit() for c in token) | (len(token) <= 4):
                 return [self.vocabulary[a], self.vocabulary[b]]
@@ -166,10 +167,12 @@ def map_values(rows: DataFrame, reference: DataFrame, key: list[str], fields: li
         raise ValueError(f"reference has more than {MOST_ENTRIES} entries")
     refs = {f: Reference([(r.ref_id, r.name) for r in listed if r.field_name == f], synonyms.get(f, {}), phrases.get(f, {}), implied.get(f, set()), joined.get(f, {})) for f in fields}
     exact = [(r.field_name, r.name) for r in listed]
+    # As long as the list is bounded, so is this broadcast.
+    spelled = F.broadcast(rows.sparkSession.createDataFrame(exact, "field_name string, value string").distinct())
     shared = rows.sparkSession.sparkContext.broadcast((refs, {f: {n for g, n in exact if g == f} for f in fields}))
 
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("p")
-    every = rows.select(*key, pairs).select(*key, "p.field_name", "p.value").where(F.col("value").rlike(r"\S"))
+    every = rows.select(*key, pairs).select(*key, "p.field_name", "p.value").where(F.col("value").rlike(r"\S")).join(spelled, ["field_name", "value"], "left_anti")
 
     def tokenise(batches):
         refs, names = shared.value

@@ -25,6 +25,7 @@ from tracelode.operators.hot import materialize, small
 
 LEAST, RATIO, RARE = 5, 3, 16
 BROADCAST_ROWS = 200_000
+WHOLE = 64
 
 
 def normal_text(text: Column) -> Column:
@@ -32,18 +33,55 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
+class _Parts:
+    """Joins of a word's parts as strings; of long words as pairs of polynomial hashes, each had from prefix sums."""
+
+    MODULI = (2**61 - 1, 2**89 - 1)
+    BASE = 1_000_003
+
+    def __init__(self, word: str):
+        self.word, self.sums = word, []
+        if len(word) > WHOLE:
+            for m in self.MODULI:
+                h, p, sums, powers = 0, 1, [0], [1]
+                for c in word:
+                    h, p = (h * self.BASE + ord(c) + 1) % m, p * self.BASE % m
+                    sums.append(h)
+                    powers.append(p)
+                self.sums.append((m, sums, powers))
+
+    def join(self, *parts) -> str:
+        """Parts are (from, to) of the word, or strings; a join of over WHOLE letters is hashed, whatever the word's length."""
+        size = sum(len(x) if isinstance(x, str) else x[1] - x[0] for x in parts)
+        if size <= WHOLE:
+            return "".join(x if isinstance(x, str) else self.word[x[0] : x[1]] for x in parts)
+        out = []
+        for m, sums, powers in self.sums:
+            h = 0
+            for x in parts:
+                if isinstance(x, str):
+                    for c in x:
+                        h = (h * self.BASE + ord(c) + 1) % m
+                else:
+                    a, b = x
+                    h = (h * powers[b - a] + sums[b] - sums[a] * powers[b - a]) % m
+            out.append(f"{h:x}")
+        return f"#{size}#" + "#".join(out)
+
+
 def _patterns(word: str) -> list[tuple[str, bool]]:
     """(pattern, whether the word is the pattern's plain form): words sharing one differ by one mistyped letter."""
     out = []
     n = len(word)
+    parts = _Parts(word)
     for i in range(n):
-        out.append((f"s{i}\0{word[:i]}\0{word[i + 1:]}", False))  # changed letter
+        out.append((f"s{i}\0{parts.join((0, i), chr(1), (i + 1, n))}", False))  # changed letter
         if not i or word[i] != word[i - 1]:
-            out.append((f"d\0{word[:i]}{word[i + 1:]}", False))  # word with one letter more
+            out.append((f"d\0{parts.join((0, i), (i + 1, n))}", False))  # word with one letter more
         if i + 1 < n and word[i] != word[i + 1]:
             a, b = sorted(word[i : i + 2])
-            out.append((f"t{i}\0{word[:i]}{a}{b}{word[i + 2:]}", False))  # swapped pair
-    out.append((f"d\0{word}", True))  # word with one letter less
+            out.append((f"t{i}\0{parts.join((0, i), a + b, (i + 2, n))}", False))  # swapped pair
+    out.append((f"d\0{parts.join((0, n))}", True))  # word with one letter less
     return out
 
 
