@@ -106,3 +106,22 @@ def test_streaming(spark, tmp_path, edge):
     q.processAllAvailable()
     q.stop()
     assert [10, -20] in seen and len(seen) == 7
+
+
+def test_listing(tmp_path, monkeypatch):
+    from pyarrow.fs import LocalFileSystem
+
+    from tracelode.sources import files
+
+    (tmp_path / "a").mkdir()
+    for n in ("x.edf", "a/y.edf", "a/z.txt"):
+        (tmp_path / n).write_bytes(b"123")
+    names = lambda found: sorted(p[len(str(tmp_path)) + 1 :] for p in found)
+    assert names(files.expand(str(tmp_path))) == ["a/y.edf", "x.edf"] == names(files.expand(f"file://{tmp_path}"))
+    assert names(files.expand(f"{tmp_path}/a/*")) == ["a/y.edf", "a/z.txt"] and files.expand(f"{tmp_path}/none.edf") == {f"{tmp_path}/none.edf": 0}
+    monkeypatch.setattr(files, "_remote", lambda p: (LocalFileSystem(), p.removeprefix("mem://")) if p.startswith("mem://") else None)
+    assert sorted(files.expand(f"mem://{tmp_path}").items()) == [(f"mem://{tmp_path}/a/y.edf", 3), (f"mem://{tmp_path}/x.edf", 3)]
+    assert list(files.expand(f"mem://{tmp_path}/a/*.txt")) == [f"mem://{tmp_path}/a/z.txt"] and files.expand(f"mem://{tmp_path}/x.edf") == {f"mem://{tmp_path}/x.edf": 3}
+    with files.open_file(f"mem://{tmp_path}/x.edf") as f:
+        f.seek(1)
+        assert f.read(2) == b"23"

@@ -286,10 +286,10 @@ def parse_header(data: bytes) -> HeaderMeta:
     )
 
 
-def read_header(path: str) -> tuple[HeaderMeta, int]:
-    """Header and size of a file, from no more bytes than the header has."""
+def read_header(path: str, opener=None) -> tuple[HeaderMeta, int]:
+    """Header and size of a file, from no more bytes than the header has. opener gives a binary file that can seek."""
     try:
-        with open(path, "rb") as f:
+        with opener(path) if opener else open(path, "rb") as f:
             size = f.seek(0, 2)
             f.seek(0)
             head = f.read(MAIN_SIZE)

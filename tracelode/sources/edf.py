@@ -13,14 +13,12 @@ reads itself, so planning a million files costs a directory listing. Small files
 packed into shared tasks. Filters on ``path``, ``record_idx`` and ``signal_idx`` are
 pushed down: whole files, record ranges and channels are skipped before decoding.
 
-Paths must be visible to all executors. ``mode`` is FAILFAST (default) or PERMISSIVE;
+Paths (local ones, or URIs that pyarrow's file systems know) must be visible to all executors. ``mode`` is FAILFAST (default) or PERMISSIVE;
 the latter skips unreadable files and reports them in the ``warnings`` operator.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 from tracelode.errors import TraceError
 from tracelode.functions import edf_bytes as eb
+from tracelode.sources.files import expand, open_file
 
 PATIENT = "STRUCT<code STRING, sex STRING, birthdate DATE, birthdate_raw STRING, name STRING, additional STRING>"
 RECORDING = "STRUCT<start_date DATE, start_date_raw STRING, admin_code STRING, technician STRING, equipment STRING, additional STRING>"
@@ -110,12 +109,8 @@ class EdfReader(DataSourceReader):
         """(path, size) of all files named; directories stand for their ``*.edf`` files."""
         found = {}
         for name in filter(None, (p.strip() for p in self.path.split(","))):
-            name = name.removeprefix("file://")
-            hits = glob.glob(os.path.join(name, "**", "*.edf"), recursive=True) if os.path.isdir(name) else glob.glob(name) if glob.has_magic(name) else [name]
-            for p in hits:
-                if self.bounds.paths is None or p in self.bounds.paths:
-                    found[p] = os.path.getsize(p) if os.path.exists(p) else 0
-        return sorted(found.items())
+            found |= expand(name)
+        return sorted((p, n) for p, n in found.items() if self.bounds.paths is None or p in self.bounds.paths)
 
     def partitions(self):
         headers_only = self.view in ("recordings", "signals")
@@ -135,7 +130,7 @@ class EdfReader(DataSourceReader):
         emit = getattr(self, f"_{self.view}")
         for path, i, n in partition.parts:
             try:
-                head, size = eb.read_header(path)
+                head, size = eb.read_header(path, open_file)
             except TraceError as why:
                 if not self.permissive:
                     raise
@@ -166,7 +161,7 @@ class EdfReader(DataSourceReader):
     def _blocks(self, path, h, first, end):
         """(first record, rows x bytes array) of a few records at a time, in file order."""
         step = max(1, min(self.rows, 2**23 // max(h.record_size, 1)))
-        with open(path, "rb") as f:
+        with open_file(path) as f:
             f.seek(h.header_bytes + first * h.record_size)
             for at in range(first, end, step):
                 k = min(step, end - at)
