@@ -91,3 +91,16 @@ def test_against_brute_force():
 
         sure = {j for j, t in items if longest(doc, t.split()) >= 12}
         assert sure <= got and all(longest(doc, dict(items)[j].split()) >= 9 for j in got)
+
+
+def test_removal(spark):
+    w = ITEM.split()
+    text = "Other words stand before it\n" + wrap(w[2:22], 5) + " and more\nGITTA & CO"
+    docs = spark.createDataFrame([(1, text, None), (2, "clean", None), (3, None, None)], f"d bigint, t string, b {BOX}")
+    items = spark.createDataFrame([(7, ITEM)], "i bigint, text string")
+    got = L.remove_spans(docs, items, "d", "t", "b", "i", "text").collect()
+    assert [(r.d, r.cleaned, r.n_removed) for r in got] == [(1, "Other words stand before it\nand more\nGITTA & CO", 20)]
+    kept = L.remove_documents(docs, L.find_leaks(docs, items, "d", "t", "b", "i", "text"), "d")
+    assert sorted(r.d for r in kept.collect()) == [2, 3] and kept.columns == ["d", "t", "b"]
+    broken = spark.createDataFrame([(1, "near Bara-\nholt was restored on Monday by Captain Elspet Dorwick and 2479 harbours x", None)], f"d bigint, t string, b {BOX}")
+    assert L.remove_spans(broken, items, "d", "t", "b", "i", "text").first().cleaned == "x"

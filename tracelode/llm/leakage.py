@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 GRAM, LEAST_WORDS, LEAST_HITS, SKIP_LINES, AFTER_SKIP = 3, 12, 4, 8, 3
 MOST_ITEM_WORDS = 5_000_000
@@ -150,6 +152,7 @@ class Page:
     def __init__(self, text: str, x0, x1, y0):
         lines = text.split("\n")
         order = reading_order(x0, x1, y0) if len(x0) == len(lines) else range(len(lines))
+        self.text, self.order = text, order
         seen = _SEEN
         rows = [[seen[c] for c in lines[k].split()] for k in order]
         self.rows = [r for r in ([t for t in r if t[0]] for r in rows) if r]
@@ -164,6 +167,24 @@ class Page:
             self.starts.append(self.starts[-1] + n)
 
 
+    def without(self, words: set[int]) -> str:
+        """The text without the given words; lines that only had such words go too."""
+        lines = self.text.split("\n")
+        at = 0
+        for k in self.order:
+            kept, cut = [], False
+            for chunk in re.split(r"(\s+)", lines[k]):
+                if chunk and not chunk.isspace() and _SEEN[chunk][0]:
+                    cut |= at in words
+                    kept.append("" if at in words else chunk)
+                    at += 1
+                else:
+                    kept.append(chunk)
+            if cut:
+                lines[k] = re.sub(r"\s+", " ", "".join(kept)).strip() or None
+        return "\n".join(x for x in lines if x is not None)
+
+
 class _Trace:
     """Follows a passage of one item through a page."""
 
@@ -198,54 +219,56 @@ class _Trace:
                 return 0 <= b < len(g.words) and g.line[b] != g.line[i] and self.joined(*((i, b) if step > 0 else (b, i)), j)
         return True
 
-    def follow(self, p: int, q: int, step: int) -> int:
-        """How many words of the item beyond q the page has beyond p, forward (step 1) or backward (-1)."""
-        g, began = self.page, q
+    def follow(self, p: int, q: int, step: int) -> tuple[int, list[int]]:
+        """(how many words of the item beyond q the page has beyond p, their places), forward (step 1) or backward (-1)."""
+        g, began, path = self.page, q, []
         n, m, lines = len(g.words), len(self.words), len(g.starts) - 1
         head = (lambda k: g.starts[k]) if step > 0 else (lambda k: g.starts[k + 1] - 1)
+        tail = (lambda k: g.starts[k + 1] - 1) if step > 0 else (lambda k: g.starts[k])
         while 0 <= q + step < m:
             want, nxt, here = q + step, p + step, g.line[p]
             if 0 <= nxt < n:
                 if self.same(nxt, want):
                     p, q = nxt, want
+                    path.append(p)
                     continue
                 # Words of accented letters alone drop out of the item; without their accents the page has them.
                 gap = abs(self.places[want] - self.places[q]) - 1
                 if gap and 0 <= nxt + step < n and len(g.words[nxt][0]) < 3 and self.same(nxt + step, want):
                     p, q = nxt + step, want
+                    path += [nxt, p]
                     continue
-            edge = head(here + 1) - 1 if step > 0 and here + 1 < lines else head(here - 1) + 1 if step < 0 and here > 0 else (n - 1 if step > 0 else 0)
             found = None
             # A word broken at the line's end, its other part in the next line or after lines in between.
-            part = nxt
-            if 0 <= part < n:
-                here2 = g.line[part]
-                last = (head(here2 + 1) - 1 if here2 + 1 < lines else n - 1) if step > 0 else (head(here2 - 1) + 1 if here2 > 0 else 0)
-                if part == last:
-                    for other in range(here2 + step, here2 + step * (SKIP_LINES + 2), step):
-                        if not 0 <= other < lines:
-                            break
-                        b = head(other)
-                        if self.joined(*((part, b) if step > 0 else (b, part)), want) and (abs(other - here2) == 1 or self.goes_on(b, want, step)):
-                            found = b
-                            break
+            if 0 <= nxt < n and nxt == tail(line := g.line[nxt]):
+                for other in range(line + step, line + step * (SKIP_LINES + 2), step):
+                    if not 0 <= other < lines:
+                        break
+                    b = head(other)
+                    if self.joined(*((nxt, b) if step > 0 else (b, nxt)), want) and (abs(other - line) == 1 or self.goes_on(b, want, step)):
+                        found = b
+                        path += [nxt, b]
+                        break
             # Whole lines in between: another column's, an advert's, a heading's.
-            if found is None and p == edge:
+            if found is None and p == tail(here):
                 for other in range(here + 2 * step, here + step * (SKIP_LINES + 2), step):
                     if not 0 <= other < lines:
                         break
                     b = head(other)
                     if self.same(b, want) and self.goes_on(b, want, step):
                         found = b
+                        path.append(b)
                         break
             if found is None:
                 break
             p, q = found, want
-        return abs(q - began)
+        return abs(q - began), path
+
 
+def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, set[int]]]:
+    """(page, item, first word, words in a row, the page's words) of each item of which a page has that many words in a row.
 
-def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
-    """(page, item, first word, words in a row) of each item of which a page has that many words in a row."""
+    The page's words are those of all such passages of the item."""
     sizes = np.array([len(g.words) for g in pages], np.int64)
     if not sizes.sum():
         return []
@@ -279,32 +302,30 @@ def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tu
         if at != laid:
             page.lay_out()
             laid = at
-        trace, places, best, seen = _Trace(page, items, item), items.places[item], (0, 0), set()
+        trace, places, best, seen, covered = _Trace(page, items, item), items.places[item], (0, 0), set(), set()
         for a, b in zip((p[i:j] - begin[at]).tolist(), q[i:j].tolist()):
             if (a, b) in seen:
                 continue
-            after = trace.follow(a + GRAM - 1, b + GRAM - 1, 1)
-            before = trace.follow(a, b, -1)
+            after, ahead = trace.follow(a + GRAM - 1, b + GRAM - 1, 1)
+            before, behind = trace.follow(a, b, -1)
             seen.update((a + x, b + x) for x in range(after + 1))
             first, last = b - before, b + GRAM - 1 + after
-            best = max(best, (places[last] - places[first] + 1, first))
+            length = places[last] - places[first] + 1
+            best = max(best, (length, first))
+            if length >= least:
+                covered.update(ahead, behind, range(a, a + GRAM))
         if best[0] >= least:
-            out.append((at, items.ids[item], best[1], best[0]))
+            out.append((at, items.ids[item], best[1], best[0], covered))
     return out
 
 
 def leaked_items(page: Page, items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
     """(item, first word, words in a row) of the items that one page leaks."""
-    return [x[1:] for x in leaked([page], items, least)]
+    return [x[1:4] for x in leaked([page], items, least)]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: str | None, item: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
-    """Columns: doc, item, first_word (of the item, from 0), n_words (in a row); one row per document and leaked item.
-
-    ``lines`` is a column of boxes (structs with x0, x1, y0), the i-th for the i-th line of the text; where their number
-    isn't that of the lines (or the column is None) lines are read in their order. Null and blank texts leak nothing;
-    null ids are left out; repeated rows of a document give its leaks once. Items with null or short texts are never
-    leaked; items of the same id count as one (the first). The items may have 5 million words altogether, or it's refused."""
+def _search(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: str | None, item: str, item_text: str, least: int, schema: str, rows_of) -> DataFrame:
+    """Maps pages of documents to rows: rows_of(page, leaks of the page) gives the values after the document's id."""
     listed = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     size = listed.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     if size > MOST_ITEM_WORDS:
@@ -313,6 +334,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: st
     edge = lambda k: F.transform(lines, lambda b: b[k].cast("double")) if lines else F.lit(None).cast("array<double>")
     boxes = [edge(k).alias(k) for k in ("x0", "x1", "y0")]
     rows = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t"), *boxes).where("d is not null and t is not null")
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         known = shared.value
@@ -326,15 +348,44 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: st
             where, out = [], []
             for i in range(0, len(texts), PAGES):
                 pages = [Page(texts[r], *(f[e[r] : e[r + 1]] for f, e in zip(flat, ends))) for r in range(i, min(i + PAGES, len(texts)))]
-                for at, item, a, n in leaked(pages, known, least):
-                    where.append(i + at)
-                    out.append((item, a, n))
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["d", "i", "a", "n"])
-
-    types = dict(docs.dtypes)[doc], dict(items.dtypes)[item]
-    kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[types[1]]
-    found = rows.mapInArrow(run, f"d {types[0]}, i {types[1]}, a int, n int")
+                by_page: dict[int, list] = {}
+                for at, *leak in leaked(pages, known, least):
+                    by_page.setdefault(at, []).append(leak)
+                for at, leaks in by_page.items():
+                    for row in rows_of(pages[at], leaks):
+                        where.append(i + at)
+                        out.append(row)
+            cols = list(zip(*out)) or [()] * (len(arrow) - 1)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), *(pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:]))], names=arrow.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: str | None, item: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
+    """Columns: doc, item, first_word (of the item, from 0), n_words (in a row); one row per document and leaked item.
+
+    ``lines`` is a column of boxes (structs with x0, x1, y0), the i-th for the i-th line of the text; where their number
+    isn't that of the lines (or the column is None) lines are read in their order. Null and blank texts leak nothing;
+    null ids are left out; repeated rows of a document give its leaks once. Items with null or short texts are never
+    leaked; items of the same id count as one (the first). The items may have 5 million words altogether, or it's refused."""
+    schema = f"d {dict(docs.dtypes)[doc]}, i {dict(items.dtypes)[item]}, a int, n int"
+    found = _search(docs, items, doc, text, lines, item, item_text, least, schema, lambda page, leaks: [(i, a, n) for i, a, n, _ in leaks])
     return found.groupBy("d", "i").agg(F.max(F.struct("n", "a")).alias("x")).select(F.col("d").alias(doc), F.col("i").alias(item), F.col("x.a").alias("first_word"), F.col("x.n").alias("n_words"))
 
 
+def remove_spans(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: str | None, item: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
+    """doc, cleaned text (without the words of leaked passages), n_removed for each document row that leaks an item.
+
+    Lines that had only such words are dropped. Arguments and cases are those of ``find_leaks``; repeated rows are kept."""
+    schema = f"d {dict(docs.dtypes)[doc]}, cleaned string, n_removed int"
+
+    def rows_of(page, leaks):
+        words = set().union(*(covered for *_, covered in leaks))
+        return [(page.without(words), len(words))]
+
+    return _search(docs, items, doc, text, lines, item, item_text, least, schema, rows_of).withColumnRenamed("d", doc)
+
+
+def remove_documents(docs: DataFrame, leaks: DataFrame, doc: str) -> DataFrame:
+    """The documents without those that ``leaks`` names."""
+    return docs.join(leaks.select(doc).distinct(), doc, "left_anti")

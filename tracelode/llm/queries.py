@@ -56,6 +56,11 @@ def _(spark, sf):
     return found.select("doc_id", "item_id")
 
 
+@query("p9_cleaned")
+def _(spark, sf):
+    return leakage.remove_spans(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"), "doc_id", "text", "lines", "item_id", "text")
+
+
 def _restored(spark, sf):
     return mojibake.repair(_table(spark, sf, "documents"), "doc_id", "text", "lang")
 
