@@ -107,10 +107,10 @@ def restore(run: str, wrong: str, right: str) -> str | None:
     return None if r == run else r
 
 
-def _mix(a, b):
-    with np.errstate(over="ignore"):
-        h = (np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.asarray(b, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return h ^ (h >> np.uint64(31))
+def _mix(a: np.ndarray, b) -> np.ndarray:
+    """Hash of each a with b; a is an array, so that products wrap without a warning."""
+    h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.asarray(b).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(31))
 
 
 def _salt(group: str | None) -> int:
@@ -118,7 +118,7 @@ def _salt(group: str | None) -> int:
     return 0 if group is None else zlib.crc32(group.encode("utf-8", "surrogatepass")) + 1
 
 
-def _cell(h, salt: int):
+def _cell(h: np.ndarray, salt: int) -> np.ndarray:
     return (_mix(h, salt) >> np.uint64(44)).astype(np.int64) % CELLS
 
 
@@ -191,25 +191,28 @@ class Model:
         expected = np.maximum(one[:-1] * one[1:] / self.total, 1e-9)
         return np.log((n + SMOOTH) / (expected + SMOOTH))
 
-    def likelihood(self, s: str, salt: int) -> float:
-        """Log-probability of the characters of s after its first, each given the one before it."""
-        n, one = self._look(s, salt)
-        prior = (one[1:] + SMOOTH) / self.total
-        return float(np.log((n + 5.0 * prior + 1e-3) / (one[:-1] + 5.0)).sum())
-
-    def familiarity(self, s: str, salt: int) -> float:
-        """Log of how often each inner character stands between its neighbours, summed up over the non-ASCII ones."""
-        cp = _points(s)
-        n = self.tables[TRIPLE][_cell(_triples(cp), salt)].astype(float)
-        return float(np.log(n + 0.5)[cp[1:-1] > 127].sum())
+    def weigh(self, texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text (two things, both logs): the probability of its characters after the first, each given the one before it;
+        how often each inner non-ASCII character stands between its neighbours."""
+        cp = _points("".join(texts))
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        one = self.tables[ONE][_cell(cp, salt)].astype(float)
+        n = self.tables[PAIR][_cell(_pairs(cp), salt)].astype(float)
+        log = np.log((n + 5.0 * (one[1:] + SMOOTH) / self.total + 1e-3) / (one[:-1] + 5.0))
+        inside = of[:-1] == of[1:]
+        likelihood = np.bincount(of[1:][inside], log[inside], len(texts))
+        middle = (cp[1:-1] > 127) & (of[:-2] == of[2:])
+        triples = self.tables[TRIPLE][_cell(_triples(cp)[middle], salt)].astype(float)
+        return likelihood, np.bincount(of[1:-1][middle], np.log(triples + 0.5), len(texts))
 
     def seen(self, characters: set[str]) -> bool:
         """Whether all of the characters stand in the corpus."""
-        return all(self.tables[ONE][_cell(np.uint64(ord(c)), 0)] > 0 for c in characters)
+        return bool((self.tables[ONE][_cell(_points("".join(characters)), 0)] > 0).all())
 
     def known(self, words: list[str], salt: int) -> bool:
         """Whether every one of the words that has a non-ASCII letter stands in the corpus more than once."""
-        return all(self.tables[WORD][_cell(np.uint64(_word(w)), salt)] >= 2 for w in words if not w.isascii())
+        hashes = np.array([_word(w) for w in words if not w.isascii()], np.uint64)
+        return bool((self.tables[WORD][_cell(hashes, salt)] >= 2).all())
 
     def judge(self, before: str, run: str, after: str, salt: int = 0) -> tuple[bool, list[tuple[int, float, str]]]:
         """(whether it's wrong in any case, [(mapping, gain, restored)]) for a stretch of non-ASCII characters."""
@@ -226,22 +229,26 @@ class Model:
         s = before + run + after
         if not sure and not _best_segment(EXPECTED - self.information(s, salt)):
             return False, []
-        base, seen, out = self.likelihood(s, salt), self.familiarity(s, salt), []
+        tried = []
         for k, (wrong, right) in enumerate(MAPPINGS):
             r = restore(run, wrong, right)
             if r is None or LOST in r:
                 continue
-            gain = self.likelihood(before + r + after, salt) - base
-            if right == "utf-8":
-                twice = restore(r, wrong, right)  # text may have been decoded wrongly twice
-                if twice is not None and (more := self.likelihood(before + twice + after, salt) - base) > gain:
-                    gain, r = more, twice
-                if not self.seen(set(r) - set(run)):
-                    gain -= LEAST_NEW  # characters that the corpus doesn't have
-            else:
-                gain += self.familiarity(before + r + after, salt) - seen
-            if gain > 0:
-                out.append((k, gain, r))
+            tried.append((k, r))
+            if right == "utf-8" and (twice := restore(r, wrong, right)) is not None:
+                tried.append((k, twice))  # text may have been decoded wrongly twice
+        if not tried:
+            return sure, []
+        likelihood, familiarity = self.weigh([s, *(before + r + after for _, r in tried)], salt)
+        best: dict[int, tuple[int, float, str]] = {}
+        for (k, r), gain, known in zip(tried, (likelihood[1:] - likelihood[0]).tolist(), (familiarity[1:] - familiarity[0]).tolist()):
+            if k >= UTF8:
+                gain += known
+            elif not self.seen(set(r) - set(run)):
+                gain -= LEAST_NEW  # characters that the corpus doesn't have
+            if gain > 0 and gain > best.get(k, (k, 0.0, ""))[1]:
+                best[k] = (k, gain, r)
+        out = list(best.values())
         return sure, sorted(out, key=lambda x: (x[0] >= UTF8 or x[1] < LEAST_UTF8, -x[1]))
 
 
