@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 2**20
-EXPECTED = 6.0
+EXPECTED = 8.0
 SMOOTH = 0.2
 LEAST_UTF8, LEAST_WORD, LEAST_SIGN, LEAST_WITH, LEAST_NEW = 0.5, 5.0, 6.0, 3.0, 10.0
 PAIR, ONE, TRIPLE, WORD = range(4)
