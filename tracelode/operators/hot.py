@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,9 +15,11 @@ _DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: below spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder for intermediate tables: below spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _DIRS.get("")
         if base is None:
             base = _DIRS[""] = tempfile.mkdtemp(prefix="tracelode-")
@@ -36,10 +38,7 @@ def _remove(path: str) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
     except Exception:
-        if os.path.isdir(path):
-            import shutil
-
-            shutil.rmtree(path, ignore_errors=True)
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
