@@ -69,6 +69,14 @@ def test_permissive(spark, tmp_path, edge):
     assert read_edf(spark, str(tmp_path / "none*.edf")).count() == 0
 
 
+def test_views_in_sql(spark, edge):
+    from tracelode.sources.catalog import register
+
+    assert register(spark, edge["gaps"], "t_") == ["t_recordings", "t_signals", "t_chunks", "t_annotations", "t_record_onsets", "t_warnings"]
+    got = spark.sql("SELECT record_idx, physical[0] AS p FROM t_chunks WHERE signal_idx = 0 AND record_idx >= 1 ORDER BY 1").collect()
+    assert [r.record_idx for r in got] == [1, 2] and spark.sql("SELECT count(*) FROM t_warnings").first()[0] == 0
+
+
 def test_every_header_error(spark, tmp_path):
     from tracelode.plans.staging import bad_files
 

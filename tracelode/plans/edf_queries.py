@@ -9,6 +9,7 @@ from tracelode.functions.edf_bytes import read_header
 from tracelode.operators import events as ev
 from tracelode.operators import samples as sp
 from tracelode.plans.staging import staged
+from tracelode.sources.catalog import register
 from tracelode.sources.edf import read_edf
 
 R1 = """WITH m AS (SELECT date_trunc('second', min(ts)) t0 FROM events),
@@ -368,3 +369,12 @@ def _(spark, sf):
 @query("errors")
 def _(spark, sf):
     return _view(spark, sf, "bad", "recordings", mode="PERMISSIVE").select(_file(), "error")
+
+
+@query("sql_views", R1 + "SELECT r AS record_idx, ron - s AS onset, CAST(count(*) AS bigint) AS n, CAST(sum(dg) AS bigint) AS total FROM e JOIN rec USING (r), s0 WHERE ron - s < 86400 GROUP BY r, ron, s")
+def _(spark, sf):
+    register(spark, staged(spark, sf, "r1"), "r1_")
+    return spark.sql(
+        "SELECT c.record_idx, o.onset, CAST(size(c.digital) AS bigint) AS n, aggregate(c.digital, 0L, (a, x) -> a + x) AS total "
+        "FROM r1_chunks c JOIN r1_record_onsets o ON c.path = o.path AND c.record_idx = o.record_idx WHERE c.signal_idx = 0 AND o.onset < 86400"
+    )
