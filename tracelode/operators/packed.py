@@ -199,7 +199,7 @@ def unpack(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     position and isn't returned. Rows with the same key and text give their values once.
     Very long fields are parsed whole. Further columns of df are ignored, whatever their names."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("p")
-    texts = df.select(F.col(key).alias("key"), pairs).select("key", "p.name", "p.text").where(F.trim("text") != "").dropDuplicates()
+    texts = df.select(F.col(key).alias("key"), pairs).select("key", "p.name", "p.text").where(F.trim("text") != "")
     bits_b = _code_lengths(texts, fields, _code_lengths(texts, fields))
 
     def parse(batches):
