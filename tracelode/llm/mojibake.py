@@ -152,7 +152,11 @@ def _count(batches):
             mid = np.flatnonzero(cp[1:-1] > 127) + 1
             ones = np.bincount(cp)
             single = np.flatnonzero(ones)
-            words = Counter(_word(w) for t in texts if not t.isascii() for w in _WORD.findall(t))
+            chunks = Counter(c for t in texts if not t.isascii() for c in t.split() if not c.isascii())
+            words: Counter = Counter()
+            for c, n in chunks.items():
+                for w in _WORD.findall(c):
+                    words[_word(w)] += n
             found = {
                 PAIR: np.unique(_mix(cp[at], cp[at + 1]), return_counts=True), ONE: (single.astype(np.uint64), ones[single]),
                 TRIPLE: np.unique(_mix(_mix(cp[mid - 1], cp[mid]), cp[mid + 1]), return_counts=True),
