@@ -143,7 +143,7 @@ def harmonise(signals: DataFrame, devices: DataFrame, units: DataFrame, file: st
     One row per (file, place). ``source`` is 'inferred' where no text names a unit and only the range tells; such a
     row's unit is an estimate. ``units`` is the reference list (unit_id, symbol, quantity, is_common), at most 1000 rows;
     units without a known conversion are ignored. ``devices`` gives the device columns of a file; files that it lacks
-    form devices of their own block. Null or non-finite limits give no evidence and null results. Rows with null file or
+    form devices of their own block; file and place are whole numbers. Null or non-finite limits give no evidence and null results. Rows with null file or
     place are left out; if rows of a key differ, one of them counts. Up to three ``texts`` are read, in that order."""
     ref = units.select("unit_id", "symbol", "quantity", "is_common").limit(1001).toPandas()
     if len(ref) > 1000:
