@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 GRAM, LEAST_WORDS, LEAST_HITS, SKIP_LINES, AFTER_SKIP = 3, 12, 4, 8, 3
 MOST_ITEM_WORDS = 5_000_000
 PAGES = 500
+FEW_ITEMS = 2
 
 # Letters that scanners take for one another, by the letter that stands for them.
 CONFUSED = {"o": "eca0", "n": "rum", "i": "l1", "t": "f", "h": "b8", "s": "5", "v": "y", "g": "q"}
@@ -135,15 +136,15 @@ class Items:
         self.hashes, self.begin = np.unique(every[by], return_index=True)
         self.size = np.diff(np.r_[self.begin, len(every)])
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the document, item, place in the item) of each window that both have."""
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the document, item, place in the item, whether few items have it) of each window that both have."""
         if not len(self.hashes) or not len(h):
-            return (np.zeros(0, int),) * 3
+            return (np.zeros(0, int),) * 4
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         p = np.flatnonzero(self.hashes[at] == h)
         n = self.size[at[p]]
         j = np.repeat(self.begin[at[p]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(p, n), self.item_of[j], self.at[j]
+        return np.repeat(p, n), self.item_of[j], self.at[j], np.repeat(n, n) <= FEW_ITEMS
 
 
 class Page:
@@ -275,22 +276,26 @@ def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tu
     begin = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(pages)), sizes)
     h = grams(np.concatenate([g.keys for g in pages]))
-    p, k, q = items.hits(h)
+    p, k, q, few = items.hits(h)
     one = of[p] == of[p + GRAM - 1]  # a window doesn't reach into the next page
-    p, k, q = p[one], k[one], q[one]
+    p, k, q, few = p[one], k[one], q[one], few[one]
     if len(p) < LEAST_HITS:
         return []
-    # A passage of so many words has several windows of its item close together, also with words broken at line ends.
+    # A passage of so many words has several windows of its item close together, also with words broken at line ends:
+    # LEAST_HITS of any kind, or one less if two of them stand in few items.
     wide = np.int64(1) << np.int64(30)
     pair = of[p] * len(items.ids) + k
     every = pair * wide + q
-    codes = np.unique(every)
-    close = codes[LEAST_HITS - 1 :] - codes[: len(codes) - LEAST_HITS + 1] <= least - GRAM
-    if not close.any():
-        return []
+    codes, first = np.unique(every, return_index=True)
+    rare = few[first].astype(int)
     dense = np.zeros(len(codes), bool)
-    for i in range(LEAST_HITS):
-        dense[i : len(codes) - LEAST_HITS + 1 + i] |= close
+    for size, least_rare in ((LEAST_HITS, 0), (LEAST_HITS - 1, 2)):
+        n = len(codes) - size + 1
+        close = (codes[size - 1 :] - codes[:n] <= least - GRAM) & (sum(rare[i : n + i] for i in range(size)) >= least_rare)
+        for i in range(size):
+            dense[i : n + i] |= close
+    if not dense.any():
+        return []
     kept = np.flatnonzero(dense[np.searchsorted(codes, every)])
     kept = kept[np.argsort(pair[kept], kind="stable")]
     pair, p, q = pair[kept], p[kept], q[kept]
