@@ -202,13 +202,35 @@ def test_faults(spark):
     assert judge(spark, rows[:0], []) == []
 
 
-def test_every_far_sample_is_a_candidate():
+def test_wavelet_parts_and_scales():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(200, 10)) * rng.choice([1, 30], size=(200, 10), p=[0.8, 0.2])
+    x = rng.normal(5.0, 2.0, size=(4000, 10))
     parts = faults.details(x)
     assert np.allclose(sum(parts), x)
-    top = np.max([np.abs(p) for p in parts], axis=0) * (faults.LEVELS + 1)
-    assert (top >= np.abs(x) * (1 - 1e-9)).all()
+    _, scales = faults.coefficients(x)
+    assert np.sqrt((np.median(scales, axis=0) ** 2).sum()) == pytest.approx(2.0, rel=0.2)
+    assert faults.coefficients(np.full((1, 10), np.nan))[0].tolist() != [0.0]
+
+
+def pulses(level=0):
+    """A source that pulses for three to four samples of each snippet, with one true spike."""
+    rnd = random.Random(9)
+    rows = []
+    for r in range(30):
+        start, n = rnd.randrange(1, 6), rnd.choice([3, 4])
+        rows.append((1, 0, r, d := [level + rnd.randrange(-2, 3) + (100 if start <= k < start + n else 0) for k in range(10)], [float(x) for x in d]))
+    rows[4][3][9], rows[4][4][9] = 1500, 1500.0
+    return rows
+
+
+def test_wavelet_scales_decide(spark):
+    """Median and median deviation of the samples take every pulse for a spike; the scales of the coefficients don't."""
+    rows = pulses()
+    every = np.array([x for r in rows for x in r[3]], float)
+    mid = np.median(every)
+    plain = np.abs(every - mid) > faults.LIMIT * 1.4826 * np.median(np.abs(every - mid))
+    assert plain.sum() > 80
+    assert judge(spark, rows, []) == [(1, 0, 4, 9, "spike")]
 
 
 # --- helpers -----------------------------------------------------------------------

@@ -1,17 +1,25 @@
 """Implausible samples: impossible readings, stuck values and spikes, relative to their source.
 
-Per source a wavelet decomposition (additive, undecimated Haar): a snippet minus its source's
-level is the sum of detail coefficients of ``LEVELS`` dyadic scales and of a smooth rest. Each
-is held against the source's robust spread; where any exceeds its share of the limit, the
-sample is a candidate, and its whole deviation is compared with the limit. The shares add up
-to the limit, so every sample beyond it is a candidate. Runs of zero detail at the finest
-scale reveal sticking. Bounds show impossible readings.
-
-Level and spread of a source are medians over its snippets of each snippet's median and
-scaled median deviation, together with the quartiles of the snippets' medians. They come
-from mergeable quantile sketches with partial aggregation, so a source may hold any share
-of the rows; only those sketches and each snippet once are shuffled. The join of snippets
-with their source's figures is left to adaptive execution, which splits hot sources.
+Each snippet is decomposed by an undecimated Haar wavelet into detail coefficients of ``LEVELS``
+dyadic scales and a smooth rest. They add up to the samples, and their mean squares add up to
+the samples' mean square, so a source's usual level and spread come from its coefficients:
+
+* level: median of the smooth coefficients;
+* scale of each detail level: scaled median of its absolute coefficients, and of the smooth rest
+  its scaled median deviation within snippets together with the quartiles between them;
+* spread: root of the sum of the squared scales. A source that pulses (low for most of its time,
+  high for some samples of each snippet) has large coefficients at the scale of the pulses, which
+  the median deviation of its samples would not see.
+
+A coefficient beyond ``SIGNIFICANT`` scales of its level is significant, and a sample is a
+candidate for a spike if one of its coefficients is. A candidate is then held against the stated limit of
+ten spreads from the level. Runs of zero detail at the finest scale reveal sticking, and sources
+with mostly zero detail there hold their level by nature. Bounds show impossible readings.
+
+All figures are medians over a source's snippets of each snippet's median, from mergeable quantile
+sketches with partial aggregation, so a source may hold any share of the rows; only those sketches
+and each snippet once are shuffled. The join of snippets with their source's figures is left to
+adaptive execution, which splits hot sources.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVELS, RUN, LIMIT = 3, 5, 10.0
+LEVELS, RUN, LIMIT, SIGNIFICANT = 3, 5, 10.0, 4.0
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +55,6 @@ def _median(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, (a + b) / 2, np.nan)
 
 
-def _summary(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mid = _median(x)
-    return mid, 1.4826 * _median(np.abs(x - mid[:, None]))
-
-
 def details(x: np.ndarray) -> list[np.ndarray]:
     """Additive wavelet parts of each row: details of the scales, then the smooth rest."""
     parts, c = [], x
@@ -64,29 +67,66 @@ def details(x: np.ndarray) -> list[np.ndarray]:
     return [*parts, c]
 
 
-def runs(x: np.ndarray, has: np.ndarray) -> np.ndarray:
-    """Length of the run of equal values that each element is part of."""
-    same = (x[:, 1:] == x[:, :-1]) & has[:, 1:] & has[:, :-1]
-    ahead, back = np.ones(x.shape, np.int32), np.ones(x.shape, np.int32)
-    for t in range(1, x.shape[1]):
-        back[:, t] = np.where(same[:, t - 1], back[:, t - 1] + 1, 1)
-        u = x.shape[1] - 1 - t
-        ahead[:, u] = np.where(same[:, u], ahead[:, u + 1] + 1, 1)
+def _filled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(samples with the snippet's median where there's no finite one, which are finite)."""
+    ok = np.isfinite(x)
+    return np.where(ok, x, np.nan_to_num(_median(x))[:, None]), ok
+
+
+def _calm(x: np.ndarray) -> np.ndarray:
+    """Rows with elements far from the median of five neighbouring ones put there: one or two odd samples go, pulses of three stay."""
+    n = x.shape[1]
+    size = min(5, n)
+    begin = np.clip(np.arange(n) - size // 2, 0, n - size)  # windows at the ends stay inside
+    middle = np.sort(x[:, begin[:, None] + np.arange(size)], axis=2)[:, :, size // 2]
+    far = 1.4826 * _median(np.abs(x - _median(x)[:, None]))[:, None] * LIMIT
+    return np.where(np.abs(x - middle) > far, middle, x)
+
+
+def coefficients(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row (median of its smooth coefficients; scale of each detail level, then of the smooth rest within it).
+
+    Odd samples are calmed beforehand, as each would spread over several coefficients of the coarser scales."""
+    full, ok = _filled(x)
+    parts = [np.where(ok, p, np.nan) for p in details(_calm(full))]
+    level = _median(parts[-1])
+    return level, np.stack([1.4826 * _median(np.abs(p)) for p in parts[:-1]] + [1.4826 * _median(np.abs(parts[-1] - level[:, None]))], axis=1)
+
+
+def flat(x: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Where the finest detail between an element and the one before it is zero (first column: never)."""
+    out = np.zeros(x.shape, bool)
+    out[:, 1:] = ((x[:, 1:] - x[:, :-1]) / 2 == 0) & has[:, 1:] & has[:, :-1]
+    return out
+
+
+def runs(zero: np.ndarray) -> np.ndarray:
+    """Length of the run of elements without finest detail that each element is part of."""
+    ahead, back = np.ones(zero.shape, np.int32), np.ones(zero.shape, np.int32)
+    for t in range(1, zero.shape[1]):
+        back[:, t] = np.where(zero[:, t], back[:, t - 1] + 1, 1)
+        u = zero.shape[1] - 1 - t
+        ahead[:, u] = np.where(zero[:, u + 1], ahead[:, u + 1] + 1, 1)
     return ahead + back - 1
 
 
+SIDES = ("d", "p")
+FIGURES = [f"{n}{side}" for side in SIDES for n in ("m", *(f"s{j}" for j in range(LEVELS + 1)))]
+
+
 def _snippet_figures(batches):
     for b in batches:
-        d, has = matrix(b["digital"])
-        p, _ = matrix(b["physical"])
-        md, wd = _summary(d)
-        mp, wp = _summary(p)
-        pairs = (has[:, 1:] & has[:, :-1]).sum(1)
-        equal = ((d[:, 1:] == d[:, :-1]) & has[:, 1:] & has[:, :-1]).sum(1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            held = np.where(pairs > 0, equal / pairs, np.nan)
+        out = []
+        for side, name in zip(SIDES, ("digital", "physical")):
+            x, has = matrix(b[name])
+            level, scales = coefficients(x)
+            out += [level, *scales.T]
+            if side == "d":
+                pairs = (has[:, 1:] & has[:, :-1]).sum(1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    held = np.where(pairs > 0, flat(x, has).sum(1) / pairs, np.nan)
         none = lambda x: pa.array(x, pa.float64(), mask=~np.isfinite(x))
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"], *map(none, (md, wd, mp, wp, held))], names=["a", "b", "md", "wd", "mp", "wp", "held"])
+        yield pa.RecordBatch.from_arrays([b["a"], b["b"], *map(none, out), none(held)], names=["a", "b", *FIGURES, "held"])
 
 
 def _judge(batches):
@@ -100,15 +140,15 @@ def _judge(batches):
         steady = np.asarray(b["held"].fill_null(0.0)) > 0.5
         with np.errstate(invalid="ignore"):
             impossible = (has & ((d < col("dmin")) | (d > col("dmax")))) | (phas & ~np.isfinite(p))
-            stuck = has & (runs(d, has) >= RUN) & ~steady[:, None]
+            stuck = has & (runs(flat(d, has)) >= RUN) & ~steady[:, None]
             spike = np.zeros(d.shape, bool)
-            for x, mid, spread in ((d, col("ld"), col("sd")), (p, col("lp"), col("sp"))):
-                off = np.where(np.isfinite(x), x - mid, 0.0)
-                far = LIMIT * spread
+            for x, side in zip((d, p), SIDES):
+                mid, spread = col(f"level_{side}"), col(f"spread_{side}")
+                full, ok = _filled(x)
                 candidate = np.zeros(x.shape, bool)
-                for part in details(off):
-                    candidate |= np.abs(part) * (LEVELS + 1) > far * (1 - 1e-9)
-                spike |= candidate & (np.abs(off) > far)
+                for j, part in enumerate(details(full - mid)):
+                    candidate |= np.abs(part) > SIGNIFICANT * col(f"scale{j}_{side}")
+                spike |= ok & candidate & (np.abs(x - mid) > LIMIT * spread)
             spike &= ~steady[:, None]
         kind = np.where(impossible, 1, np.where(stuck, 2, np.where(spike, 3, 0)))
         r, s = np.nonzero(kind)
@@ -119,6 +159,24 @@ def _judge(batches):
         )
 
 
+def source_figures(rows: DataFrame) -> DataFrame:
+    """a, b (the source), held, and of each side its level, spread and scales. Input: a, b, digital, physical."""
+    kinds = dict(rows.dtypes)
+    figures = rows.select("a", "b", "digital", "physical").mapInArrow(_snippet_figures, f"a {kinds['a']}, b {kinds['b']}, {', '.join(f + ' double' for f in FIGURES)}, held double")
+    mid = lambda c: F.percentile_approx(c, 0.5, 1000)
+    quart = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
+    per = figures.groupBy("a", "b").agg(*[(quart if f.startswith("m") else mid)(f).alias(f) for f in FIGURES], mid("held").alias("held"))
+    out = ["a", "b", "held"]
+    for side, least in zip(SIDES, (0.5, 0.0)):
+        square = lambda c: F.pow(F.coalesce(c, F.lit(0.0)), 2)
+        between = (F.col(f"m{side}")[2] - F.col(f"m{side}")[0]) / 1.349
+        scales = [F.col(f"s{j}{side}") for j in range(LEVELS)] + [F.sqrt(square(F.col(f"s{LEVELS}{side}")) + square(between))]
+        spread = F.greatest(F.sqrt(sum(square(c) for c in scales)), F.lit(least))
+        # A source without any spread has no usual one to hold its samples against.
+        out += [F.col(f"m{side}")[1].alias(f"level_{side}"), F.when(spread > 0, spread).alias(f"spread_{side}"), *[F.coalesce(c, F.lit(0.0)).alias(f"scale{j}_{side}") for j, c in enumerate(scales)]]
+    return per.select(*out)
+
+
 def implausible(snippets: DataFrame, limits: DataFrame, source: list[str], record: str, digital: str, physical: str, low: str, high: str) -> DataFrame:
     """Columns: the two source columns, record, sample_no (from 0), kind: the first that applies of
     'impossible', 'stuck', 'spike'. One row for each such sample; repeated rows give it once.
@@ -131,13 +189,7 @@ def implausible(snippets: DataFrame, limits: DataFrame, source: list[str], recor
     a, b = source
     rows = snippets.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(record).alias("c"), F.col(digital).alias("digital"), F.col(physical).alias("physical")).where("a is not null and b is not null")
     kinds = dict(rows.dtypes)
-    figures = rows.select("a", "b", "digital", "physical").mapInArrow(_snippet_figures, f"a {kinds['a']}, b {kinds['b']}, md double, wd double, mp double, wp double, held double")
-    mid = lambda c: F.percentile_approx(c, 0.5, 1000)
-    quart = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
-    per = figures.groupBy("a", "b").agg(quart("md").alias("qd"), mid("wd").alias("wd"), quart("mp").alias("qp"), mid("wp").alias("wp"), mid("held").alias("held"))
-    spread = lambda q, w: F.sqrt(F.pow(F.coalesce(w, F.lit(0.0)), 2) + F.pow((F.col(q)[2] - F.col(q)[0]) / 1.349, 2))
-    per = per.select("a", "b", "held", F.col("qd")[1].alias("ld"), F.greatest(spread("qd", F.col("wd")), F.lit(0.5)).alias("sd"), F.col("qp")[1].alias("lp"), spread("qp", F.col("wp")).alias("sp0"), F.col("wd").alias("wd"))
     bounds = limits.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi")).groupBy("a", "b").agg(F.min("lo").alias("dmin"), F.max("hi").alias("dmax"))
-    known = per.join(bounds, ["a", "b"], "left").select("a", "b", "held", "ld", "sd", "lp", F.when(F.col("sp0") > 0, F.col("sp0")).alias("sp"), "dmin", "dmax")
+    known = source_figures(rows).join(bounds, ["a", "b"], "left")
     judged = rows.join(known, ["a", "b"]).mapInArrow(_judge, f"a {kinds['a']}, b {kinds['b']}, c {kinds['c']}, sample_no int, kind string")
     return judged.dropDuplicates().select(F.col("a").alias(a), F.col("b").alias(b), F.col("c").alias(record), "sample_no", "kind")
