@@ -68,12 +68,13 @@ def harmonise(spark, rows, devices=((1, "d"),)):
 
 
 def test_units(spark):
-    rows = [(1, i, "uV", -400.0, 400.0, "EEG", None, "x") for i in range(8)] + [(1, 20, "mV", -0.4, 0.4, "EEG", None, None), (1, 20, "mV", -0.4, 0.4, "EEG", None, None), (1, 21, "-", -0.4, 0.4, "EEG [mV]", None, None), (1, 22, None, -0.4, 0.4, "EEG", "12 mV load", None), (2, 0, "F", 212.0, 32.0, "Temp", None, None), (2, 1, "K", None, 373.15, "Temp", None, None), (2, 2, "", None, None, None, None, None), (None, 2, "uV", 0.0, 1.0, None, None, None)]
+    rows = [(1, i, "uV", -400.0, 400.0, "EEG", None, "x") for i in range(8)] + [(1, 20, "mV", -0.4, 0.4, "EEG", None, None), (1, 20, "mV", -0.4, 0.4, "EEG", None, None), (1, 21, "-", -0.4, 0.4, "EEG [mV]", None, None), (1, 22, None, -0.4, 0.4, "EEG", "12 mV load", None), (2, 0, "F", 212.0, 32.0, "Temp", None, None), (2, 1, "K", None, 373.15, "Temp", None, None), (2, 2, "", None, None, None, None, None), (3, 0, "furlong", 0.0, 8.0, None, None, None), (None, 2, "uV", 0.0, 1.0, None, None, None)]
     got = {(r.f, r.i): r for r in harmonise(spark, rows).collect()}
-    assert len(got) == 14 and got[1, 0].is_common and got[1, 0].common_max == 400
+    assert len(got) == 15 and got[1, 0].is_common and got[1, 0].common_max == 400
     for i in (20, 21):
         assert (got[1, i].symbol, got[1, i].source, got[1, i].common_max) == ("mV", "stated", pytest.approx(400.0))
     assert (got[1, 22].symbol, got[1, 22].source) == ("mV", "inferred")  # the jump by a thousand tells
+    assert (got[3, 0].symbol, got[3, 0].source, got[3, 0].common_max) == ("furlong", "stated", None)  # no conversion is known
     assert got[2, 0].symbol == "degF" and got[2, 0].common_min == pytest.approx(100) and got[2, 0].common_max == pytest.approx(0)
     assert got[2, 1].symbol == "K" and got[2, 1].common_min is None and got[2, 1].common_max == pytest.approx(100)
     assert got[2, 2].source == "inferred"
@@ -84,6 +85,45 @@ def test_units(spark):
     assert units.harmonise(s, d, u, "f", "i", ["device"], "dim", "lo", "hi", ["label"]).count() == 0
 
 
+def drifting(n=120):
+    """One channel whose gain drifts; its unit switches for a stretch, where the unit's text is missing or a letter away from four units."""
+    rows = []
+    for f in range(n):
+        size = 200.0 * 1.03**f
+        switched = n // 3 <= f < 2 * n // 3
+        dim = ("xvolt" if f % 3 else None) if switched else "uV"
+        size = size / 1000 if switched else size
+        rows.append((f, 0, dim, -size, size, "EEG C3", None, None))
+    return rows
+
+
+def test_viterbi_decides(spark):
+    """Texts alone leave a mistyped or missing unit open; the jumps and the smooth level give it."""
+    rows = drifting()
+    got = {r.f: r for r in harmonise(spark, rows).collect()}
+    assert all(got[f].symbol == ("mV" if 40 <= f < 80 else "uV") for f in range(120))
+    assert {got[f].source for f in range(40, 80)} == {"mistyped", "inferred"}
+    assert sum(units.unit_named(r[2]) is None for r in rows) == 40  # what a look-up alone can't tell
+
+
+def test_blocks_of_any_size_agree(spark, monkeypatch):
+    rows = drifting(300)
+    whole = sorted(map(tuple, harmonise(spark, rows).collect()))
+    monkeypatch.setattr(units, "BLOCK", 80)
+    monkeypatch.setattr(units, "CONTEXT", 40)
+    assert sorted(map(tuple, harmonise(spark, rows).collect())) == whole
+    # Rows of a key that differ: the same one counts in any order.
+    twice = rows + [(r[0], r[1], "nV", *r[3:]) for r in rows[:5]]
+    assert sorted(map(tuple, harmonise(spark, twice).collect())) == sorted(map(tuple, harmonise(spark, twice[::-1]).collect()))
+
+
+def test_more_texts(spark):
+    s = spark.createDataFrame([(1, 0, None, -0.4, 0.4, "EEG", None, None, None, "values in mV")], "f bigint, i int, dim string, lo double, hi double, a string, b string, c string, d string, e string")
+    u = spark.createDataFrame(UNITS, "unit_id bigint, symbol string, quantity string, is_common boolean")
+    out = units.harmonise(s, s.select("f", F.lit("x").alias("dev")), u, "f", "i", ["dev"], "dim", "lo", "hi", ["a", "b", "c", "d", "e"])
+    assert [(r.symbol, r.source) for r in out.collect()] == [("mV", "stated")]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -91,6 +131,8 @@ def test_viterbi_is_the_best_path():
     e, t = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
     score = lambda p: sum(e[i, s] for i, s in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))
     assert score(units.viterbi(e, t)) == pytest.approx(max(map(score, itertools.product(range(3), repeat=5))))
+    both = units.viterbi(np.concatenate([e, e[:2], e]), t, starts=np.array([0, 5, 7]))
+    assert both.tolist() == [*units.viterbi(e, t), *units.viterbi(e[:2], t), *units.viterbi(e, t)]
 
 
 # --- regular grid ------------------------------------------------------------------

@@ -37,7 +37,7 @@ def _units(spark, sf):
 
 @query("p2_found")
 def _(spark, sf):
-    return _units(spark, sf).where("source = 'stated' and not is_common").select("file_id", "signal_index", "unit_id")
+    return _units(spark, sf).where("source <> 'inferred' and not is_common").select("file_id", "signal_index", "unit_id")
 
 
 @query("p2_common_ranges")
