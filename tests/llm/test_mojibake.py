@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from tracelode.llm import mojibake as M
@@ -51,3 +52,33 @@ def test_bytes_round_trip():
             if garbled:
                 assert M.restore(garbled, wrong, "utf-8") == "".join(c for c in text if ord(c) > 127)
     assert M.restore("éa", "cp1252", "utf-8") is None
+
+
+def test_segments_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        w = rng.integers(-4, 5, size=rng.integers(1, 12)).astype(float)
+        got = M.segments(w)
+        assert all(b <= c for (_, b), (c, _) in zip(got, got[1:]))
+        best = max((w[i:j].sum() for i in range(len(w)) for j in range(i + 1, len(w) + 1)), default=0.0)
+        assert max((w[i:j].sum() for i, j in got), default=0.0) == max(best, 0.0)
+        assert all(w[i:k].sum() > 0 and w[k:j].sum() > 0 for i, j in got for k in range(i + 1, j)) and {k for k in range(len(w)) if w[k] > 0} <= {k for i, j in got for k in range(i, j)}
+
+
+def test_segments_decide(spark, monkeypatch):
+    """A notation that the corpus has often is proper, even if an inverse mapping would make it likelier; the runs leave it out."""
+    notes = ["See Â§ 5 of the act." if i % 10 else "See § 5 of the act." for i in range(60)] + ["See § 5 and § 6 and § 7 and § 8 and § 9 of the act."] * 400
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(notes)], "id bigint, text string, lang string")
+    model = M.corpus_model(df, "text", "lang")
+    assert M.examine(notes[1], model, "en")[0]  # fifty of them among thousands of signs: still improbable
+    often = spark.createDataFrame([(i, t, "en") for i, t in enumerate(notes[:60] * 8 + notes[60:200] + [RU] * 40)], "id bigint, text string, lang string")
+    model = M.corpus_model(often, "text", "lang")
+    assert not M.examine(notes[1], model, "en")[0]
+    monkeypatch.setattr(M.Model, "runs", lambda self, before, stretch, after, salt: [(0, len(stretch))])
+    assert M.examine(notes[1], model, "en")[0]
+
+
+def test_rare_counts_are_left_out_alike(spark, monkeypatch):
+    monkeypatch.setattr(M, "FLOOR", 2.0**-8)
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(TEXTS)], "id bigint, text string, lang string")
+    assert all(len(t.keys) <= 2**8 for t in M.corpus_model(df, "text", "lang").tables)

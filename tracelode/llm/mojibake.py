@@ -1,24 +1,28 @@
 """Text decoded with a wrong character encoding: found, and restored where the original isn't lost.
 
-Adjacent characters are counted over the whole corpus. A pair's score is its pointwise mutual
-information; pairs of two ASCII characters can't come from a wrong decoding and end a run. In
-each text the maximum-scoring segments of (``EXPECTED`` - score) isolate improbable runs, and only
-inside those, widened to whole stretches of non-ASCII characters, inverse mappings are tested:
-the run is encoded with the encoding that was wrongly used and decoded with another one. A
-mapping counts by how much more probable it makes the run, given its neighbours, under the
+Adjacent characters are counted over the whole corpus, by language (if a column tells it) and overall. A pair's
+score is the logarithm of its share in the mutual information of adjacent characters: how often it stands in the corpus, times how
+much more often than its characters would meet by chance. Pairs that stand for much of the information are the language's
+own; those of a wrong decoding are rare beside them. The threshold comes from the corpus: the score below which a share ``IMPROBABLE``
+of the language's pairs with a non-ASCII character lies.
+
+In each stretch of non-ASCII characters with its neighbours, the maximum-scoring segments of (threshold - score) are the
+improbable runs. Inverse mappings are tested only on the characters of those: the run is encoded with the encoding
+that was wrongly used and decoded with another one. A mapping counts by how much more probable it makes the run, given its neighbours, under the
 corpus' pair counts; one between single-byte encodings, where any run decodes to something, also by
 how much more often the corpus has each restored character between its two neighbours, and it counts
-only where the restored word is known. Counts are kept by language, if a column tells it, and overall. Replacement characters and control characters of the upper range are
-wrong in any case; their original may be lost.
+only where the restored word is known. Replacement characters and control characters of the upper range carry no
+information, so they're always in a run; they prove it wrong, though their original may be lost.
 
-Counts are kept in tables of fixed size by hash (``CELLS``), aggregated within each batch first,
-so what goes to the driver and to the tasks is bounded whatever the corpus. Texts are only
+Counts are exact, by the characters themselves or by 64-bit hashes. What stands in less than a share ``FLOOR`` of a table's
+occurrences counts as not seen, so a table has at most 1 / ``FLOOR`` rows at any size of corpus. Texts are only
 mapped, never shuffled.
 """
 
 from __future__ import annotations
 
 import codecs
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -29,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS = 2**20
-EXPECTED = 8.0
+from tracelode.operators.hot import materialize
+
+FLOOR = 2.0**-21
+IMPROBABLE = 0.5
 SMOOTH = 0.2
 LEAST_UTF8, LEAST_WORD, LEAST_SIGN, LEAST_WITH, LEAST_NEW = 0.5, 5.0, 6.0, 3.0, 10.0
 PAIR, ONE, TRIPLE, WORD = range(4)
@@ -114,24 +120,25 @@ def _mix(a: np.ndarray, b) -> np.ndarray:
 
 
 def _salt(group: str | None) -> int:
-    """What sets the counts of a language apart; None is for all texts."""
-    return 0 if group is None else zlib.crc32(group.encode("utf-8", "surrogatepass")) + 1
+    """What sets the counts of a language apart, 21 bits; 0 is for all texts."""
+    return 0 if group is None else zlib.crc32(group.encode("utf-8", "surrogatepass")) % (2**21 - 1) + 1
 
 
-def _cell(h: np.ndarray, salt: int) -> np.ndarray:
-    return (_mix(h, salt) >> np.uint64(44)).astype(np.int64) % CELLS
+def _ones(cp: np.ndarray, salt: int) -> np.ndarray:
+    return (np.uint64(salt) << np.uint64(42)) | cp.astype(np.uint64)
 
 
-def _pairs(cp: np.ndarray) -> np.ndarray:
-    return _mix(cp[:-1], cp[1:])
+def _pairs(cp: np.ndarray, salt: int) -> np.ndarray:
+    c = cp.astype(np.uint64)
+    return (np.uint64(salt) << np.uint64(42)) | (c[:-1] << np.uint64(21)) | c[1:]
 
 
-def _triples(cp: np.ndarray) -> np.ndarray:
-    return _mix(_mix(cp[:-2], cp[1:-1]), cp[2:])
+def _triples(cp: np.ndarray, salt: int) -> np.ndarray:
+    return _mix(_mix(_mix(cp[:-2], cp[1:-1]), cp[2:]), salt)
 
 
 def _word(w: str) -> int:
-    return zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
+    return int.from_bytes(hashlib.blake2b(w.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 def _points(s: str) -> np.ndarray:
@@ -145,7 +152,7 @@ def _count(batches):
         for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if t:
                 groups.setdefault(g or "", []).append(t)
-        sides, cells, counts = [], [], []
+        sides, keys, counts = [], [], []
         for g, texts in groups.items():
             cp = _points("\n" + "\n".join(texts) + "\n")
             at = np.flatnonzero((cp[:-1] > 127) | (cp[1:] > 127))
@@ -157,69 +164,121 @@ def _count(batches):
             for c, n in chunks.items():
                 for w in _WORD.findall(c):
                     words[_word(w)] += n
-            found = {
-                PAIR: np.unique(_mix(cp[at], cp[at + 1]), return_counts=True), ONE: (single.astype(np.uint64), ones[single]),
-                TRIPLE: np.unique(_mix(_mix(cp[mid - 1], cp[mid]), cp[mid + 1]), return_counts=True),
-                WORD: (np.fromiter(words, np.uint64, len(words)), np.fromiter(words.values(), np.int64, len(words))),
-            }
-            for side, (h, n) in found.items():
-                for salt in {_salt(None), _salt(g)}:
+            two, three = np.stack([cp[at], cp[at + 1]], 1), np.stack([cp[mid - 1], cp[mid], cp[mid + 1]], 1)
+            pair, many = np.unique((two[:, 0].astype(np.uint64) << np.uint64(21)) | two[:, 1], return_counts=True)
+            plain = _mix(_mix(three[:, 0], three[:, 1]), three[:, 2])
+            triple, often = np.unique(plain, return_counts=True)
+            word = np.fromiter(words, np.uint64, len(words))
+            for salt in {_salt(None), _salt(g)}:
+                top = np.uint64(salt) << np.uint64(42)
+                found = {PAIR: (pair | top, many), ONE: (_ones(single, salt), ones[single]), TRIPLE: (_mix(triple, salt), often), WORD: (_mix(word, salt), np.fromiter(words.values(), np.int64, len(words)))}
+                for side, (h, n) in found.items():
                     sides.append(np.full(len(h), side, np.int32))
-                    cells.append(_cell(h, salt))
+                    keys.append(h.view(np.int64))
                     counts.append(n.astype(np.int64))
         if sides:
-            # one row for each cell of the batch
-            code, inverse = np.unique(np.concatenate(sides) * np.int64(CELLS) + np.concatenate(cells), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((code // CELLS).astype(np.int32)), pa.array(code % CELLS), pa.array(n)], names=["side", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sides)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["side", "key", "n"])
+
+
+class Table:
+    """Counts by 64-bit key; 0 for a key that isn't there."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        keys = np.asarray(keys, np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        self.keys, self.counts = keys[by], np.asarray(counts, float)[by].astype(np.float32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0.0).astype(float)
 
 
 class Model:
     """Counts of a corpus, and what they say about a run in a text of some language."""
 
-    def __init__(self, tables: list[np.ndarray]):
+    def __init__(self, tables: list[Table]):
         self.tables = tables
-        self.total = float(max(tables[ONE].sum() / 2, 1))
+        every = tables[ONE].keys < np.uint64(1 << 42)  # the counts of all texts
+        self.total = float(max(tables[ONE].counts[every].sum(dtype=float), 1))
+        self.totals = dict(zip(*self._by_salt(tables[ONE])))
+        self.thresholds = self._thresholds()
         self.memo: dict = {}
 
+    @staticmethod
+    def _by_salt(t: Table) -> tuple[list, list]:
+        salts, of = np.unique(t.keys >> np.uint64(42), return_inverse=True)
+        return salts.tolist(), np.bincount(of, weights=t.counts, minlength=len(salts)).tolist()
+
+    def _thresholds(self) -> dict[int, float]:
+        """Of each language the score below which a share of IMPROBABLE of its pairs lies, weighed by how often they stand."""
+        t, out = self.tables[PAIR], {}
+        mask = np.uint64((1 << 21) - 1)
+        salts, begin = np.unique(t.keys >> np.uint64(42), return_index=True)
+        for salt, i, j in zip(salts.tolist(), begin, [*begin[1:], len(t.keys)]):
+            k = t.keys[i:j]
+            score = self._score(t.counts[i:j].astype(float), (k >> np.uint64(21)) & mask, k & mask, salt)
+            by = np.argsort(score)
+            share = np.cumsum(t.counts[i:j][by], dtype=float)
+            out[salt] = float(score[by][np.searchsorted(share, IMPROBABLE * share[-1])])
+        return out
+
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
-    def _look(self, s: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    def _score(self, n: np.ndarray, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+        total = max(self.totals.get(salt, 1.0), 1.0)
+        one = self.tables[ONE]
+        expected = one.of(_ones(a, salt)) * one.of(_ones(b, salt)) / total
+        information = np.log((n + SMOOTH) / (expected + SMOOTH))
+        return np.log((n + SMOOTH) / total) + np.log(np.logaddexp(0.0, information))
+
+    def scores(self, s: str, salt: int) -> np.ndarray:
+        """Of each adjacent pair the logarithm of its share in the language's mutual information (in nats, kept above zero)."""
         cp = _points(s)
-        return self.tables[PAIR][_cell(_pairs(cp), salt)].astype(float), self.tables[ONE][_cell(cp.astype(np.uint64), salt)].astype(float)
+        return self._score(self.tables[PAIR].of(_pairs(cp, salt)), cp[:-1], cp[1:], salt)
 
-    def information(self, s: str, salt: int) -> np.ndarray:
-        """Pointwise mutual information of each adjacent pair (in nats), with little counts drawn down."""
-        n, one = self._look(s, salt)
-        expected = np.maximum(one[:-1] * one[1:] / self.total, 1e-9)
-        return np.log((n + SMOOTH) / (expected + SMOOTH))
+    def runs(self, before: str, stretch: str, after: str, salt: int) -> list[tuple[int, int]]:
+        """Improbable runs (from, to) of a stretch of non-ASCII characters."""
+        key = (before, stretch, after, salt, None)
+        found = self.memo.get(key)
+        if found is None:
+            weight = self.thresholds.get(salt, np.inf) - self.scores(before + stretch + after, salt)
+            for m in _SURE.finditer(stretch):
+                weight[m.start() : m.start() + 2] = np.inf
+            touched = np.zeros(len(stretch) + 2, bool)
+            for i, j in segments(np.clip(weight, -50.0, 50.0)):
+                touched[i : j + 1] = True
+            edges = np.diff(np.r_[0, touched[1:-1].astype(int), 0])
+            found = self.memo[key] = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
+        return found
 
     def weigh(self, texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each text (two things, both logs): the probability of its characters after the first, each given the one before it;
         how often each inner non-ASCII character stands between its neighbours."""
         cp = _points("".join(texts))
         of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        one = self.tables[ONE][_cell(cp, salt)].astype(float)
-        n = self.tables[PAIR][_cell(_pairs(cp), salt)].astype(float)
+        one = self.tables[ONE].of(_ones(cp, salt))
+        n = self.tables[PAIR].of(_pairs(cp, salt))
         log = np.log((n + 5.0 * (one[1:] + SMOOTH) / self.total + 1e-3) / (one[:-1] + 5.0))
         inside = of[:-1] == of[1:]
         likelihood = np.bincount(of[1:][inside], log[inside], len(texts))
         middle = (cp[1:-1] > 127) & (of[:-2] == of[2:])
-        triples = self.tables[TRIPLE][_cell(_triples(cp)[middle], salt)].astype(float)
+        triples = self.tables[TRIPLE].of(_triples(cp, salt)[middle])
         return likelihood, np.bincount(of[1:-1][middle], np.log(triples + 0.5), len(texts))
 
     def seen(self, characters: set[str]) -> bool:
         """Whether all of the characters stand in the corpus."""
-        return bool((self.tables[ONE][_cell(_points("".join(characters)), 0)] > 0).all())
+        return bool((self.tables[ONE].of(_ones(_points("".join(characters)), 0)) > 0).all())
 
     def known(self, words: list[str], salt: int) -> bool:
         """Whether every one of the words that has a non-ASCII letter stands in the corpus more than once."""
         hashes = np.array([_word(w) for w in words if not w.isascii()], np.uint64)
-        return bool((self.tables[WORD][_cell(hashes, salt)] >= 2).all())
+        return bool((self.tables[WORD].of(_mix(hashes, salt)) >= 2).all())
 
     def judge(self, before: str, run: str, after: str, salt: int = 0) -> tuple[bool, list[tuple[int, float, str]]]:
-        """(whether it's wrong in any case, [(mapping, gain, restored)]) for a stretch of non-ASCII characters."""
+        """(whether it's wrong in any case, [(mapping, gain, restored)]) for an improbable run."""
         key = (before, run, after, salt)
         found = self.memo.get(key)
         if found is None:
@@ -231,8 +290,6 @@ class Model:
     def _judge(self, before, run, after, salt):
         sure = bool(_SURE.search(run))
         s = before + run + after
-        if not sure and not _best_segment(EXPECTED - self.information(s, salt)):
-            return False, []
         tried = []
         for k, (wrong, right) in enumerate(MAPPINGS):
             r = restore(run, wrong, right)
@@ -260,21 +317,36 @@ MAPPINGS = mappings()
 UTF8 = len(WRONG)
 
 
-def _best_segment(w: np.ndarray) -> bool:
-    """Whether any segment of the weights has a positive sum: the maximum-scoring one does where one weight does."""
-    best = now = 0.0
-    for x in w.tolist():
-        now = max(0.0, now + x)
-        best = max(best, now)
-    return best > 0
+def segments(weights: np.ndarray) -> list[tuple[int, int]]:
+    """All maximal-scoring segments [i, j) of a sequence, in one pass: no further weight on either side would raise their sums."""
+    found: list[list] = []  # [i, j, sum before, sum up to the end]
+    total = 0.0
+    for k, w in enumerate(weights.tolist()):
+        if w <= 0:
+            total += w
+            continue
+        now = [k, k + 1, total, total + w]
+        total += w
+        while True:
+            at = next((x for x in range(len(found) - 1, -1, -1) if found[x][2] < now[2]), None)
+            if at is None or found[at][3] >= now[3]:
+                found.append(now)
+                break
+            now = [found[at][0], now[1], found[at][2], now[3]]
+            del found[at:]
+    return [(i, j) for i, j, *_ in found]
 
 
 def examine(text: str, model: Model, group: str | None = None) -> tuple[bool, str]:
     """(whether any character is wrongly decoded, the text with what can be restored)."""
-    runs = [(m.start(), m.end(), m.group()) for m in _RUN.finditer(text)]
+    salt = _salt(group)
+    around = lambda a, b: (text[a - 1] if a else "\n", text[b] if b < len(text) else "\n")
+    runs = []
+    for m in _RUN.finditer(text):
+        before, after = around(*m.span())
+        runs += [(m.start() + i, m.start() + j, m[0][i:j]) for i, j in model.runs(before, m[0], after, salt)]
     if not runs:
         return False, text
-    salt = _salt(group)
     verdicts = [model.judge(text[a - 1] if a else "\n", r, text[b] if b < len(text) else "\n", salt) for a, b, r in runs]
     proven = set()
     for (a, b, _), (sure, found) in zip(runs, verdicts):
@@ -305,15 +377,13 @@ def _edge(text: str, at: int, step: int) -> str:
 
 
 def corpus_model(docs: DataFrame, text: str, group: str | None) -> Model:
-    """Counts over all texts. At most 4 * CELLS rows reach the driver."""
+    """Counts over all texts, written once to the shared folder. At most 4 / FLOOR rows reach the driver."""
     rows = docs.select(F.col(text).cast("string").alias("t"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g")).where("t is not null")
-    counts = rows.mapInArrow(_count, "side int, cell bigint, n bigint").groupBy("side", "cell").agg(F.sum("n").alias("n")).toPandas()
-    tables = []
-    for side in range(4):
-        t, x = np.zeros(CELLS, np.float32), counts[counts.side == side]
-        t[x.cell.to_numpy(int)] = x.n.to_numpy(float)
-        tables.append(t)
-    return Model(tables)
+    counts = materialize(rows.mapInArrow(_count, "side int, key bigint, n bigint").groupBy("side", "key").agg(F.sum("n").alias("n")), "characters")
+    sums = {r.side: r.n for r in counts.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    least = F.element_at(F.create_map(*[x for side in range(4) for x in (F.lit(side), F.lit(int(sums.get(side, 0) * FLOOR)))]), F.col("side"))
+    kept = counts.where(F.col("n") >= least).toPandas()
+    return Model([Table(x.key.to_numpy(), x.n.to_numpy()) for x in (kept[kept.side == side] for side in range(4))])
 
 
 def repair(docs: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
