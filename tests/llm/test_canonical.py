@@ -33,3 +33,30 @@ def test_ties_repeats_and_empty(spark):
     assert canonical.map_values(one, ref.limit(0), ["k"], ["label"]).collect()[0].ref_id == -1
     twice = spark.createDataFrame([(9, "label", "EOG left"), (3, "label", "EOG left")], "ref_id bigint, field_name string, name string")
     assert [r.ref_id for r in canonical.map_values(one, twice, ["k"], ["label"]).collect()] == [3]
+
+
+def test_soft_tf_idf_decides(spark):
+    """By the number of words found, each of these would be mapped; by weights and thresholds none is, and a missing implied word does no harm."""
+    values = {0: "EOG vertical", 1: "EEG F3", 2: "Accel X", 3: "ECG", 4: "EEG F3-A2 wrist", 5: "F3-A2 new type 4", 6: "Temp ambient", 7: "EEG EOG left"}
+    got = mapped(spark, list(values.values()))
+    assert got == {0: -1, 1: -1, 2: -1, 3: -1, 4: -1, 5: 1, 6: -1, 7: -1}
+    listed = [set(canonical.words(n, {})) for _, f, n in REF if f == "label"]
+    assert all(max(len(set(canonical.words(values[k], {})) & ws) for ws in listed) for k in got)  # each shares words with some entry
+
+
+def test_words_of_the_data_are_no_typos(spark):
+    """A maker's name that the data have often isn't taken for the word it resembles; the word's own typing errors are."""
+    ref = spark.createDataFrame([(1, "label", "Nasal flow"), (2, "label", "Nodal flow")], "ref_id bigint, field_name string, name string")
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(["flow, nasal"] * 5 + ["nadal flow"] * 40 + ["flow nasall"])], "k bigint, label string")
+    got = {r.k: r.ref_id for r in canonical.map_values(rows, ref, ["k"], ["label"], synonyms={}, phrases={}, implied={}, joined={}).collect()}
+    assert got[0] == 1 and got[45] == 1 and got[5] == -1
+
+
+def test_long_reference_list(spark):
+    """Postings hold the rare words only, whatever the list's length."""
+    ref = spark.createDataFrame([(i, "label", f"common word serial{chr(97 + i % 26)}{i}") for i in range(12_000)], "ref_id bigint, field_name string, name string")
+    rows = spark.createDataFrame([(i, f"SERIAL{chr(97 + i % 26)}{i} word. common") for i in range(0, 12_000, 997)], "k bigint, label string")
+    got = {r.k: r.ref_id for r in canonical.map_values(rows, ref, ["k"], ["label"]).collect()}
+    assert got == {i: i for i in range(0, 12_000, 997)}
+    index = canonical.Index(ref, ["label"], {}, {}, {}, {})
+    assert index.postings.where("word in ('common', 'word')").count() == 0 and index.postings.count() == 12_000

@@ -1,34 +1,38 @@
 """Freely typed values mapped to the entry of a reference list that they mean.
 
-Token-level repair: the distinct tokens of all values are joined to the reference
-vocabulary (words of the entries and their synonyms) by edit distance – equal, or one
-letter changed, dropped, added or swapped – and the repaired tokens of a value are
-combined with soft TF-IDF to rank complete entries. An entry fits only if all of its words
-are found, but for those that the others imply, and if the value has no word that belongs
-to other entries only; then the highest score wins. Numbering, makers, notes and units
-are words that no entry has, and neither help nor harm.
-
-The reference list is bounded (``MOST_ENTRIES``, checked); values are reduced to distinct
-ones before the shuffle, so a value may be as frequent as it likes.
+Token-level repair: the distinct tokens of all values are joined to the reference vocabulary (words of the
+entries and their synonyms) by edit distance – equal, or one letter changed, dropped, added or swapped. Whether an
+unknown token is a mistyped word or a word of its own is left to the data: a token that's rare, or not more than ``RATIO`` times as frequent
+as the word in all its forms, may be that word; one that is also near a more frequent word of no entry (a maker, a note) may be just that.
+
+Soft TF-IDF ranks complete entries. With idf from the reference list, an entry's score for a value is the cosine of
+their words, where a repaired word counts a little less, a word that the others imply counts little, and a word of
+other entries counts against the entry as heavily as the rarest word. Words that no entry has (numbering, makers, notes) have no
+weight: the statement of the problem says that they don't matter. An entry fits if its score is above its own threshold, which is
+learnt from the list: midway between the best score of a value that lacks one of its words or has one of another
+entry's, and the score of one with all its words mistyped.
+
+Candidates come from an inverted index by join. An entry is listed under its rarest words only, up to where the
+others together can't reach the threshold, so no entry that fits is lost and frequent words list nothing.
+Values are reduced to distinct ones before the shuffle, so a value may be as frequent as it likes; neither list is bounded.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm.runs import _patterns
 from tracelode.operators.hot import materialize
 from tracelode.operators.units import unit_named
 
-MOST_ENTRIES = 10_000
 REPAIR_LEAST = 4
+RARE, RATIO = 3, 2
+TYPO, IMPLIED_WEIGHT = 0.25, 0.04
 
 # Synonyms by word of an entry, for labels and for transducers of signals.
 SYNONYMS = {
@@ -50,9 +54,6 @@ SYNONYMS = {
 PHRASES = {"label": {"o2 sat": "sao2", "sat o2": "sao2"}, "transducer": {"t couple": "tcouple", "piezo electric": "piezo"}}
 JOINED = {"label": {}, "transducer": {"agagcl": "ag agcl"}}
 IMPLIED = {"label": {"eeg", "lead"}, "transducer": set()}
-# Words of notes, so that a mistyped one isn't repaired to a word of an entry.
-NOTES = "new std rev type disposable supply bias test load tip plated electric output values nordal velmora hz unit scaled".split()
-
 _TAIL = (
     re.compile(r"[\s_.]*[(\[]([^()\[\]]+(?:\([^()]*\))?)[)\]]\s*$"),
     re.compile(r"[,;]?[\s_.]*(?:values|output|units?)[\s_.]+(?:in[\s_.]+)?(\S.*)$", re.I),
@@ -76,135 +77,155 @@ def words(value: str, phrases: dict[str, str]) -> list[str]:
     return s.split()
 
 
-class Reference:
-    """The entries of one field: vocabulary, weights and repairs."""
-
-    def __init__(self, entries: list[tuple[int, str]], synonyms: dict[str, str], phrases: dict[str, str], implied: set[str], joined: dict[str, str] | None = None):
-        self.phrases, self.implied = phrases, implied
-        self.entries = [(i, words(name, phrases)) for i, name in sorted(entries)]
-        self.vocabulary: dict[str, str] = {w: w for _, ws in self.entries for w in ws}
-        plain = set(self.vocabulary)
-        for w, others in synonyms.items():
-            if w in plain:
-                self.vocabulary |= {o: w for o in others.split() if o not in plain}
-        self.joined = {j: parts.split() for j, parts in (joined or {}).items() if set(parts.split()) <= plain}
-        self.notes = {w for w in NOTES if w not in self.vocabulary}
-        df = Counter(w for _, ws in self.entries for w in set(ws))
-        self.idf = {w: math.log(1 + len(self.entries) / n) for w, n in df.items()}
-        self.longest = max(map(len, self.vocabulary), default=0)
-        self.near = defaultdict(set)
-        for w in [*self.vocabulary, *self.joined, *self.notes]:
-            if len(w) > REPAIR_LEAST:
-                for p, plain_form in _patterns(w):
-                    self.near[p].add((w, plain_form))
-
-    def repair(self, token: str) -> tuple[bool, list[tuple[str, float]]]:
-        """(whether all of them, not one of them, are meant; (word of an entry, similarity) of what a token may be).
-
-        Empty for notes and numbers; the word of a note among others is ''."""
-        if token in self.vocabulary:
-            return False, [(self.vocabulary[token], 1.0)]
-        if token.isdigit() or token in self.notes:
-            return False, []
-        if parts := self.joined.get(token) or self._joined(token):
-            return True, [(p, 1.0) for p in parts]
-        found = {}
-        if REPAIR_LEAST <= len(token) <= self.longest + 1:
-            for p, plain in _patterns(token):
-                for w, other in self.near.get(p, ()):
-                    if not p.startswith("d") or plain != other:
-                        found[w] = 1 - 1 / max(len(w), len(token))
-        best: dict[str, float] = {}
-        for w, sim in found.items():
-            if w in self.joined:
-                return True, [(p, sim) for p in self.joined[w]]
-            word = self.vocabulary.get(w, "")
-            best[word] = max(best.get(word, 0), sim)
-        return False, sorted(best.items())
-
-    def _joined(self, token: str) -> list[str]:
-        """Two words written as one, both spelled exactly."""
-        for i in range(2, len(token) - 1 if len(token) <= 2 * self.longest else 0):
-            a, b = token[:i], token[i:]
-            if a in self.vocabulary and b in self.vocabulary and any(c.isdigit() for c in token) | (len(token) <= 4):
-                return [self.vocabulary[a], self.vocabulary[b]]
-        return []
-
-    def rank(self, tokens: list[str], repairs: dict[str, tuple[bool, list[tuple[str, float]]]]) -> tuple[int, float]:
-        """(id of the entry that fits best, score), or (-1, 0.0)."""
-        have: dict[str, float] = {}
-        options = []
-        for t in tokens:
-            every, found = repairs.get(t, (False, []))
-            options += [[x] for x in found] if every else [found] if found else []
-        for alternatives in options:
-            for w, sim in alternatives:
-                have[w] = max(have.get(w, 0.0), sim)
-        best = (-1, 0.0)
-        for i, ws in self.entries:
-            own = set(ws)
-            if any(w not in have for w in own - self.implied) or not any(w in have for w in own - self.implied):
-                continue
-            if any(not any(not w or w in own for w, _ in alternatives) for alternatives in options):
-                continue
-            norm = math.sqrt(sum(self.idf[w] ** 2 for w in own)) * math.sqrt(sum(self.idf[w] ** 2 for w in have if w in self.idf))
-            score = sum(have.get(w, 0.0) * self.idf[w] ** 2 for w in own) / norm if norm else 0.0
-            if score > best[1]:
-                best = (i, score)
-        return best
+def _with_words(phrases: dict):
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(tokens=[sorted(set(words(v, phrases.get(f, {})))) for f, v in zip(pdf["field_name"], pdf["value"])])
+
+    return run
+
+
+def _pattern_rows(batches):
+    for pdf in batches:
+        out = [(f, w, p, plain) for f, w in zip(pdf["field_name"], pdf["word"]) for p, plain in _patterns(w)]
+        yield pd.DataFrame(out, columns=["field_name", "word", "pattern", "plain"])
+
+
+def _near(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """field_name, token, near: pairs of a token and a word of the lexicon that are one mistyped letter apart. Inputs: field_name, word."""
+    schema = "field_name string, word string, pattern string, plain boolean"
+    a = tokens.select("field_name", "word").mapInPandas(_pattern_rows, schema).alias("a")
+    b = lexicon.select("field_name", "word").mapInPandas(_pattern_rows, schema).alias("b")
+    both = a.join(b, (F.col("a.field_name") == F.col("b.field_name")) & (F.col("a.pattern") == F.col("b.pattern")))
+    # Of a word and its shortened form only one may be shortened.
+    apart = ~F.col("a.pattern").startswith("d") | (F.col("a.plain") != F.col("b.plain"))
+    return both.where(apart & (F.col("a.word") != F.col("b.word"))).select("a.field_name", F.col("a.word").alias("token"), F.col("b.word").alias("near")).distinct()
+
+
+def _similarity(token: Column, form: Column) -> Column:
+    return F.when(token == form, 1.0).otherwise(1 - TYPO / F.greatest(F.length(token), F.length(form)))
+
+
+class Index:
+    """The reference list as tables: entries with weights and thresholds, forms of words, postings."""
+
+    def __init__(self, reference: DataFrame, fields: list[str], synonyms: dict, phrases: dict, implied: dict, joined: dict):
+        spark = reference.sparkSession
+        named = reference.where("name is not null and ref_id is not null").where(F.col("field_name").isin(fields))
+        named = named.groupBy("field_name", F.col("name").cast("string").alias("value")).agg(F.min("ref_id").alias("ref_id"))
+        self.spelled = named.select("field_name", "value")
+        listed = materialize(named.mapInPandas(_with_words(phrases), "field_name string, value string, ref_id bigint, tokens array<string>").where(F.size("tokens") > 0), "listed")
+        # Entries with the same words are one: the first.
+        entries = listed.groupBy("field_name", "tokens").agg(F.min("ref_id").alias("ref_id"))
+        size = entries.groupBy("field_name").agg(F.count("*").alias("n"))
+        slack = [(f, w) for f, ws in implied.items() for w in sorted(ws)]
+        little = spark.createDataFrame(slack or [("", "")], "field_name string, word string").withColumn("factor", F.lit(IMPLIED_WEIGHT))
+        df = entries.select("field_name", F.explode("tokens").alias("word")).groupBy("field_name", "word").agg(F.count("*").alias("df"))
+        idf = F.pow(F.log1p(F.col("n") / F.col("df")), 2)
+        weights = df.join(size, "field_name").join(little, ["field_name", "word"], "left")
+        weights = weights.select("field_name", "word", (idf * F.coalesce("factor", F.lit(1.0))).alias("weight"), F.col("factor").isNotNull().alias("implied"), F.pow(F.log1p("n"), 2).alias("most"))
+        weights = materialize(weights, "weights")
+        parts = entries.select("field_name", "ref_id", F.explode("tokens").alias("word")).join(weights, ["field_name", "word"])
+        typed = F.col("weight") * F.when(F.length("word") > REPAIR_LEAST, 1 - TYPO / F.length("word")).otherwise(1.0)
+        own = parts.groupBy("field_name", "ref_id").agg(
+            F.sort_array(F.collect_list(F.struct("weight", "word")), asc=False).alias("words"), F.sum("weight").alias("whole"), F.sum(F.when(F.col("implied"), 0.0).otherwise(typed)).alias("typed"),
+            F.sum(F.when(~F.col("implied"), F.col("weight"))).alias("core"), F.min(F.when(~F.col("implied"), F.col("weight"))).alias("least"), F.first("most").alias("most"),
+        )
+        core = F.coalesce("core", "whole")
+        lacking = F.sqrt(F.greatest(1 - F.coalesce("least", "whole") / F.col("whole"), F.lit(0.0)))
+        foreign = F.sqrt(F.col("whole") / (F.col("whole") + F.col("most")))
+        wrong, right = F.greatest(lacking, foreign), F.coalesce("typed", "whole") / F.sqrt(F.col("whole") * core)
+        threshold = F.when(wrong < right, (wrong + right) / 2).otherwise((wrong + 1) / 2)
+        named = F.transform("words", lambda x: x["word"]).alias("named")
+        self.entries = materialize(own.select("field_name", "ref_id", "words", named, "whole", threshold.alias("threshold")), "entries")
+        # Rarest words first, until the rest can't reach the threshold: at least one of these must be in a value that fits.
+        before = F.transform("words", lambda x, i: F.struct(x["word"].alias("word"), F.aggregate(F.slice("words", 1, i), F.lit(0.0), lambda t, y: t + y["weight"]).alias("gone")))
+        enough = F.pow(F.col("threshold"), 2) * F.col("whole")
+        self.postings = self.entries.select("field_name", "ref_id", F.explode(F.filter(before, lambda x: F.col("whole") - x["gone"] >= enough * (1 - 1e-9))).alias("x")).select("field_name", "ref_id", "x.word")
+        self.weights = weights.select("field_name", "word", "most")
+        # Forms: the words themselves, synonyms of words that entries have, and joined words.
+        vocabulary = weights.select("field_name", "word", F.col("word").alias("form"))
+        told = [(f, w, o) for f, t in synonyms.items() for w, others in t.items() for o in others.split()]
+        more = spark.createDataFrame(told or [("", "", "")], "field_name string, word string, form string").join(weights.select("field_name", "word"), ["field_name", "word"])
+        more = more.join(vocabulary.select("field_name", "form"), ["field_name", "form"], "left_anti").select("field_name", "word", "form")
+        apart = [(f, j, w) for f, t in joined.items() for j, ws in t.items() for w in ws.split()]
+        apart = spark.createDataFrame(apart or [("", "", "")], "field_name string, form string, word string").join(weights.select("field_name", "word"), ["field_name", "word"]).select("field_name", "word", "form")
+        forms = vocabulary.unionByName(more).unionByName(apart)
+        self.forms = materialize(forms.groupBy("field_name", "form").agg(F.sort_array(F.collect_set("word")).alias("words")), "forms")
+
+
+def resolve(tokens: DataFrame, index: Index) -> DataFrame:
+    """field_name, token, options (array of (words, sim)), note: what each token may be. Input: field_name, token, n (rows that have it).
+
+    A token with several words in an option stands for all of them; ``note`` tells that it may be a word of no entry."""
+    forms = index.forms
+    exact = tokens.join(forms, (tokens.field_name == forms.field_name) & (tokens.token == forms.form)).select(tokens.field_name, "token", F.array(F.struct("words", F.lit(1.0).alias("sim"))).alias("options"), F.lit(False).alias("note"))
+    rest = tokens.join(exact.select("field_name", "token"), ["field_name", "token"], "left_anti").where(~F.col("token").rlike("^[0-9]+$"))
+    # Two words written as one, both spelled exactly.
+    longest = forms.agg(F.max(F.length("form"))).first()[0] or 0
+    mixed = rest.where(F.length("token").between(4, 2 * longest) & (F.col("token").rlike("[0-9]") | (F.length("token") == 4)))
+    cuts = mixed.select("field_name", "token", F.explode(F.sequence(F.lit(2), F.length("token") - 2)).alias("i"))
+    cuts = cuts.withColumns({"a": F.expr("left(token, i)"), "b": F.expr("substr(token, i + 1)")})
+    f1, f2 = forms.select("field_name", F.col("form").alias("a"), F.col("words").alias("wa")), forms.select("field_name", F.col("form").alias("b"), F.col("words").alias("wb"))
+    both = cuts.join(f1, ["field_name", "a"]).join(f2, ["field_name", "b"]).groupBy("field_name", "token").agg(F.min_by(F.concat("wa", "wb"), "i").alias("words"))
+    both = both.select("field_name", "token", F.array(F.struct("words", F.lit(1.0).alias("sim"))).alias("options"), F.lit(False).alias("note"))
+    rest = rest.join(both.select("field_name", "token"), ["field_name", "token"], "left_anti").where(f"length(token) >= {REPAIR_LEAST}").withColumnRenamed("token", "word")
+    # The lexicon: forms, and words of the data that no entry has.
+    counts = tokens.select("field_name", F.col("token").alias("word"), "n")
+    own = forms.select("field_name", "words", F.col("form").alias("word")).join(counts, ["field_name", "word"], "left")
+    own = own.withColumn("m", F.coalesce(F.sum("n").over(Window.partitionBy("field_name", "words")), F.lit(0))).select("field_name", "word", "m", F.lit(True).alias("form"))
+    other = rest.where(F.col("n") > RARE).select("field_name", "word", F.col("n").alias("m"), F.lit(False).alias("form"))
+    lexicon = materialize(own.unionByName(other).where(f"length(word) > {REPAIR_LEAST}"), "lexicon")
+    near = _near(rest, lexicon).join(lexicon.withColumnRenamed("word", "near"), ["field_name", "near"]).join(rest.select("field_name", F.col("word").alias("token"), "n"), ["field_name", "token"])
+    likely = F.when(F.col("form"), (F.col("n") <= RARE) | (RATIO * F.col("m") >= F.col("n"))).otherwise(F.col("m") >= RATIO * F.col("n"))
+    near = near.where(likely).join(forms.select("field_name", F.col("form").alias("near"), "words"), ["field_name", "near"], "left")
+    option = F.when(F.col("form"), F.struct("words", _similarity(F.col("token"), F.col("near")).alias("sim")))
+    mended = near.groupBy("field_name", "token").agg(F.sort_array(F.collect_set(option)).alias("options"), F.max(~F.col("form")).alias("note")).where(F.size("options") > 0)
+    return exact.unionByName(both).unionByName(mended)
+
+
+def score(candidates: DataFrame) -> DataFrame:
+    """Adds ``score``: soft TF-IDF of bag (array of (options, note)), whose words are ``meant`` (array of (word, sim)), and entry (words,
+    ``named`` without their weights, whole); ``most`` is the weight of a foreign word."""
+    # A word that several tokens may be counts once, with the closest.
+    best = F.transform("words", lambda x: F.struct(x["weight"].alias("weight"), F.coalesce(F.array_max(F.transform(F.filter("meant", lambda m: m["word"] == x["word"]), lambda m: m["sim"])), F.lit(0.0)).alias("sim")))
+    astray = lambda t: ~t["note"] & ~F.exists(t["options"], lambda o: F.forall(o["words"], lambda w: F.array_contains(F.col("named"), w)))
+    total = lambda f: F.aggregate("best", F.lit(0.0), lambda t, x: t + f(x))
+    found, had = total(lambda x: x["weight"] * x["sim"]), total(lambda x: F.when(x["sim"] > 0, x["weight"]).otherwise(0.0))
+    foreign = F.size(F.filter("bag", astray)) * F.col("most")
+    return candidates.withColumn("best", best).withColumn("score", found / F.sqrt(F.col("whole") * (had + foreign))).drop("best")
+
+
+def _meant() -> Column:
+    return F.flatten(F.transform("bag", lambda t: F.flatten(F.transform(t["options"], lambda o: F.transform(o["words"], lambda w: F.struct(w.alias("word"), o["sim"].alias("sim")))))))
 
 
 def map_values(rows: DataFrame, reference: DataFrame, key: list[str], fields: list[str], synonyms=None, phrases=None, implied=None, joined=None) -> DataFrame:
     """Columns: key columns, field_name, value, ref_id (-1: no entry fits), score; one row per distinct (key, field, value).
 
     Values that are null, blank or spelled exactly like an entry of their field give no row. ``reference`` has ref_id,
-    field_name, name (null names are ignored; of equal names the smallest id counts) and at most 10,000 rows. Ties in
-    score go to the smallest ref_id. Other columns are ignored; very long values are read whole."""
-    synonyms, phrases, implied = synonyms or SYNONYMS, phrases or PHRASES, implied or IMPLIED
-    joined = joined or JOINED
-    listed = reference.select("ref_id", "field_name", "name").where("name is not null").limit(MOST_ENTRIES + 1).collect()
-    if len(listed) > MOST_ENTRIES:
-        raise ValueError(f"reference has more than {MOST_ENTRIES} entries")
-    refs = {f: Reference([(r.ref_id, r.name) for r in listed if r.field_name == f], synonyms.get(f, {}), phrases.get(f, {}), implied.get(f, set()), joined.get(f, {})) for f in fields}
-    exact = [(r.field_name, r.name) for r in listed]
-    # As long as the list is bounded, so is this broadcast.
-    spelled = F.broadcast(rows.sparkSession.createDataFrame(exact, "field_name string, value string").distinct())
-    shared = rows.sparkSession.sparkContext.broadcast((refs, {f: {n for g, n in exact if g == f} for f in fields}))
-
+    field_name, name (null names are ignored; of names with the same words the smallest id counts) and may have any size. Ties in
+    score go to the smallest ref_id. Other columns are ignored; very long values are read whole. ``synonyms``, ``phrases``,
+    ``implied`` and ``joined`` are word lists by field, of the recordings' channels by default. Runs jobs: the distinct values and
+    tables of the reference list are written once to the shared folder."""
+    index = Index(reference, fields, synonyms or SYNONYMS, phrases or PHRASES, implied or IMPLIED, joined or JOINED)
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("p")
-    every = rows.select(*key, pairs).select(*key, "p.field_name", "p.value").where(F.col("value").rlike(r"\S")).join(spelled, ["field_name", "value"], "left_anti")
-
-    def tokenise(batches):
-        refs, names = shared.value
-        for pdf in batches:
-            out = [(f, v, words(v, refs[f].phrases)) for f, v in zip(pdf["field_name"], pdf["value"]) if v not in names[f]]
-            yield pd.DataFrame(out, columns=["field_name", "value", "tokens"])
-
-    values = materialize(every.select("field_name", "value").distinct().mapInPandas(tokenise, "field_name string, value string, tokens array<string>"), "values")
-
-    def repair(batches):
-        refs, _ = shared.value
-        for pdf in batches:
-            out = []
-            for f, t in zip(pdf["field_name"], pdf["token"]):
-                every, found = refs[f].repair(t)
-                out.append((f, t, every, [{"word": w, "sim": s} for w, s in found]))
-            yield pd.DataFrame(out, columns=["field_name", "token", "every", "words"])
-
-    tokens = values.select("field_name", F.explode("tokens").alias("token")).distinct()
-    repaired = tokens.mapInPandas(repair, "field_name string, token string, every boolean, words array<struct<word string, sim double>>")
-    # A value's tokens with their repairs; the token of a frequent word is split by adaptive execution.
-    bag = values.select("field_name", "value", F.explode_outer("tokens").alias("token")).join(repaired, ["field_name", "token"], "left")
-    bag = bag.groupBy("field_name", "value").agg(F.collect_list(F.struct("token", "every", "words")).alias("bag"))
-
-    def rank(batches):
-        refs, _ = shared.value
-        for pdf in batches:
-            out = []
-            for f, v, bag in zip(pdf["field_name"], pdf["value"], pdf["bag"]):
-                repairs = {b["token"]: (b["every"], [(w["word"], w["sim"]) for w in b["words"]]) for b in bag if b["token"] and b["words"] is not None}
-                out.append((f, v, *refs[f].rank(sorted(repairs), repairs)))
-            yield pd.DataFrame(out, columns=["field_name", "value", "ref_id", "score"])
-
-    ranked = bag.mapInPandas(rank, "field_name string, value string, ref_id bigint, score double")
-    return every.join(ranked, ["field_name", "value"]).select(*key, "field_name", "value", "ref_id", "score").dropDuplicates()
+    every = rows.select(*key, pairs).select(*key, "p.field_name", "p.value").where(F.col("value").rlike(r"\S"))
+    spelled = index.spelled.withColumn("exact", F.lit(True))
+    distinct = every.groupBy("field_name", "value").agg(F.count("*").alias("n")).join(spelled, ["field_name", "value"], "left").withColumn("exact", F.col("exact").isNotNull())
+    values = materialize(distinct.mapInPandas(_with_words(phrases or PHRASES), "field_name string, value string, n bigint, exact boolean, tokens array<string>"), "values")
+
+    tokens = materialize(values.select("field_name", "n", F.explode("tokens").alias("token")).groupBy("field_name", "token").agg(F.sum("n").alias("n")), "tokens")
+    known = materialize(resolve(tokens, index), "repaired")
+    values = values.where("not exact")
+    # Of a value's tokens only those that may be words of entries.
+    held = values.select("field_name", "value", F.explode("tokens").alias("token")).join(known, ["field_name", "token"])
+    bags = held.groupBy("field_name", "value").agg(F.sort_array(F.collect_list(F.struct("options", "note"))).alias("bag")).withColumn("meant", _meant())
+    word = F.explode(F.array_distinct(F.flatten(F.transform("options", lambda o: o["words"])))).alias("word")
+    candidates = held.select("field_name", "value", word).join(index.postings, ["field_name", "word"]).select("field_name", "value", "ref_id").distinct()
+    most = index.weights.groupBy("field_name").agg(F.max("most").alias("most"))
+    scored = score(candidates.join(bags, ["field_name", "value"]).join(index.entries, ["field_name", "ref_id"]).join(most, "field_name")).where("score >= threshold")
+    top = F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("ref_id")).alias("r"))).alias("x")
+    ranked = scored.groupBy("field_name", "value").agg(top).select("field_name", "value", (-F.col("x.r")).alias("ref_id"), F.col("x.s").alias("score"))
+    free = values.select("field_name", "value").join(ranked, ["field_name", "value"], "left").select("field_name", "value", F.coalesce("ref_id", F.lit(-1)).cast("bigint").alias("ref_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return every.join(free, ["field_name", "value"]).select(*key, "field_name", "value", "ref_id", "score").dropDuplicates()
