@@ -36,6 +36,24 @@ def test_packed_dialects(spark):
     assert got[14] == [(1, '12" x'), (2, "it's 'so")] and got[15] == [(1, "A-10"), (2, '"unclosed')]
 
 
+def test_code_lengths_decide(spark):
+    """With separators inside quotes the first candidate is wrong, and so is the one with the fewest bits besides its values'."""
+    hard = [f"B-{i} F 0{i}-MAY-2001 Al_Bo \"mask, size M\" 7{i}kg" for i in range(9)]
+    plain = [f"C-{i} M 0{i}-JUN-1999 Di_Lee" for i in range(9)]
+    right = lambda i: [(1, f"B-{i}"), (2, "F"), (3, f"0{i}-MAY-2001"), (4, "Al_Bo"), (5, "mask, size M"), (6, f"7{i}kg")]
+    got = unpacked(spark, hard + plain)
+    assert all(got[i] == right(i) for i in range(9))
+    assert all([(k, v) for k, v in enumerate(packed.candidates(s)[0][0], 1)] != right(i) for i, s in enumerate(hard))
+    # Years like '98 and names like Dan' enclose nothing where the corpus has either mark alone.
+    marks = [f"'{70 + i % 20};M;Kim" for i in range(300)] + [f"{i % 90 + 10};M;Dan'" for i in range(300)]
+    codes = {}
+    for s in marks:
+        for v, _ in packed.candidates(s):
+            for x in v:
+                codes[packed.shape(x)] = codes.get(packed.shape(x), 0) + 1
+    assert codes["'9"] >= 300 and codes["a'"] >= 300 and packed.shape("98;M;Dan") not in codes
+
+
 def test_packed_edges(spark):
     df = spark.createDataFrame([(1, "a;b", "x", "y"), (1, "a;b", "x", "z"), (2, ";".join("v%d" % i for i in range(5000)), None, None), (None, "q", "", "")], "k bigint, f string, name string, text string")
     out = packed.unpack(df, "k", ["f", "name"])
