@@ -43,7 +43,8 @@ def test_pushdown_and_slices(spark, edge):
 
 def test_time_window_and_gaps(spark, edge):
     chunks, tals, signals = (read_edf(spark, edge["gaps"], v) for v in ("chunks", "tals", "signals"))
-    rows = sp.time_window(chunks.where("signal_idx = 0"), ev.record_onsets(tals), 0.5, 10.5).collect()
+    rows = sp.time_window(chunks.where("signal_idx = 0"), 0.5, 10.5).collect()
+    assert sorted(r.time_sec for r in sp.window(spark, edge["gaps"], 0.5, 10.5, [0], slice_mb=0.0001).collect()) == sorted(r.time_sec for r in rows)
     assert sorted(r.time_sec for r in rows) == [0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 10.0, 10.25]
     g = ev.gaps(ev.record_onsets(tals), signals).collect()
     assert [(x.record_idx, x.gap_start, x.gap_end) for x in g] == [(2, 1.75, 10.0)]

@@ -60,11 +60,12 @@ def positions(df: DataFrame, keys: list[str], order: list[str], shard: Column, n
     shard must not decrease along the order (such as floor(time / width)). Rows are numbered within (keys, shard);
     counts of shards, one row each, are summed up over the key and joined back."""
     cut = df.withColumn("__shard", shard.cast("long"))
-    counts = cut.groupBy(*keys, "__shard").count()
+    numbered = cut.withColumn("__inner", F.row_number().over(Window.partitionBy(*keys, "__shard").orderBy(*order)))
+    # A shard's last row holds its count. Whole rows are compared, so that both sides need the same columns and share one exchange.
+    rest = [c for c in df.columns if c not in keys]
+    counts = numbered.groupBy(*keys, "__shard").agg(F.max(F.struct("__inner", *rest)).alias("__x")).select(*keys, "__shard", F.col("__x.__inner").alias("count"))
     before = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*keys, "__shard", before.alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(*keys, "__shard").orderBy(*order))
-    numbered = cut.withColumn("__inner", inner)
     on = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__shard"]]
     both = numbered.alias("n").join(starts.alias("s"), on)
     return both.select(*[F.col(f"n.{c}") for c in df.columns if c != name], (F.col("n.__inner") + F.col("s.__before")).alias(name))

@@ -3,7 +3,8 @@ the edf source or any DataFrame of that shape.
 
 ``chunks`` carries gain, offset and rate of its signal, so decoding needs no join: it is
 one projection after the scan. Ranges become predicates on ``record_idx`` before any
-array is touched; ``record_range`` gives the literal bounds that reach the reader.
+array is touched; ``record_range`` gives the literal bounds that reach the reader, and ``page`` and
+``window`` hand times to it. ``chunks`` carries each record's onset too, so true times need no join.
 Null arrays give no samples; null bounds are refused on the driver.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.sources.edf import read_edf
+
 BIG = float(2**62)
 
 
@@ -85,7 +88,19 @@ def page_bound(seconds: float, rate: Column) -> Column:
     return F.when(F.isnan(x), F.lit(0)).otherwise(F.floor(F.least(x, F.lit(BIG)))).cast("long")
 
 
-def read_page(chunks: DataFrame, recordings: DataFrame | None, t0: float, t1: float) -> DataFrame:
+def page(spark, paths, t0: float, t1: float, signals: list[int] | None = None, **options) -> DataFrame:
+    """``read_page`` of files: a task reads the records that hold samples of the page, and nothing else."""
+    chunks = read_edf(spark, paths, "chunks", t0=t0, t1=t1, **options)
+    return read_page(chunks if signals is None else chunks.where(F.col("signal_idx").isin(signals)), t0, t1)
+
+
+def window(spark, paths, t0: float, t1: float, signals: list[int] | None = None, **options) -> DataFrame:
+    """``time_window`` of files: a task reads its records' onsets, and then only those near the window."""
+    chunks = read_edf(spark, paths, "chunks", from_time=t0, to_time=t1, **options)
+    return time_window(chunks if signals is None else chunks.where(F.col("signal_idx").isin(signals)), t0, t1)
+
+
+def read_page(chunks: DataFrame, t0: float, t1: float) -> DataFrame:
     """Samples of a time page: per signal the flat range [floor(t0*rate), floor(t1*rate)).
 
     Pages are flat-index windows also where records have gaps; see ``time_window`` for true time."""
@@ -113,12 +128,11 @@ def to_arrays(chunks: DataFrame, physical: bool = True) -> DataFrame:
     return one.groupBy("path", "signal_idx").agg(F.flatten(F.transform(packed, lambda x: x[item])).alias("values"))
 
 
-def with_times(samples: DataFrame, onsets: DataFrame) -> DataFrame:
+def with_times(samples: DataFrame) -> DataFrame:
     """Adds ``time_sec``: onset of the sample's record plus the sample's offset in it.
 
-    onsets: path, record_idx, onset. A rate of zero gives NaN for a record's first sample and infinity after it."""
-    joined = samples.join(onsets.select("path", "record_idx", F.col("onset").alias("__onset")), ["path", "record_idx"])
-    return joined.withColumn("time_sec", sample_time(F.col("__onset"))).drop("__onset")
+    A rate of zero gives NaN for a record's first sample and infinity after it."""
+    return samples.withColumn("time_sec", sample_time(F.col("onset")))
 
 
 def sample_time(onset: Column) -> Column:
@@ -129,12 +143,11 @@ def sample_time(onset: Column) -> Column:
     return onset + F.when(rate == 0, zero).otherwise(within / F.when(rate == 0, F.lit(1.0)).otherwise(rate))
 
 
-def time_window(chunks: DataFrame, onsets: DataFrame, t0: float, t1: float) -> DataFrame:
+def time_window(chunks: DataFrame, t0: float, t1: float) -> DataFrame:
     """Samples with true time in [t0, t1), also across gaps. Records are pruned by onset before arrays are opened."""
-    o = onsets.select("path", "record_idx", F.col("onset").alias("__onset")).where(F.col("__onset") < t1)
-    near = chunks.join(o, ["path", "record_idx"]).where(F.col("__onset") + F.col("record_duration") > t0)
-    rows = explode_range(near, F.lit(0).cast("long"), F.lit(2**62).cast("long")).withColumn("time_sec", sample_time(F.col("__onset")))
-    return rows.where((F.col("time_sec") >= t0) & (F.col("time_sec") < t1)).drop("__onset")
+    near = chunks.where((F.col("onset") < t1) & (F.col("onset") + F.col("record_duration") > t0))
+    rows = with_times(explode_range(near, F.lit(0).cast("long"), F.lit(2**62).cast("long")))
+    return rows.where((F.col("time_sec") >= t0) & (F.col("time_sec") < t1))
 
 
 def rate_groups(signals: DataFrame) -> DataFrame:

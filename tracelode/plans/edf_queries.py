@@ -156,7 +156,7 @@ def _(spark, sf):
 @query("sig_times", R1 + "SELECT event_id AS sample_idx, (ron - s) + o / 1.0 AS time_sec FROM e JOIN rec USING (r), s0")
 def _(spark, sf):
     rows = sp.read_range(_value(spark, sf), 0, 2**62)
-    return sp.with_times(rows, ev.record_onsets(_view(spark, sf, "r1", "tals"))).select("sample_idx", "time_sec")
+    return sp.with_times(rows).select("sample_idx", "time_sec")
 
 
 PAGE = R1 + """SELECT CAST(0 AS int) AS signal_idx, event_id AS sample_idx, {0} AS value FROM e, g WHERE event_id >= 100 AND event_id < 200
@@ -165,24 +165,22 @@ UNION ALL SELECT CAST(1 AS int), event_id, {1} FROM e WHERE event_id >= 100 AND
 
 @query("page_physical", PAGE.format("dg::double * gain + off", "user_id::double", "k::double"))
 def page_physical(spark, sf):
-    c = _view(spark, sf, "r1", "chunks").where("signal_idx in (0, 1, 2)")
-    return sp.read_page(c, None, 100.0, 200.0).select("signal_idx", "sample_idx", F.col("physical").alias("value"))
+    return sp.page(spark, staged(spark, sf, "r1"), 100.0, 200.0, [0, 1, 2]).select("signal_idx", "sample_idx", F.col("physical").alias("value"))
 
 
 @query("page_digital", PAGE.format("CAST(dg AS bigint)", "CAST(user_id AS bigint)", "CAST(k AS bigint)"))
 def _(spark, sf):
-    c = _view(spark, sf, "r1", "chunks").where("signal_idx in (0, 1, 2)")
-    return sp.read_page(c, None, 100.0, 200.0).select("signal_idx", "sample_idx", F.col("digital").cast("long").alias("value"))
+    return sp.page(spark, staged(spark, sf, "r1"), 100.0, 200.0, [0, 1, 2]).select("signal_idx", "sample_idx", F.col("digital").cast("long").alias("value"))
 
 
 @query("page_empty", "SELECT CAST(0 AS bigint) AS n")
 def _(spark, sf):
-    return sp.read_page(_view(spark, sf, "r1", "chunks"), None, 1e12, 2e12).agg(F.count("*").alias("n"))
+    return sp.page(spark, staged(spark, sf, "r1"), 1e12, 2e12).agg(F.count("*").alias("n"))
 
 
 @query("page_fleet", R2 + ", x AS (SELECT f, 0 i, p si, q v FROM l UNION ALL SELECT f, 1, p, d FROM l UNION ALL SELECT f, 2, p // 2, t FROM l WHERE p % 2 = 0 UNION ALL SELECT f, 3, p, ln FROM l) SELECT f AS file, CAST(i AS int) AS signal_idx, CAST(si AS bigint) AS sample_idx, v AS value FROM x WHERE si >= CASE WHEN i = 2 THEN 75 ELSE 150 END AND si < CASE WHEN i = 2 THEN 175 ELSE 350 END")
 def _(spark, sf):
-    return sp.read_page(_view(spark, sf, "r2", "chunks"), None, 1.5, 3.5).select(_file(), "signal_idx", "sample_idx", F.col("digital").cast("long").alias("value"))
+    return sp.page(spark, staged(spark, sf, "r2"), 1.5, 3.5).select(_file(), "signal_idx", "sample_idx", F.col("digital").cast("long").alias("value"))
 
 
 @query("fleet_totals", R2 + ", x AS (SELECT f, 0 i, q v FROM l UNION ALL SELECT f, 1, d FROM l UNION ALL SELECT f, 2, t FROM l WHERE p % 2 = 0 UNION ALL SELECT f, 3, ln FROM l) SELECT f AS file, CAST(i AS int) AS signal_idx, CAST(sum(v) AS bigint) AS total, CAST(count(*) AS bigint) AS n FROM x GROUP BY f, i")
@@ -194,7 +192,7 @@ def _(spark, sf):
 
 @query("true_time_window", R1 + ", x AS (SELECT event_id, (ron - s) + o / 1.0 t FROM e JOIN rec USING (r), s0) SELECT event_id AS sample_idx, t AS time_sec FROM x WHERE t >= 86400 AND t < 172800")
 def _(spark, sf):
-    return sp.time_window(_value(spark, sf), ev.record_onsets(_view(spark, sf, "r1", "tals")), 86400.0, 172800.0).select("sample_idx", "time_sec")
+    return sp.window(spark, staged(spark, sf, "r1"), 86400.0, 172800.0, [0]).select("sample_idx", "time_sec")
 
 
 @query("gaps", R1 + ", x AS (SELECT r, ron - s b, lag(ron - s) OVER (ORDER BY r) a FROM rec, s0), sg(i, rate, spr) AS (VALUES (0, 1.0, 10), (1, 1.0, 10), (2, 0.1, 1)) SELECT CAST(i AS int) AS signal_idx, r AS record_idx, a + (spr - 1) / rate::double AS gap_start, b AS gap_end FROM x, sg WHERE b - (a + (spr - 1) / rate::double) > 1.5::double / rate::double")
@@ -286,7 +284,7 @@ def _(spark, sf):
 
 @query("onset_gap_check", R1 + ", x AS (SELECT r, ron - lag(ron) OVER (ORDER BY r) gap FROM rec) SELECT CAST(count(*) AS bigint) AS faults FROM x WHERE gap < 9.999")
 def _(spark, sf):
-    return ev.onset_faults(ev.record_onsets(_view(spark, sf, "r1", "tals"))).agg(F.count("*").alias("faults"))
+    return ev.onset_faults(_view(spark, sf, "r1", "tals")).agg(F.count("*").alias("faults"))
 
 
 @query("scan_progress", "SELECT CAST(count(*) // 10 AS bigint) AS done, CAST(count(*) // 10 AS bigint) AS total FROM events")
@@ -323,7 +321,7 @@ def _(spark, sf):
 @query("edge_samples")
 def _(spark, sf):
     rows = sp.read_range(_view(spark, sf, "r3", "chunks").where("not is_annotation"), 0, 2**62)
-    return sp.with_times(rows, ev.record_onsets(_view(spark, sf, "r3", "tals"))).select(_file(), "signal_idx", "sample_idx", "physical", F.col("time_sec").cast("string").alias("time_sec"))
+    return sp.with_times(rows).select(_file(), "signal_idx", "sample_idx", "physical", F.col("time_sec").cast("string").alias("time_sec"))
 
 
 # Scalar functions as column expressions, over text made from tables or found in them.

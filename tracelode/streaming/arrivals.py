@@ -20,12 +20,17 @@ def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 100)
     return stream.schema(schema).load(folder).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
+def local_path(uri: str) -> str:
+    """A path without the scheme of local files, whose slashes may be one or three; other URIs stay as they are."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
 def each_batch(handle, view: str = "annotations"):
     """A foreachBatch function that reads a batch's files as a view and hands them to ``handle(df, batch_id)``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # Bounded by files_per_batch.
-        paths = sorted(r.path.removeprefix("file:").replace("//", "/") for r in batch.select("path").distinct().collect())
+        paths = sorted(local_path(r.path) for r in batch.select("path").distinct().collect())
         if paths:
             spark = batch.sparkSession
             handle(annotations(read_edf(spark, paths, "tals")) if view == "annotations" else read_edf(spark, paths, view), batch_id)
