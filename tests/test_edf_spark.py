@@ -134,3 +134,72 @@ def test_listing(tmp_path, monkeypatch):
     with files.open_file(f"mem://{tmp_path}/x.edf") as f:
         f.seek(1)
         assert f.read(2) == b"23"
+
+
+FILTERS = {
+    "recordings": ["path = '{0}'", "num_signals > 1"], "signals": ["path = '{0}'", "signal_idx = 0"],
+    "chunks": ["record_idx = 0", "record_idx >= 1", "record_idx < 2 and signal_idx = 0", "signal_idx in (0, 1)", "path = '{0}'", "record_idx > 5"],
+    "tals": ["record_idx = 0", "record_idx >= 1", "record_idx <= 1", "record_idx = 2", "kind = 'warning'", "kind in ('record', 'fault') and record_idx > 0", "path = '{0}'"],
+}
+
+
+@pytest.mark.parametrize("view", list(FILTERS))
+def test_pushed_filters_change_nothing(spark, files, edge, view):
+    whole = [r.asDict(recursive=True) for r in read_edf(spark, files, view).collect()]
+    table = spark.createDataFrame(whole, read_edf(spark, files, view).schema)
+    for f in FILTERS[view]:
+        f = f.format(edge["truncated"])
+        for mb in (16, 0.0001):
+            assert sorted(map(repr, read_edf(spark, files, view, slice_mb=mb).where(f).collect())) == sorted(map(repr, table.where(f).collect())), (f, mb)
+
+
+def test_paths_with_commas_and_uris(spark, tmp_path, edge):
+    import shutil
+
+    from tracelode.streaming.arrivals import local_path
+
+    odd = str(tmp_path / "x,y.edf")
+    shutil.copy(edge["gaps"], odd)
+    assert [r.path for r in read_edf(spark, odd).collect()] == [odd] and read_edf(spark, [odd, edge["inverted"]]).count() == 2
+    assert local_path("s3://bucket//k.edf") == "s3://bucket//k.edf" and local_path("file:///a/b.edf") == local_path("file:/a/b.edf") == "/a/b.edf"
+
+
+def test_scan_failure_gives_calculated_onsets(spark, tmp_path, edge, monkeypatch):
+    """A file that gets shorter between planning and scanning."""
+    from tracelode.functions import edf_bytes as eb
+    from tracelode.sources.edf import EdfReader, Slices
+
+    path = edge["gaps"]
+    reader = EdfReader({"view": "tals", "paths": f'["{path}"]'})
+    short = tmp_path / "short.edf"
+    head, size = eb.read_header(path)
+    short.write_bytes(open(path, "rb").read()[: size - 10])
+    monkeypatch.setattr(eb, "read_header", lambda p, o: (head, size))
+    rows = [r for b in reader.read(Slices([(str(short), 0, 1)])) for r in b.to_pylist()]
+    assert [r["text"] for r in rows if r["kind"] == "warning"][0].startswith("annotation scan failed")
+    assert [(r["record_idx"], r["onset"]) for r in rows if r["kind"] == "record"] == [(0, 0.0), (1, 1.0), (2, 2.0)]
+
+
+def scans(df):
+    """Scans of the plan as it ran; a reused exchange has none."""
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    return execution.executedPlan().toString().split("== Initial Plan ==")[0].count("BatchScan")
+
+
+def test_one_scan(spark, edge):
+    tals, chunks, signals = (read_edf(spark, edge["gaps"], v) for v in ("tals", "chunks", "signals"))
+    assert scans(ev.record_onsets(tals)) == scans(ev.onset_faults(tals)) == scans(sp.time_window(chunks, 0.5, 10.5)) == scans(ev.annotations(read_edf(spark, edge["two_channels"], "tals"))) == 1
+    assert scans(ev.gaps(ev.record_onsets(tals), signals)) == scans(ev.warnings(read_edf(spark, edge["gaps"]), tals)) == 2
+
+
+def test_pages_read_their_records_only(spark, edge):
+    from tracelode.functions.edf_bytes import read_header
+    from tracelode.sources.edf import EdfReader
+
+    h, _ = read_header(edge["gaps"])
+    reader = EdfReader({"view": "chunks", "paths": "[]", "t0": "1.0", "t1": "2.0"})
+    assert reader._page_records(h, [0]) == (1, 2) and EdfReader({"view": "chunks", "t0": "-5", "t1": "0"})._page_records(h, [0]) == (0, 0)
+    assert sorted(r.digital for r in sp.page(spark, edge["gaps"], 1.0, 2.0, [0]).collect()) == [4, 5, 6, 7]
+    assert read_edf(spark, edge["gaps"], "chunks", t0=1.0, t1=2.0).where("signal_idx = 0").count() == 1
+    assert read_edf(spark, edge["gaps"], "chunks", from_time=5.0).where("signal_idx = 0").count() == 1

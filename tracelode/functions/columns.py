@@ -44,7 +44,9 @@ def known(token: Column) -> Column:
 
 
 def gain(pmin: Column, pmax: Column, dmin: Column, dmax: Column) -> Column:
-    return (pmax - pmin) / (dmax.cast("double") - dmin.cast("double"))
+    """Null without limits, or where the digital ones are equal (files with such a range aren't opened)."""
+    span = dmax.cast("double") - dmin.cast("double")
+    return (pmax - pmin) / F.when(span != 0, span)
 
 
 def offset(pmin: Column, gain_: Column, dmin: Column) -> Column:

@@ -298,6 +298,42 @@ def _(spark, sf):
     return ev.warnings(read_edf(spark, paths, "recordings"), read_edf(spark, paths, "tals")).agg(F.count("*").alias("n"))
 
 
+# R4: the lists of record r by its rules; o is the length of its first list.
+R4 = """WITH n AS (SELECT count(*) // 10 n FROM events), c AS (SELECT unnest(range(0, n)) r FROM n),
+q AS (SELECT r, r % 11 = 5 AS lost, CASE WHEN r % 11 = 5 THEN NULL ELSE r * 10.0::double + CASE WHEN r % 17 = 6 THEN 0.5::double ELSE 0.0::double END END AS tk,
+ CASE WHEN r % 11 = 5 THEN length(printf('+%.2f', r * 10.0::double + 0.25::double)) + 8 ELSE length(printf('+%.1f', r * 10.0::double)) + 3 END AS o FROM c),
+w AS (SELECT r, coalesce(tk, r * 10.0::double) raw, lag(coalesce(tk, r * 10.0::double)) OVER (ORDER BY r) b, lost, o FROM q)
+"""
+
+
+@query("lists_warnings", R4 + """, m AS (
+ SELECT 0 part, 0 a, 0 b, 0 c, 'header' stage, 'patient_id has 2 subfields (expected at least 4): "P1 Q"' message UNION ALL SELECT 0, 1, 0, 0, 'header', 'recording_id does not match EDF+ format: "none"'
+ UNION ALL SELECT 1, n, -1, 0, 'scan', 'data truncated at record ' || n || ': expected ' || (768 + (n + 1) * 140) || ' bytes, file has ' || (768 + n * 140) FROM n
+ UNION ALL SELECT 1, r, 1, 0, 'scan', 'invalid TAL onset at record ' || r || ', byte offset ' || o || ': onset must start with + or -, got "2"' FROM q WHERE r % 7 = 3
+ UNION ALL SELECT 1, r, 1, CASE WHEN r % 7 = 3 THEN 1 ELSE 0 END, 'scan', 'non-UTF-8 annotation text at record ' || r || ', byte offset ' || (o + CASE WHEN r % 7 = 3 THEN 10 ELSE 0 END) FROM q WHERE r % 13 = 4
+ UNION ALL SELECT 1, r, 1073741824, 0, 'scan', 'missing time-keeping annotation in record ' || r || ', using calculated onset' FROM q WHERE lost
+ UNION ALL SELECT 2, r, 0, 0, 'onsets', 'EDF+C record ' || r || ': expected onset gap 10s, got ' || printf('%.6f', raw - b) || 's' FROM w WHERE abs(raw - b - 10) > 0.001)
+SELECT row_number() OVER (ORDER BY part, a, b, c) - 1 AS seq, stage, message FROM m""")
+def _(spark, sf):
+    return ev.warnings(_view(spark, sf, "r4", "recordings"), _view(spark, sf, "r4", "tals")).select("seq", "stage", "message")
+
+
+@query("lists_annotations", R4 + """, a AS (SELECT r * 10.0::double + 0.25::double onset, NULL::double duration, 'event' t, r, 0 e FROM q WHERE lost UNION ALL SELECT r * 10.0::double + 1.0::double, (r % 5)::double, 'after', r, 1 FROM q WHERE r % 13 = 4)
+SELECT row_number() OVER (ORDER BY onset, r, e) - 1 AS ann_idx, onset, duration, t AS text, r AS record_idx FROM a""")
+def _(spark, sf):
+    return ev.annotations(_view(spark, sf, "r4", "tals")).select("ann_idx", "onset", "duration", "text", "record_idx")
+
+
+@query("lists_onsets", R4 + "SELECT r AS record_idx, raw AS scan_onset, r * 10.0::double AS onset, lost AS missing FROM w")
+def _(spark, sf):
+    return ev.record_onsets(_view(spark, sf, "r4", "tals")).select("record_idx", "scan_onset", "onset", "missing")
+
+
+@query("lists_faults", R4 + "SELECT r AS record_idx FROM w WHERE abs(raw - b - 10) > 0.001")
+def _(spark, sf):
+    return ev.onset_faults(_view(spark, sf, "r4", "tals")).select("record_idx")
+
+
 @query("meta_dates")
 def _(spark, sf):
     return _view(spark, sf, "r3", "recordings").select(_file(), F.col("start_datetime").cast("string").alias("start"), "start_datetime_raw", "variant", "num_records_raw", "num_records", "duration")
@@ -330,23 +366,22 @@ KNOWN = "CASE WHEN upper({0}) <> 'X' THEN {0} END"
 DAY = "CASE WHEN regexp_full_match({0}, '[0-9]+-[A-Za-z]{{3}}-[0-9]+') THEN try_strptime(upper({0}), '%d-%b-%Y')::date END"
 
 
-@query("fn_patient", f"""WITH t AS (SELECT DISTINCT file_id, {TOKENS.format('patient_id')} t FROM recordings WHERE patient_id IS NOT NULL), u AS (SELECT * FROM t WHERE len(t) >= 4)
-SELECT file_id, {KNOWN.format('t[1]')} AS code, CASE WHEN upper(t[2]) IN ('M', 'F') THEN upper(t[2]) END AS sex, strftime({DAY.format('t[3]')}, '%Y-%m-%d') AS birthdate,
+@query("fn_patient", f"""WITH t AS (SELECT DISTINCT file_id, {TOKENS.format('patient_id')} t FROM recordings ), u AS (SELECT file_id, CASE WHEN len(t) >= 4 THEN t END t FROM t)
+SELECT file_id, {KNOWN.format('t[1]')} AS code, CASE WHEN upper(t[2]) IN ('M', 'F') THEN upper(t[2]) END AS sex, strftime({DAY.format('t[3]')}, '%Y-%m-%d') AS birthdate, CASE WHEN {DAY.format('t[3]')} IS NULL THEN {KNOWN.format('t[3]')} END AS birthdate_raw,
  replace({KNOWN.format('t[4]')}, '_', ' ') AS name, CASE WHEN len(t) > 4 THEN replace(array_to_string(t[5:], ' '), '_', ' ') END AS additional FROM u""")
 def _(spark, sf):
-    r = spark.read.parquet(f"{sf}/recordings.parquet").where("patient_id is not null").select("file_id", F.col("patient_id").alias("t")).distinct()
-    p = r.where(F.size(F.split(fc.clean(F.col("t")), r"\s+")) >= 4).select("file_id", fc.patient(F.col("t")).alias("p"))
-    return p.select("file_id", "p.code", "p.sex", F.col("p.birthdate").cast("string").alias("birthdate"), "p.name", "p.additional")
+    r = spark.read.parquet(f"{sf}/recordings.parquet").select("file_id", F.col("patient_id").alias("t")).distinct()
+    p = r.select("file_id", fc.patient(F.col("t")).alias("p"))
+    return p.select("file_id", "p.code", "p.sex", F.col("p.birthdate").cast("string").alias("birthdate"), "p.birthdate_raw", "p.name", "p.additional")
 
 
-@query("fn_recording", f"""WITH t AS (SELECT DISTINCT file_id, {TOKENS.format('recording_id')} t FROM recordings WHERE recording_id IS NOT NULL), u AS (SELECT * FROM t WHERE len(t) >= 5 AND lower(t[1]) = 'startdate')
-SELECT file_id, strftime({DAY.format('t[2]')}, '%Y-%m-%d') AS start_date, {KNOWN.format('t[3]')} AS admin_code, replace({KNOWN.format('t[4]')}, '_', ' ') AS technician, replace({KNOWN.format('t[5]')}, '_', ' ') AS equipment,
+@query("fn_recording", f"""WITH t AS (SELECT DISTINCT file_id, {TOKENS.format('recording_id')} t FROM recordings ), u AS (SELECT file_id, CASE WHEN len(t) >= 5 AND lower(t[1]) = 'startdate' THEN t END t FROM t)
+SELECT file_id, strftime({DAY.format('t[2]')}, '%Y-%m-%d') AS start_date, CASE WHEN {DAY.format('t[2]')} IS NULL THEN {KNOWN.format('t[2]')} END AS start_date_raw, {KNOWN.format('t[3]')} AS admin_code, replace({KNOWN.format('t[4]')}, '_', ' ') AS technician, replace({KNOWN.format('t[5]')}, '_', ' ') AS equipment,
  CASE WHEN len(t) > 5 THEN replace(array_to_string(t[6:], ' '), '_', ' ') END AS additional FROM u""")
 def _(spark, sf):
-    r = spark.read.parquet(f"{sf}/recordings.parquet").where("recording_id is not null").select("file_id", F.col("recording_id").alias("t")).distinct()
-    t = F.split(fc.clean(F.col("t")), r"\s+")
-    p = r.where((F.size(t) >= 5) & (F.lower(F.get(t, F.lit(0))) == "startdate")).select("file_id", fc.recording(F.col("t")).alias("p"))
-    return p.select("file_id", F.col("p.start_date").cast("string").alias("start_date"), "p.admin_code", "p.technician", "p.equipment", "p.additional")
+    r = spark.read.parquet(f"{sf}/recordings.parquet").select("file_id", F.col("recording_id").alias("t")).distinct()
+    p = r.select("file_id", fc.recording(F.col("t")).alias("p"))
+    return p.select("file_id", F.col("p.start_date").cast("string").alias("start_date"), "p.start_date_raw", "p.admin_code", "p.technician", "p.equipment", "p.additional")
 
 
 @query("fn_start_datetime", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d 01:02:03') AS start FROM orders")
@@ -355,10 +390,10 @@ def _(spark, sf):
     return o.select("o_orderkey", fc.start_datetime(F.date_format("o_orderdate", "dd.MM.yy"), F.lit("01.02.03")).cast("string").alias("start"))
 
 
-@query("fn_signal_scaling", """WITH s AS (SELECT DISTINCT file_id, signal_index, physical_min a, physical_max b, digital_min c, digital_max d, samples_per_data_record n FROM signals WHERE physical_min IS NOT NULL AND physical_max IS NOT NULL AND digital_min < digital_max)
-SELECT file_id, signal_index, (b - a) / (d::double - c::double) AS gain, a - (b - a) / (d::double - c::double) * c::double AS "offset", n / 2.0::double AS rate FROM s""")
+@query("fn_signal_scaling", """WITH s AS (SELECT DISTINCT file_id, signal_index, physical_min a, physical_max b, digital_min c, digital_max d, samples_per_data_record n FROM signals)
+SELECT file_id, signal_index, CASE WHEN c <> d THEN (b - a) / (d::double - c::double) END AS gain, CASE WHEN c <> d THEN a - (b - a) / (d::double - c::double) * c::double END AS "offset", n / 2.0::double AS rate FROM s""")
 def _(spark, sf):
-    s = spark.read.parquet(f"{sf}/signals.parquet").where("physical_min is not null and physical_max is not null and digital_min < digital_max")
+    s = spark.read.parquet(f"{sf}/signals.parquet")
     a, b, c, d = (F.col(x) for x in ("physical_min", "physical_max", "digital_min", "digital_max"))
     g = fc.gain(a, b, c, d)
     return s.select("file_id", "signal_index", g.alias("gain"), fc.offset(a, g, c).alias("offset"), fc.sample_rate(F.col("samples_per_data_record"), F.lit(2.0)).alias("rate"), "physical_min", "physical_max", "digital_min", "digital_max").distinct().drop("physical_min", "physical_max", "digital_min", "digital_max")

@@ -1,35 +1,30 @@
 """Recordings made from the driver's tables, so that queries cover the whole byte path.
 
 R1 is ``events`` as one EDF+D file, R2 is ``lineitem`` as one plain EDF file for each
-l_returnflag, R3 is a corpus of edge cases. Files are written once per process and table
+l_returnflag, R3 is a corpus of edge cases, R4 is ``events`` as one EDF+C file whose lists and onsets are broken by rule. Files are written once per process and table
 folder, into the shared folder of the session.
 """
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
 import numpy as np
 import pyarrow.parquet as pq
 
 from tracelode.operators.hot import shared_dir
 from tracelode.sources import writer as w
+from tracelode.sources.files import expand, local
 
 _DONE: dict[tuple[str, str], list[str]] = {}
 
 
 def _folder(spark, sf_dir: str, kind: str) -> str:
-    base = urlparse(shared_dir(spark)).path
-    path = os.path.join(base, "edf", sf_dir.strip("/").replace("/", "_"), kind)
-    os.makedirs(path, exist_ok=True)
-    return path
+    return f"{shared_dir(spark)}/edf/{sf_dir.strip('/').replace('/', '_')}/{kind}"
 
 
 def staged(spark, sf_dir: str, kind: str) -> list[str]:
     key = (sf_dir, kind)
-    if key not in _DONE or not all(os.path.exists(p) or p.endswith("absent.edf") for p in _DONE[key]):
-        _DONE[key] = {"r1": _r1, "r2": _r2, "r3": _r3, "bad": _bad}[kind](_folder(spark, sf_dir, kind), sf_dir)
+    if key not in _DONE or not all(expand(p).get(p) or p.endswith("absent.edf") for p in _DONE[key]):
+        _DONE[key] = {"r1": _r1, "r2": _r2, "r3": _r3, "r4": _r4, "bad": _bad}[kind](local(_folder(spark, sf_dir, kind)), sf_dir)
     return _DONE[key]
 
 
@@ -77,6 +72,25 @@ def _r2(folder: str, sf_dir: str) -> list[str]:
     return out
 
 
+def _r4(folder: str, sf_dir: str) -> list[str]:
+    """Of record r: no time-keeping list if r % 11 = 5, a list without sign if r % 7 = 3, one that isn't UTF-8 if r % 13 = 4, half a second late if r % 17 = 6.
+
+    The header promises two records more than there are."""
+    t = pq.read_table(f"{sf_dir}/events.parquet", columns=["event_id", "user_id"]).sort_by("event_id")
+    n = len(t) // 10
+    users = t["user_id"].to_numpy()[: 10 * n].reshape(n, 10)
+    lists = []
+    for r in range(n):
+        parts = [w.tal(f"+{10 * r + 0.25:.2f}", "event") if r % 11 == 5 else w.tal(f"+{10 * r + (0.5 if r % 17 == 6 else 0.0):.1f}")]
+        if r % 7 == 3:
+            parts.append(b"2\x14nosign\x14\0")
+        if r % 13 == 4:
+            parts.append(b"+0.7\x14\xff\x14\0" + w.tal(f"+{10 * r + 1}", "after", duration=str(r % 5)))
+        lists.append(b"".join(parts).ljust(120, b"\0"))
+    signals = [w.signal("user", 10, "-32768", "32767", dimension=""), w.signal("EDF Annotations", 60, "-1", "1", dimension="")]
+    return [w.write(f"{folder}/broken.edf", w.header(signals, n + 2, "10", patient="P1 Q", recording="none"), w.records([users, lists]))]
+
+
 def edge_files(folder: str) -> list[str]:
     """Cases that no table yields: malformed lists, odd headers, truncation, merged rates."""
     one = lambda *v: np.array(v).reshape(len(v), 1)

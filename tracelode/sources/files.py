@@ -32,6 +32,15 @@ def open_file(path: str):
         raise FileOpenError(path) from None
 
 
+def create_file(path: str):
+    """A binary file to write; folders are made as needed."""
+    if (found := _remote(path)) is None:
+        os.makedirs(os.path.dirname(local(path)) or ".", exist_ok=True)
+        return open(local(path), "wb")
+    found[0].create_dir(found[1].rpartition("/")[0], recursive=True)
+    return found[0].open_output_stream(found[1])
+
+
 def expand(name: str, suffix: str = ".edf") -> dict[str, int]:
     """Sizes by path of the files that a name stands for: a file, a pattern, or a folder's files of the suffix. A file that isn't there has size 0."""
     if (found := _remote(name)) is not None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tracelode.sources.files import create_file
+
 
 def _cell(value, size: int) -> bytes:
     raw = value if isinstance(value, bytes) else str(value).encode("utf-8")
@@ -44,7 +46,7 @@ def records(channels) -> bytes:
 
 
 def write(path: str, head: bytes, body: bytes) -> str:
-    with open(path, "wb") as f:
+    with create_file(path) as f:
         f.write(head)
         f.write(body)
     return path
