@@ -1,8 +1,8 @@
 """Annotations, record onsets, gaps and warnings from the ``tals`` and ``recordings`` views.
 
 A record's row carries its onset, that of the record before and that of the file's first record, and
-onset faults are found by the reader. So onsets, gaps and faults are projections of one scan, and annotations
-are numbered over one exchange of it.
+onset faults are found by the reader. So onsets, gaps and faults are projections of one scan; annotations and
+warnings, which are numbered, take two.
 """
 
 from __future__ import annotations
