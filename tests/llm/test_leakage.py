@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from tracelode.llm import leakage as L
 
@@ -59,14 +58,35 @@ def test_columns(spark):
     assert L.reading_order(np.array([600, 100, 603, 98]), np.array([900, 400, 900, 400]), np.array([10, 12, 40, 41])).tolist() == [1, 3, 0, 2]
 
 
-def test_empty_and_bounds(spark, monkeypatch):
+def test_empty(spark):
     docs = spark.createDataFrame([], f"d bigint, t string, b {BOX}")
     items = spark.createDataFrame([(7, ITEM)], "i bigint, text string")
     assert L.find_leaks(docs, items, "d", "t", None, "i", "text").count() == 0
     assert L.find_leaks(spark.createDataFrame([(1, ITEM, None)], f"d bigint, t string, b {BOX}"), items.limit(0), "d", "t", "b", "i", "text").count() == 0
-    monkeypatch.setattr(L, "MOST_ITEM_WORDS", 5)
-    with pytest.raises(ValueError, match="at most 5"):
-        L.find_leaks(docs, items, "d", "t", None, "i", "text")
+
+
+def test_parts_of_items_agree(spark, monkeypatch):
+    """Items beyond the limit are searched in parts, with the same result."""
+    rnd = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "kdgpx" for b in ("ar", "ol", "im", "et") for c in ("bag", "dik", "pox")]
+    rows = [(i, " ".join(rnd.choices(words, k=30))) for i in range(12)]
+    texts = [(d, " ".join(rnd.choices(words, k=8) + rows[d % 12][1].split()[5:20] + rnd.choices(words, k=5) + rows[(d + 5) % 12][1].split()[2:18] + rnd.choices(words, k=8)), None) for d in range(20)]
+    docs, items = spark.createDataFrame(texts + texts[:2], f"d bigint, t string, b {BOX}"), spark.createDataFrame(rows, "i bigint, text string")
+    args = (docs, items, "d", "t", "b", "i", "text")
+    whole, cleaned = sorted(map(tuple, L.find_leaks(*args).collect())), sorted(map(tuple, L.remove_spans(*args).collect()))
+    assert len(whole) == 40 and len(cleaned) == 22
+    monkeypatch.setattr(L, "ITEM_WORDS", 100)
+    assert len(L._shards(items, "i", "text")) == 4
+    assert sorted(map(tuple, L.find_leaks(*args).collect())) == whole and sorted(map(tuple, L.remove_spans(*args).collect())) == cleaned
+
+
+def test_one_whole_window_is_enough():
+    """Twelve words in a row of which line ends break four: one window that few items have leads to the passage."""
+    w = ITEM.split()[:12]
+    item = " ".join(w)
+    text = "some words before " + " ".join(x if k not in (1, 3, 8, 10) or len(x) < 4 else x[:2] + "-\n" + x[2:] for k, x in enumerate(w)) + " and after"
+    page = L.Page(text, np.zeros(0), np.zeros(0), np.zeros(0))
+    assert [(i, n) for i, _, n in L.leaked_items(page, L.Items([(7, item)]))] == [(7, 12)]
 
 
 def test_against_brute_force():

@@ -3,12 +3,14 @@
 Words of a document are read down their columns (lines are assigned to columns by their
 boxes), reduced to ASCII letters and digits, and folded so that letters that scanners take
 for one another are the same. Windows of ``GRAM`` folded words are looked up in a hash set of
-the items' windows, which is broadcast (items are bounded, and checked). A hit is verified:
+the items' windows, which is broadcast; items of more than ``ITEM_WORDS`` words altogether are looked up in
+several such sets, one after the other. Hits are verified from each window that at most ``FEW_ITEMS`` items have, and from others
+where several stand close together:
 from it the passage is followed in both directions word by word, allowing a misread word, a
 word broken at a line's end, and whole lines standing in between, until another word comes.
 A document leaks an item if at least ``LEAST_WORDS`` words in a row of the item are found.
 
-Documents are only mapped, never shuffled; what is broadcast depends on the items alone.
+Documents are only mapped, never shuffled; what is broadcast has a fixed bound.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 GRAM, LEAST_WORDS, LEAST_HITS, SKIP_LINES, AFTER_SKIP = 3, 12, 4, 8, 3
-MOST_ITEM_WORDS = 5_000_000
+ITEM_WORDS = 5_000_000
 PAGES = 500
 FEW_ITEMS = 2
 
@@ -133,6 +135,10 @@ class Items:
         every = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
         by = np.argsort(every, kind="stable")
         self.item_of, self.at = (np.concatenate(x)[by] if len(every) else np.zeros(0, int) for x in (item_of, at))
+        # Of all words of all items, one after the other: where an item begins, keys, lost letters, places.
+        self.first = np.cumsum([0, *map(len, self.keys)])
+        flat = lambda lists, kind: np.array([x for xs in lists for x in xs] + [0], kind)
+        self.flat_keys, self.flat_lost, self.flat_places = flat(self.keys, np.uint64), flat(self.lost, int), flat(self.places, int)
         self.hashes, self.begin = np.unique(every[by], return_index=True)
         self.size = np.diff(np.r_[self.begin, len(every)])
 
@@ -159,6 +165,12 @@ class Page:
         self.rows = [r for r in ([t for t in r if t[0]] for r in rows) if r]
         self.words = [t for r in self.rows for t in r]
         self.keys = np.array([t[1] for t in self.words], np.uint64)
+        self.lost = np.array([t[2] for t in self.words], np.int32)
+        # Whether a word is the first, and the last, of its line.
+        self.edges = np.zeros((2, len(self.words) + 1), bool)
+        ends = np.cumsum([len(r) for r in self.rows], dtype=int)
+        self.edges[0, np.r_[0, ends][: len(ends)]] = True
+        self.edges[1, ends - 1] = True
 
     def lay_out(self):
         sizes = [len(r) for r in self.rows]
@@ -266,6 +278,21 @@ class _Trace:
         return abs(q - began), path
 
 
+def _goes_anywhere(items: Items, p, k, q, keys, lost, edges, page_of) -> np.ndarray:
+    """Whether a hit's passage may go on in either direction: ``follow`` finds nothing beyond the others.
+
+    It may where the next word is the same or has lost letters, words dropped out of the item, or a line ends."""
+    alive = np.zeros(len(p), bool)
+    for step, at, edge in ((1, GRAM - 1, edges[1]), (-1, 0, edges[0])):
+        here, want = p + at, items.first[k] + q + at
+        inside = (want + step >= items.first[k]) & (want + step < items.first[k + 1])
+        nxt, wanted = np.clip(here + step, 0, len(keys) - 1), np.clip(want + step, 0, len(items.flat_keys) - 1)
+        goes = (keys[nxt] == items.flat_keys[wanted]) | (lost[nxt] + items.flat_lost[wanted] > 0) | edge[here] | edge[nxt] | (page_of[nxt] != page_of[here])
+        goes |= np.abs(items.flat_places[wanted] - items.flat_places[np.clip(want, 0, len(items.flat_places) - 1)]) > 1
+        alive |= inside & goes
+    return alive
+
+
 def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, set[int]]]:
     """(page, item, first word, words in a row, the page's words) of each item of which a page has that many words in a row.
 
@@ -275,28 +302,34 @@ def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tu
         return []
     begin = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(pages)), sizes)
-    h = grams(np.concatenate([g.keys for g in pages]))
+    keys = np.concatenate([g.keys for g in pages])
+    h = grams(keys)
     p, k, q, few = items.hits(h)
     one = of[p] == of[p + GRAM - 1]  # a window doesn't reach into the next page
     p, k, q, few = p[one], k[one], q[one], few[one]
-    if len(p) < LEAST_HITS:
+    if not len(p):
         return []
-    # A passage of so many words has several windows of its item close together, also with words broken at line ends:
-    # LEAST_HITS of any kind, or one less if two of them stand in few items.
+    # A passage of so many words has several windows of its item close together, also with words broken at line ends, and
+    # mostly one that few items have: that one is enough, of others LEAST_HITS are needed.
     wide = np.int64(1) << np.int64(30)
     pair = of[p] * len(items.ids) + k
     every = pair * wide + q
     codes, first = np.unique(every, return_index=True)
     rare = few[first].astype(int)
     dense = np.zeros(len(codes), bool)
-    for size, least_rare in ((LEAST_HITS, 0), (LEAST_HITS - 1, 2)):
+    for size, least_rare in ((LEAST_HITS, 0), (1, 1)):
         n = len(codes) - size + 1
+        if n <= 0:
+            continue
         close = (codes[size - 1 :] - codes[:n] <= least - GRAM) & (sum(rare[i : n + i] for i in range(size)) >= least_rare)
         for i in range(size):
             dense[i : n + i] |= close
     if not dense.any():
         return []
+    lost, edges = np.concatenate([g.lost for g in pages]), np.concatenate([g.edges[:, : len(g.words)] for g in pages], axis=1)
     kept = np.flatnonzero(dense[np.searchsorted(codes, every)])
+    if least > GRAM:
+        kept = kept[_goes_anywhere(items, p[kept], k[kept], q[kept], keys, lost, edges, of)]
     kept = kept[np.argsort(pair[kept], kind="stable")]
     pair, p, q = pair[kept], p[kept], q[kept]
     cuts = np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), len(pair)].tolist()
@@ -329,13 +362,17 @@ def leaked_items(page: Page, items: Items, least: int = LEAST_WORDS) -> list[tup
     return [x[1:4] for x in leaked([page], items, least)]
 
 
-def _search(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: str | None, item: str, item_text: str, least: int, schema: str, rows_of) -> DataFrame:
-    """Maps pages of documents to rows: rows_of(page, leaks of the page) gives the values after the document's id."""
-    listed = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+def _shards(items: DataFrame, item: str, item_text: str) -> list[DataFrame]:
+    """The items (i, t; one row for each id) in as many parts as keep each near ITEM_WORDS words."""
+    listed = items.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.min("t").alias("t"))
     size = listed.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    if size > MOST_ITEM_WORDS:
-        raise ValueError(f"the items have {size} words; at most {MOST_ITEM_WORDS} are broadcast")
-    shared = docs.sparkSession.sparkContext.broadcast(Items(sorted({r.i: r.t for r in reversed(listed.orderBy("i", "t").collect())}.items())))
+    n = -(-size // ITEM_WORDS) or 1
+    return [listed] if n == 1 else [listed.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n)]
+
+
+def _search(docs: DataFrame, listed: DataFrame, doc: str, text: str, lines: str | None, least: int, schema: str, rows_of) -> DataFrame:
+    """Maps pages of documents to rows: rows_of(page, leaks of the page) gives the values after the document's id."""
+    shared = docs.sparkSession.sparkContext.broadcast(Items(sorted((r.i, r.t) for r in listed.collect())))
     edge = lambda k: F.transform(lines, lambda b: b[k].cast("double")) if lines else F.lit(None).cast("array<double>")
     boxes = [edge(k).alias(k) for k in ("x0", "x1", "y0")]
     rows = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t"), *boxes).where("d is not null and t is not null")
@@ -372,9 +409,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, text: str, lines: st
     ``lines`` is a column of boxes (structs with x0, x1, y0), the i-th for the i-th line of the text; where their number
     isn't that of the lines (or the column is None) lines are read in their order. Null and blank texts leak nothing;
     null ids are left out; repeated rows of a document give its leaks once. Items with null or short texts are never
-    leaked; items of the same id count as one (the first). The items may have 5 million words altogether, or it's refused."""
+    leaked; items of the same id count as one (the first by text). Items of more than ``ITEM_WORDS`` words are searched in parts, the documents once for each."""
     schema = f"d {dict(docs.dtypes)[doc]}, i {dict(items.dtypes)[item]}, a int, n int"
-    found = _search(docs, items, doc, text, lines, item, item_text, least, schema, lambda page, leaks: [(i, a, n) for i, a, n, _ in leaks])
+    parts = [_search(docs, part, doc, text, lines, least, schema, lambda page, leaks: [(i, a, n) for i, a, n, _ in leaks]) for part in _shards(items, item, item_text)]
+    found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("d", "i").agg(F.max(F.struct("n", "a")).alias("x")).select(F.col("d").alias(doc), F.col("i").alias(item), F.col("x.a").alias("first_word"), F.col("x.n").alias("n_words"))
 
 
@@ -382,13 +420,38 @@ def remove_spans(docs: DataFrame, items: DataFrame, doc: str, text: str, lines:
     """doc, cleaned text (without the words of leaked passages), n_removed for each document row that leaks an item.
 
     Lines that had only such words are dropped. Arguments and cases are those of ``find_leaks``; repeated rows are kept."""
-    schema = f"d {dict(docs.dtypes)[doc]}, cleaned string, n_removed int"
+    shards = _shards(items, item, item_text)
+    kind = dict(docs.dtypes)[doc]
 
     def rows_of(page, leaks):
         words = set().union(*(covered for *_, covered in leaks))
         return [(page.without(words), len(words))]
 
-    return _search(docs, items, doc, text, lines, item, item_text, least, schema, rows_of).withColumnRenamed("d", doc)
+    if len(shards) == 1:
+        return _search(docs, shards[0], doc, text, lines, least, f"d {kind}, cleaned string, n_removed int", rows_of).withColumnRenamed("d", doc)
+    # Words to remove from each part of the items, put together by document and text; repeated rows stay rows.
+    whole = lambda page, leaks: [(page.text, sorted(set().union(*(covered for *_, covered in leaks))))]
+    found = reduce(DataFrame.unionByName, [_search(docs, part, doc, text, lines, least, f"d {kind}, t string, words array<int>", whole) for part in shards])
+    words = found.groupBy("d", F.xxhash64("t").alias("h")).agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"))
+    return _cut(docs, words, doc, text, lines).withColumnRenamed("d", doc)
+
+
+def _cut(docs: DataFrame, words: DataFrame, doc: str, text: str, lines: str | None) -> DataFrame:
+    """d, cleaned, n_removed of the documents named by d and h (hash of the text) in words."""
+    edge = lambda k: F.transform(lines, lambda b: b[k].cast("double")) if lines else F.lit(None).cast("array<double>")
+    rows = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t"), *[edge(k).alias(k) for k in ("x0", "x1", "y0")])
+    rows = rows.withColumn("h", F.xxhash64("t")).join(words, ["d", "h"]).select("d", "t", "x0", "x1", "y0", "words")
+    kind = dict(rows.dtypes)["d"]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, x0, x1, y0, words in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
+                boxes = [np.array([0.0 if v is None else v for v in x or []]) for x in (x0, x1, y0)]
+                out.append(Page(t, *boxes).without(set(words)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([len(w) for w in b.column(5).to_pylist()], pa.int32())], names=["d", "cleaned", "n_removed"])
+
+    return rows.mapInArrow(run, f"d {kind}, cleaned string, n_removed int")
 
 
 def remove_documents(docs: DataFrame, leaks: DataFrame, doc: str) -> DataFrame:
