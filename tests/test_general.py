@@ -306,6 +306,16 @@ def test_positions(spark):
         assert [got[i] for i in mine] == list(range(1, len(mine) + 1))
 
 
+def test_scratch_is_deleted(spark):
+    from pathlib import Path
+
+    with hot.scratch():
+        table = hot.materialize(spark.range(3), "t")
+        path = Path(table.inputFiles()[0].removeprefix("file://")).parent
+        assert table.count() == 3 and path.exists()
+    assert not path.exists()
+
+
 def test_small_is_checked(spark):
     one = spark.range(5)
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()

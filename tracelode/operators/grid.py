@@ -1,15 +1,15 @@
 """Irregular readings onto a regular grid: one slot for each step, filled or marked.
 
-As-of merge per source: grid slots and readings are put into one sorted sequence, and
-the nearest reading at or before and at or after each slot gives both neighbours; the
+As-of merge per source: readings and grid slots are merged in order, each reading followed by the
+slots up to the next one, which gives these slots both neighbours; the
 value is interpolated linearly in time where the neighbours are at most ``gap_limit``
-apart, and marked missing otherwise.
+apart, and marked missing otherwise. Slots come into being behind the last shuffle.
 
 A source may hold any share of the rows, so nothing is windowed over a source: slots are
 whole numbers, readings are first reduced to one per slot (partial aggregation before the
-shuffle), and sequences are cut into shards of ``SHARD`` slots. What a shard needs from
-outside – the nearest reading before and after it – comes from a table with one row for
-each shard that holds readings.
+shuffle), and sequences are cut into shards of ``SHARD`` slots. The reading that follows a shard
+comes from a table with one row for each shard that holds readings. A long gap is written out in two
+steps, so that no row holds all its slots.
 """
 
 from __future__ import annotations
@@ -37,32 +37,18 @@ def regular_grid(readings: DataFrame, sources: DataFrame, source: str, time: str
     per = r.join(s, "src").withColumn("slot", slot).groupBy("src", "slot").agg(F.min(F.struct("t", "v")).alias("x"), F.count("*").alias("n"), F.first("t0").alias("t0"), F.first("d").alias("d"))
     per = per.select("src", "slot", F.floor(F.col("slot") / SHARD).cast("long").alias("shard"), F.col("x.t").alias("t"), F.col("x.v").alias("v"), "n", "t0", "d")
 
-    # One row for each shard with readings; its neighbours in the source hold the nearest readings outside.
+    # The next reading: within the shard, or the first one of the next shard that has any.
     point = F.struct("slot", "t", "v")
-    ends = per.groupBy("src", "shard").agg(F.min(point).alias("head"), F.max(point).alias("tail"), F.first("t0").alias("t0"), F.first("d").alias("d"))
-    w = Window.partitionBy("src").orderBy("shard")
-    ends = ends.select("src", "shard", "t0", "d", "head", "tail", F.lag("tail").over(w).alias("before"), F.lead("head").over(w).alias("after"))
-
-    # Grid: the slots of each such shard, and of the empty shards up to the next one.
-    last = F.when(F.col("after").isNull(), F.col("tail.slot")).otherwise(F.floor(F.col("after.slot") / SHARD) * SHARD - 1)
-    spans = ends.select("*", F.explode(F.sequence(F.col("shard"), F.floor(last / SHARD).cast("long"))).alias("cut"), last.cast("long").alias("last"))
-    own = F.col("cut") == F.col("shard")
-    slots = F.sequence(F.col("cut") * SHARD, F.least(F.col("last"), F.col("cut") * SHARD + SHARD - 1).cast("long"))
-    grid = spans.select("src", F.col("cut").alias("shard"), "t0", "d", F.when(own, F.col("before")).otherwise(F.col("tail")).alias("before"), "after", F.explode(slots).alias("slot"))
-
-    none = F.lit(None)
-    merged = grid.select("src", "shard", "slot", "t0", "d", "before", "after", none.cast("double").alias("t"), none.cast("double").alias("v"), none.cast("long").alias("n")).unionByName(
-        per.select("src", "shard", "slot", "t0", "d", none.cast(grid.schema["before"].dataType).alias("before"), none.cast(grid.schema["after"].dataType).alias("after"), "t", "v", "n")
-    )
-    # Readings stand before the grid's row of their slot in either direction, so running frames find both neighbours.
-    reading = F.col("n").isNotNull()
-    near = F.when(reading, F.struct("slot", "t", "v", "n"))
-    within = lambda *order: Window.partitionBy("src", "shard").orderBy(*order, reading.desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = merged.withColumn("p", F.last(near, True).over(within(F.col("slot")))).withColumn("q", F.last(near, True).over(within(F.col("slot").desc()))).where(F.col("n").isNull())
-    rows = rows.withColumn("here", F.when(F.col("p.slot") == F.col("slot"), F.col("p.n")))
-    bare = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.slot"), F.col(f"{c}.t"), F.col(f"{c}.v")))
-    p, q = F.coalesce(bare("p"), "before"), F.coalesce(bare("q"), "after")
-    rows = rows.select("src", "slot", (F.col("t0") + F.col("slot") * F.col("d")).alias("grid_time"), F.coalesce("here", F.lit(0)).alias("n_readings"), p.alias("p"), q.alias("q"))
+    heads = per.groupBy("src", "shard").agg(F.min(point).alias("head"))
+    follows = heads.select("src", "shard", F.lead("head").over(Window.partitionBy("src").orderBy("shard")).alias("after"))
+    inner = F.lead(point).over(Window.partitionBy("src", "shard").orderBy("slot"))
+    merged = per.withColumn("p", point).withColumn("within", inner).join(follows, ["src", "shard"]).withColumn("q", F.coalesce("within", "after"))
+    last = F.coalesce(F.col("q.slot") - 1, F.col("slot"))
+    cuts = merged.select("src", "n", "t0", "d", "p", "q", last.alias("last"), F.explode(F.sequence(F.floor(F.col("slot") / SHARD).cast("long"), F.floor(last / SHARD).cast("long"))).alias("cut"))
+    stretch = F.sequence(F.greatest(F.col("p.slot"), F.col("cut") * SHARD), F.least("last", F.col("cut") * SHARD + (SHARD - 1)))
+    rows = cuts.select("src", "n", "t0", "d", "p", "q", F.explode(stretch).alias("slot"))
+    own = F.col("slot") == F.col("p.slot")
+    rows = rows.select("src", "slot", (F.col("t0") + F.col("slot") * F.col("d")).alias("grid_time"), F.when(own, F.col("n")).otherwise(F.lit(0)).alias("n_readings"), "p", F.when(own, F.col("p")).otherwise(F.col("q")).alias("q"))
     span = F.col("q.t") - F.col("p.t")
     within = F.lit(True) if gap_limit is None else span <= gap_limit
     share = (F.col("grid_time") - F.col("p.t")) / F.when(span > 0, span)

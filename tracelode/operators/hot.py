@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 _RUN = uuid.uuid4().hex[:12]
 _DIRS: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +43,23 @@ def _remove(path: str) -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Deletes the intermediate tables written inside it at its end; results have to be written or collected before. Without it they stay until the process ends."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    for written in _OPEN:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -62,9 +62,20 @@ def _(spark, sf):
     return _grid(spark, sf).where("status <> 'observed'").select("file_id", "slot")
 
 
-@query("p4_grid", P4_SLOTS + "SELECT g.file_id, g.slot, coalesce(u.n, 0) AS n_readings, CASE WHEN u.n IS NULL THEN 'filled' ELSE 'observed' END AS status, p.onset AS prev_time, q.onset AS next_time FROM g LEFT JOIN u USING (file_id, slot) ASOF JOIN u p ON g.file_id = p.file_id AND g.slot >= p.slot ASOF JOIN u q ON g.file_id = q.file_id AND g.slot <= q.slot")
+# The number of the record as a reading, filled where its neighbours are at most two minutes apart.
+P4_VALUES = """WITH d AS (SELECT file_id, max(record_duration_secs) d FROM recordings WHERE record_duration_secs > 0 AND isfinite(record_duration_secs) GROUP BY 1),
+o AS (SELECT file_id, onset, record_idx::double v, min(onset) OVER (PARTITION BY file_id) t0 FROM record_onsets WHERE onset IS NOT NULL),
+s AS (SELECT file_id, CAST(floor((onset - t0) / d + 0.5) AS bigint) slot, onset, v, t0, d FROM o JOIN d USING (file_id)),
+u AS (SELECT file_id, slot, min(onset) onset, arg_min(v, (onset, v)) v, count(*) n FROM s GROUP BY 1, 2),
+g AS (SELECT file_id, t0, d, unnest(range(0, max(slot) + 1)) slot FROM s GROUP BY 1, 2, 3),
+x AS (SELECT g.file_id, g.slot, g.t0 + g.slot * g.d AS grid_time, coalesce(u.n, 0) n, u.v uv, p.onset pt, p.v pv, q.onset qt, q.v qv FROM g LEFT JOIN u USING (file_id, slot) ASOF JOIN u p ON g.file_id = p.file_id AND g.slot >= p.slot ASOF JOIN u q ON g.file_id = q.file_id AND g.slot <= q.slot)
+SELECT file_id, slot, grid_time, n AS n_readings, CASE WHEN n > 0 THEN uv WHEN qt - pt <= 120 AND qt > pt THEN pv + (qv - pv) * ((grid_time - pt) / (qt - pt)) END AS value,
+ CASE WHEN n > 0 THEN 'observed' WHEN qt - pt <= 120 AND qt > pt THEN 'filled' ELSE 'missing' END AS status, pt AS prev_time, qt AS next_time FROM x"""
+
+
+@query("p4_grid", P4_VALUES)
 def _(spark, sf):
-    return _grid(spark, sf).select("file_id", "slot", "n_readings", "status", "prev_time", "next_time")
+    return grid.regular_grid(_table(spark, sf, "record_onsets"), _table(spark, sf, "recordings"), "file_id", "onset", "record_duration_secs", "record_idx", 120.0)
 
 
 P6 = """WITH i AS (SELECT file_id, CAST(round(onset * 1000) AS bigint) s, CAST(round(onset * 1000) AS bigint) + CAST(round(duration * 1000) AS bigint) e FROM annotations WHERE duration > 0 AND onset IS NOT NULL),
