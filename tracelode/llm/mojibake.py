@@ -40,7 +40,6 @@ IMPROBABLE = 0.5
 SMOOTH = 0.2
 LEAST_UTF8, LEAST_WORD, LEAST_SIGN, LEAST_WITH, LEAST_NEW = 0.5, 5.0, 6.0, 3.0, 10.0
 PAIR, ONE, TRIPLE, WORD = range(4)
-LOST = "�"
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"\w*[^\W\x00-\x7f]\w*")
 _SURE = re.compile("[\x80-\x84\x86-\x9f�]")
@@ -293,8 +292,8 @@ class Model:
         tried = []
         for k, (wrong, right) in enumerate(MAPPINGS):
             r = restore(run, wrong, right)
-            if r is None or LOST in r:
-                continue
+            if r is None or _SURE.search(r):
+                continue  # no text has replacement or control characters of the upper range
             tried.append((k, r))
             if right == "utf-8" and (twice := restore(r, wrong, right)) is not None:
                 tried.append((k, twice))  # text may have been decoded wrongly twice
@@ -303,9 +302,8 @@ class Model:
         likelihood, familiarity = self.weigh([s, *(before + r + after for _, r in tried)], salt)
         best: dict[int, tuple[int, float, str]] = {}
         for (k, r), gain, known in zip(tried, (likelihood[1:] - likelihood[0]).tolist(), (familiarity[1:] - familiarity[0]).tolist()):
-            if k >= UTF8:
-                gain += known
-            elif not self.seen(set(r) - set(run)):
+            gain += known if k >= UTF8 else 0.0
+            if not self.seen(set(r) - set(run)):
                 gain -= LEAST_NEW  # characters that the corpus doesn't have
             if gain > 0 and gain > best.get(k, (k, 0.0, ""))[1]:
                 best[k] = (k, gain, r)
