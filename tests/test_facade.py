@@ -88,3 +88,18 @@ def test_edges(edge):
     assert EdfFile(edge["uneven"]).warnings == ["EDF+C record 1: expected onset gap 1s, got 1.500000s", "EDF+C record 2: expected onset gap 1s, got 0.500000s"]
     assert EdfFile(edge["merging_rates"]).signal_indices_by_rate() == {0: [0, 1, 2]}
     assert EdfFile(edge["long_year"]).start_datetime.year == 3910 and EdfFile(edge["raw_dates"]).start_datetime == "04.04.yy 00.00.00"
+
+
+def test_scan_in_the_background(edge, monkeypatch):
+    from tracelode import facade
+
+    f = EdfFile(edge["gaps"])
+    done, total = f.scan_progress
+    assert 0 <= done <= total == 3
+    f.wait_for_annotations()
+    assert f.annotations_ready and f.scan_progress == (3, 3)
+    f.advise_time_range(0, 5)
+    f.advise_willneed()
+    monkeypatch.setattr(facade.eb, "parse_tals", lambda *a: 1 / 0)
+    g = EdfFile(edge["gaps"])
+    assert g.annotations == [] and g.record_onsets.tolist() == [0, 1, 2] and g.warnings[-1].startswith("annotation scan failed")

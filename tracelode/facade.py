@@ -8,7 +8,9 @@ gives the file's views as DataFrames for everything larger.
 
 from __future__ import annotations
 
+import mmap
 import operator
+import threading
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,8 +47,21 @@ class _Data:
         self.gains, self.offsets = np.array([s.gain for s in h.signals]), np.array([s.offset for s in h.signals])
         # Of each signal its samples in all, its samples in a record, and where a record has them.
         self.lengths = [h.num_records * s.samples_per_record for s in h.signals]
+        self.scales = [(s.gain, s.offset) for s in h.signals]
+        self.item = self.cube.item
         self.widths, self.begins = [s.samples_per_record for s in h.signals], [s.byte_offset // 2 for s in h.signals]
-        self._index = None
+        self._index, self.scanned, self._thread = None, 0, None
+        self.listed = any(s.is_annotation for s in h.signals)
+        if self.listed and self.complete:
+            self._thread = threading.Thread(target=self._fill, daemon=True)
+            self._thread.start()
+
+    def _fill(self):
+        try:
+            self._index = self._scan()
+        except Exception as why:  # noqa: BLE001 - whatever it was, onsets are calculated and a warning tells it
+            n, d = self.head.num_records, self.head.record_duration
+            self._index = [], np.arange(n) * d, 0.0, [f"annotation scan failed: {why}"]
 
     def length(self, k: int) -> int:
         return self.lengths[k]
@@ -56,8 +71,8 @@ class _Data:
         r, at = divmod(i, self.widths[k])
         if r >= self.complete:
             raise E.RecordOutOfRange(r, self.head.num_records)
-        s = self.head.signals[k]
-        return s.gain * self.cube.item(r, self.begins[k] + at) + s.offset
+        gain, offset = self.scales[k]
+        return gain * self.item(r, self.begins[k] + at) + offset
 
     def digital(self, k: int, start: int, end: int) -> np.ndarray:
         """int16 samples [start, end); typed errors for what lies outside."""
@@ -104,10 +119,20 @@ class _Data:
     @property
     def index(self) -> tuple[list[Annotation], np.ndarray, float, list[str]]:
         """(annotations, record onsets, offset of the start, scan warnings)."""
+        if self._thread is not None:
+            self._thread.join()
         if self._index is None:
-            self._index = self._scan()
+            self._fill()
         return self._index
 
+    @property
+    def progress(self) -> tuple[int, int]:
+        """(records scanned, records to scan), without waiting."""
+        if self._index is not None or not self.listed:
+            n = len(self.index[1])
+            return n, n
+        return self.scanned, self.complete
+
     def _scan(self):
         h = self.head
         channels = [s for s in h.signals if s.is_annotation]
@@ -125,6 +150,7 @@ class _Data:
             if keeping is None and h.variant != "EDF":
                 warnings.append(f"missing time-keeping annotation in record {r}, using calculated onset")
             onsets.append(r * h.record_duration if keeping is None else keeping)
+            self.scanned = r + 1
         if self.complete < h.num_records:
             warnings.append(f"data truncated at record {self.complete}: expected {h.header_bytes + (self.complete + 1) * h.record_size} bytes, file has {self.size}")
         start = onsets[0] if onsets else 0.0
@@ -190,6 +216,8 @@ class Signal:
 
     def __getitem__(self, key):
         n = self._d.lengths[self.index]
+        if type(key) is int and 0 <= key < n:
+            return self._d.sample(self.index, key)
         if isinstance(key, slice):
             start, stop, step = key.indices(n)
             picked = range(start, stop, step)
@@ -327,14 +355,14 @@ class EdfFile:
     warnings = property(lambda self: self._d.head.warnings + self._d.index[3])
     record_onsets = property(lambda self: self._d.index[1])
     starttime_subsecond = property(lambda self: self._d.index[2])
-    annotations_ready = property(lambda self: self._d._index is not None or not any(s.is_annotation for s in self._d.head.signals))
+    annotations_ready = property(lambda self: self._d._index is not None or not self._d.listed)
     record_size = property(lambda self: self._d.head.record_size)
     data_offset = property(lambda self: self._d.head.header_bytes)
 
     @property
     def scan_progress(self) -> tuple[int, int]:
-        n = len(self._d.index[1])
-        return n, n
+        """(done, total) of the scan in the background, without waiting for it."""
+        return self._d.progress
 
     def wait_for_annotations(self) -> None:
         self._d.index  # noqa: B018
@@ -379,16 +407,22 @@ class EdfFile:
         for k in wanted:
             if not 0 <= k < h.num_signals:
                 raise E.SignalOutOfRange(k, h.num_signals)
-        if how == d.physical and wanted:
-            rate = h.signals[wanted[0]].rate(h.record_duration)
-            together = d.neighbours(wanted, self._bound(t0, rate), min(self._bound(t1, rate), d.lengths[wanted[0]]))
-            if together is not None:
-                return list(together)
-        out = []
-        for k in wanted:
+        out, at = [], 0
+        while at < len(wanted):
+            k = wanted[at]
             rate = h.signals[k].rate(h.record_duration)
             a, b = self._bound(t0, rate), min(self._bound(t1, rate), d.lengths[k])
-            out.append(how(k, a, b) if a < b else how(k, 0, 0))
+            # Signals side by side with as many samples are read in one go.
+            size = 1
+            while how == d.physical and at + size < len(wanted) and wanted[at + size] == k + size and d.widths[k + size] == d.widths[k]:
+                size += 1
+            together = d.neighbours(wanted[at : at + size], a, b) if size > 1 else None
+            if together is not None:
+                out += list(together)
+            else:
+                size = 1
+                out.append(how(k, a, b) if a < b else how(k, 0, 0))
+            at += size
         return out
 
     @staticmethod
@@ -409,7 +443,21 @@ class EdfFile:
         return self._d.bytes.tobytes()
 
     def advise_time_range(self, t0: float, t1: float) -> None:
-        """A hint without effect here: the operating system reads ahead."""
+        """Tells the operating system to read the records of a time range ahead."""
+        h, d = self._d.head, self._d.head.record_duration
+        if d > 0 and t1 > t0:
+            first, last = (min(max(int(t / d), 0), self._d.complete) for t in (t0, min(t1, 2.0**40)))
+            self.advise_willneed(h.header_bytes + first * h.record_size, (last + 1 - first) * h.record_size)
+
+    def advise_willneed(self, start: int = 0, length: int | None = None) -> None:
+        """The same for a range of bytes, by default the whole file; without effect where the system has no such hint."""
+        mapped = getattr(self._d.bytes, "_mmap", None)
+        if mapped is None or not hasattr(mmap, "MADV_WILLNEED"):
+            return
+        at = max(start, 0) // mmap.PAGESIZE * mmap.PAGESIZE
+        n = min(len(mapped), start + length if length is not None else len(mapped)) - at
+        if n > 0:
+            mapped.madvise(mmap.MADV_WILLNEED, at, n)
 
     def to_spark(self, spark, view: str = "chunks", **options):
         """The file as one of the views of the edf source."""

@@ -75,9 +75,12 @@ def plain_number(x: float) -> str:
     return format(x, "f").rstrip("0") if "e" in repr(x) and abs(x) < 1 else repr(x)
 
 
+_BLANKS = "\t\n\v\f\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def clean(raw: bytes) -> str:
     """A field's text: lossy UTF-8 without surrounding white space (NULs stay)."""
-    return raw.decode("utf-8", "replace").strip("\t\n\v\f\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
+    return raw.decode("utf-8", "replace").strip(_BLANKS)
 
 
 def convert(kind: str, text: str):
