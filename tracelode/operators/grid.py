@@ -39,10 +39,10 @@ def regular_grid(readings: DataFrame, sources: DataFrame, source: str, time: str
 
     # The next reading: within the shard, or the first one of the next shard that has any.
     point = F.struct("slot", "t", "v")
-    heads = per.groupBy("src", "shard").agg(F.min(point).alias("head"))
-    follows = heads.select("src", "shard", F.lead("head").over(Window.partitionBy("src").orderBy("shard")).alias("after"))
+    heads = per.groupBy("src", "shard").agg(F.min(point).alias("head"), F.first("t0").alias("t0"), F.first("d").alias("d"))
+    follows = heads.select("src", "shard", "t0", "d", F.lead("head").over(Window.partitionBy("src").orderBy("shard")).alias("after"))
     inner = F.lead(point).over(Window.partitionBy("src", "shard").orderBy("slot"))
-    merged = per.withColumn("p", point).withColumn("within", inner).join(follows, ["src", "shard"]).withColumn("q", F.coalesce("within", "after"))
+    merged = per.drop("t0", "d").withColumn("p", point).withColumn("within", inner).join(follows, ["src", "shard"]).withColumn("q", F.coalesce("within", "after"))
     last = F.coalesce(F.col("q.slot") - 1, F.col("slot"))
     cuts = merged.select("src", "n", "t0", "d", "p", "q", last.alias("last"), F.explode(F.sequence(F.floor(F.col("slot") / SHARD).cast("long"), F.floor(last / SHARD).cast("long"))).alias("cut"))
     stretch = F.sequence(F.greatest(F.col("p.slot"), F.col("cut") * SHARD), F.least("last", F.col("cut") * SHARD + (SHARD - 1)))
