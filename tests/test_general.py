@@ -14,7 +14,8 @@ from tracelode.operators import faults, grid, hot, intervals, packed, units
 
 def unpacked(spark, texts, field="f"):
     df = spark.createDataFrame(list(enumerate(texts)), f"k bigint, {field} string")
-    return {k: [(r.pos, r.val) for r in sorted(packed.unpack(df, "k", [field]).where(F.col("k") == k).collect(), key=lambda r: r.pos)] for k in range(len(texts))}
+    rows = packed.unpack(df, "k", [field]).collect()
+    return {k: [(r.pos, r.val) for r in sorted((r for r in rows if r.k == k), key=lambda r: r.pos)] for k in range(len(texts))}
 
 
 def test_packed_dialects(spark):
