@@ -124,3 +124,49 @@ def test_removal(spark):
     assert sorted(r.d for r in kept.collect()) == [2, 3] and kept.columns == ["d", "t", "b"]
     broken = spark.createDataFrame([(1, "near Bara-\nholt was restored on Monday by Captain Elspet Dorwick and 2479 harbours x", None)], f"d bigint, t string, b {BOX}")
     assert L.remove_spans(broken, items, "d", "t", "b", "i", "text").first().cleaned == "x"
+
+
+def test_hits_that_go_nowhere_are_not_followed(monkeypatch):
+    """Pieces of three and six words, too short whatever stands around them, are left out before any is followed."""
+    w = ITEM.split()
+    items, blank = L.Items([(7, ITEM)]), np.zeros(0)
+    calls, follow = [], L._Trace.follow
+    monkeypatch.setattr(L._Trace, "follow", lambda *a: calls.append(a) or follow(*a))
+    pieces = [w[a : a + n] for a in range(0, 18, 3) for n in (3, 6)]
+    text = "\n".join(" ".join(["quite", "another", *p, "thing", "entirely"]) for p in pieces)
+    assert L.leaked([L.Page(text, blank, blank, blank)], items) == [] and not calls
+    assert len(L.leaked([L.Page(ITEM, blank, blank, blank)], items)) == 1 and calls
+
+
+def test_no_hit_left(spark):
+    """The only window of an item stands inside a line, among other words."""
+    assert found(spark, ["these words are harbours were closed others than those"]) == {}
+
+
+def test_leaving_hits_out_loses_nothing(monkeypatch):
+    """Damaged passages: the same leaks and words as with every hit followed."""
+    rnd = random.Random(5)
+    words = [f"{a}{b}" for a in ("mu", "ör", "fa", "tn") for b in ("rne", "ül", "ca", "s1")] + ["é", "1872"]
+    pages, rows = [], [(i, " ".join(rnd.choices(words, k=30))) for i in range(6)]
+    filler = lambda: "".join(" ".join(rnd.choices(words, k=3)) + "\n" for _ in range(rnd.choice((0, 1, 8))))
+    for _ in range(150):
+        a, out = rnd.randrange(18), []
+        for x in rnd.choice(rows)[1].split()[a : a + rnd.randrange(6, 20)]:
+            damaged = [x[:1] + "-\n" + filler() + x[1:], "\n" + filler() + x, x.encode().decode("cp1252"), "é" + x[1:], x + " ·", rnd.choice(words)]
+            out.append(rnd.choice(damaged) if rnd.random() < 0.25 else x)
+        pages.append(" ".join(rnd.choices(words, k=5) + out + rnd.choices(words, k=5)))
+
+    def leaks():
+        return L.leaked([L.Page(t, np.zeros(0), np.zeros(0), np.zeros(0)) for t in pages], L.Items(rows))
+
+    got, left_out, hopeful = leaks(), [], L._hopeful
+
+    def every(*args):
+        left_out.append((~hopeful(*args)).sum())
+        return np.ones(len(args[2]), bool)
+
+    monkeypatch.setattr(L, "HITS", 50)
+    assert leaks() == got
+    monkeypatch.setattr(L, "_hopeful", every)
+    monkeypatch.setattr(L, "HITS", 1 << 17)
+    assert leaks() == got and len(got) > 40 and left_out[0] > 100

@@ -5,8 +5,8 @@ boxes), reduced to ASCII letters and digits, and folded so that letters that sca
 for one another are the same. Windows of ``GRAM`` folded words are looked up in a hash set of
 the items' windows, which is broadcast; items of more than ``ITEM_WORDS`` words altogether are looked up in
 several such sets, one after the other. Hits are verified from each window that at most ``FEW_ITEMS`` items have, and from others
-where several stand close together:
-from it the passage is followed in both directions word by word, allowing a misread word, a
+where several stand close together. Those around which too few words can follow, by comparing neighbours of many hits at
+once, are left out first; from each other one the passage is followed in both directions word by word, allowing a misread word, a
 word broken at a line's end, and whole lines standing in between, until another word comes.
 A document leaks an item if at least ``LEAST_WORDS`` words in a row of the item are found.
 
@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 GRAM, LEAST_WORDS, LEAST_HITS, SKIP_LINES, AFTER_SKIP = 3, 12, 4, 8, 3
 ITEM_WORDS = 5_000_000
 PAGES = 500
+HITS = 1 << 17
 FEW_ITEMS = 2
 
 # Letters that scanners take for one another, by the letter that stands for them.
@@ -37,6 +38,8 @@ CONFUSED = {"o": "eca0", "n": "rum", "i": "l1", "t": "f", "h": "b8", "s": "5", "
 _FOLD = str.maketrans({c: k for k, cs in CONFUSED.items() for c in cs})
 _WIDE = re.compile("nn+")
 _NOISE = re.compile(r"[^0-9a-z]+")
+_BIT = {c: 1 << i for i, c in enumerate(sorted({c.translate(_FOLD) for c in "0123456789abcdefghijklmnopqrstuvwxyz"}))}
+_LETTERS = (1 << len(_BIT)) - 1
 
 
 def fold(word: str) -> str:
@@ -44,14 +47,17 @@ def fold(word: str) -> str:
     return _WIDE.sub("n", word.translate(_FOLD))
 
 
-def plain(chunk: str) -> tuple[str, int, int, str]:
-    """(ASCII letters and digits of a blank-separated chunk in lower case, hash of them folded, how many other letters dropped out, folded).
+def plain(chunk: str) -> tuple[str, int, int, str, int]:
+    """(ASCII letters and digits of a blank-separated chunk in lower case, hash of them folded, how many other letters dropped out, folded, sketch).
 
-    Accented and wrongly decoded letters drop out; so do marks and specks."""
+    Accented and wrongly decoded letters drop out; so do marks and specks. The sketch has, from the lowest bit, which
+    letters the folded word has (32 bits), its length, the plain word's and how many letters dropped out (8 bits each, 255 at most)."""
     c = unicodedata.normalize("NFC", chunk).lower().replace("ß", "ss")
     w = _NOISE.sub("", c)
     f = fold(w)
-    return w, zlib.crc32(f.encode()), 0 if c.isascii() else sum(not x.isascii() for x in c), f
+    lost = 0 if c.isascii() else sum(not x.isascii() for x in c)
+    sketch = sum(map(_BIT.__getitem__, set(f))) | min(len(f), 255) << 32 | min(len(w), 255) << 40 | min(lost, 255) << 48
+    return w, zlib.crc32(f.encode()), lost, f, sketch
 
 
 class _Known(dict):
@@ -94,11 +100,11 @@ def reading_order(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray) -> np.ndarray:
     """Order of lines down their columns, columns from left to right."""
     if len(x0) < 2:
         return np.arange(len(x0))
-    by = np.argsort(x0, kind="stable")
-    gap = max(40.0, 0.3 * float(np.median(x1 - x0)))
-    column = np.empty(len(x0), int)
-    column[by] = np.cumsum(np.r_[0, np.diff(x0[by]) > gap])
-    return np.lexsort((np.arange(len(x0)), y0, column))
+    by, widths, n = x0.argsort(kind="stable"), np.sort(x1 - x0), len(x0)
+    gap = max(40.0, 0.3 * float(widths[n // 2] + widths[(n - 1) // 2]) / 2)
+    column, left = np.zeros(n, int), x0[by]
+    column[by[1:]] = (left[1:] - left[:-1] > gap).cumsum()
+    return np.lexsort((y0, column))
 
 
 def grams(keys: np.ndarray) -> np.ndarray:
@@ -118,7 +124,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
-        self.words, self.keys, self.lost, self.places, self.folded = [], [], [], [], []
+        self.words, self.keys, self.lost, self.places, self.folded, sketches = [], [], [], [], [], []
         windows, item_of, at = [], [], []
         for k, (_, text) in enumerate(rows):
             chunks = [c for c in (text or "").split() if any(x.isalnum() for x in c)]
@@ -127,7 +133,8 @@ class Items:
             self.keys.append([x[1] for x in kept])
             self.lost.append([x[2] for x in kept])
             self.folded.append([x[3] for x in kept])
-            self.places.append([x[4] for x in kept])
+            sketches.append([x[4] for x in kept])
+            self.places.append([x[5] for x in kept])
             h = grams(np.array(self.keys[-1], np.uint64))
             windows.append(h)
             item_of.append(np.full(len(h), k))
@@ -135,10 +142,10 @@ class Items:
         every = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
         by = np.argsort(every, kind="stable")
         self.item_of, self.at = (np.concatenate(x)[by] if len(every) else np.zeros(0, int) for x in (item_of, at))
-        # Of all words of all items, one after the other: where an item begins, keys, lost letters, places.
+        # Of all words of all items, one after the other: where an item begins, keys, sketches, places.
         self.first = np.cumsum([0, *map(len, self.keys)])
         flat = lambda lists, kind: np.array([x for xs in lists for x in xs] + [0], kind)
-        self.flat_keys, self.flat_lost, self.flat_places = flat(self.keys, np.uint64), flat(self.lost, int), flat(self.places, int)
+        self.flat_keys, self.flat_sketches, self.flat_places = flat(self.keys, np.uint64), flat(sketches, np.int64), flat(self.places, int)
         self.hashes, self.begin = np.unique(every[by], return_index=True)
         self.size = np.diff(np.r_[self.begin, len(every)])
 
@@ -158,19 +165,12 @@ class Page:
 
     def __init__(self, text: str, x0, x1, y0):
         lines = text.split("\n")
-        order = reading_order(x0, x1, y0) if len(x0) == len(lines) else range(len(lines))
+        order = reading_order(x0, x1, y0).tolist() if len(x0) == len(lines) else range(len(lines))
         self.text, self.order = text, order
-        seen = _SEEN
-        rows = [[seen[c] for c in lines[k].split()] for k in order]
-        self.rows = [r for r in ([t for t in r if t[0]] for r in rows) if r]
+        known = _SEEN.__getitem__
+        rows = [[t for t in map(known, lines[k].split()) if t[0]] for k in order]
+        self.rows = [r for r in rows if r]
         self.words = [t for r in self.rows for t in r]
-        self.keys = np.array([t[1] for t in self.words], np.uint64)
-        self.lost = np.array([t[2] for t in self.words], np.int32)
-        # Whether a word is the first, and the last, of its line.
-        self.edges = np.zeros((2, len(self.words) + 1), bool)
-        ends = np.cumsum([len(r) for r in self.rows], dtype=int)
-        self.edges[0, np.r_[0, ends][: len(ends)]] = True
-        self.edges[1, ends - 1] = True
 
     def lay_out(self):
         sizes = [len(r) for r in self.rows]
@@ -205,7 +205,7 @@ class _Trace:
         self.page, self.words, self.lost, self.folded, self.places = page, items.words[k], items.lost[k], items.folded[k], items.places[k]
 
     def same(self, p: int, q: int) -> bool:
-        w, _, lost, f = self.page.words[p]
+        w, _, lost, f, _ = self.page.words[p]
         want = self.folded[q]
         return f == want or alike(w, self.words[q], f, want, lost + self.lost[q])
 
@@ -278,19 +278,103 @@ class _Trace:
         return abs(q - began), path
 
 
-def _goes_anywhere(items: Items, p, k, q, keys, lost, edges, page_of) -> np.ndarray:
-    """Whether a hit's passage may go on in either direction: ``follow`` finds nothing beyond the others.
-
-    It may where the next word is the same or has lost letters, words dropped out of the item, or a line ends."""
-    alive = np.zeros(len(p), bool)
-    for step, at, edge in ((1, GRAM - 1, edges[1]), (-1, 0, edges[0])):
-        here, want = p + at, items.first[k] + q + at
-        inside = (want + step >= items.first[k]) & (want + step < items.first[k + 1])
-        nxt, wanted = np.clip(here + step, 0, len(keys) - 1), np.clip(want + step, 0, len(items.flat_keys) - 1)
-        goes = (keys[nxt] == items.flat_keys[wanted]) | (lost[nxt] + items.flat_lost[wanted] > 0) | edge[here] | edge[nxt] | (page_of[nxt] != page_of[here])
-        goes |= np.abs(items.flat_places[wanted] - items.flat_places[np.clip(want, 0, len(items.flat_places) - 1)]) > 1
-        alive |= inside & goes
-    return alive
+class _Batch:
+    """Words of several pages, one after the other: keys, sketches, lines and pages of them."""
+
+    def __init__(self, pages: list[Page]):
+        words = [t for g in pages for t in g.words]
+        self.keys, self.sketches = (np.array([t[i] for t in words], kind) for i, kind in ((1, np.uint64), (4, np.int64)))
+        sizes = np.array([len(r) for g in pages for r in g.rows], int)
+        ends = sizes.cumsum()
+        # The first word of each line, and the last; the line and the page of each word.
+        self.heads, self.tails, self.line = ends - sizes, ends - 1, np.repeat(np.arange(len(sizes)), sizes)
+        self.page_of_line = np.repeat(np.arange(len(pages)), [len(g.rows) for g in pages])
+        self.page = self.page_of_line[self.line]
+
+    def beyond(self, line: np.ndarray, step: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the words that lines from so many lines on begin with in that direction, whether there are such lines) for each line."""
+        other = line[:, None] + step * np.arange(least, SKIP_LINES + 2)
+        near = np.clip(other, 0, len(self.heads) - 1)
+        return (self.heads if step > 0 else self.tails)[near], (near == other) & (self.page_of_line[near] == self.page_of_line[line][:, None])
+
+
+def _near(letters: np.ndarray, length: np.ndarray, want: np.ndarray, lost: np.ndarray, slack: int) -> np.ndarray:
+    """Whether a folded word of these letters may be within the edits that lost letters allow of the wanted one (a sketch)."""
+    most = np.minimum(lost, 2)
+    close = np.abs(length - (want >> 32 & 255)) <= most + slack
+    return close & (np.bitwise_count(letters & ~want & _LETTERS) <= most) & (np.bitwise_count(want & ~letters & _LETTERS) <= most)
+
+
+def _alike(words: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether words that differ after folding may still be the same, by their sketches."""
+    lost = (words >> 48) + (wanted >> 48)
+    return (lost > 0) & _near(words, words >> 32 & 255, wanted, lost, 0)
+
+
+def _goes_on(batch: _Batch, items: Items, b: np.ndarray, y: np.ndarray, last: np.ndarray, step: int) -> np.ndarray:
+    """Whether ``goes_on`` may hold for words b of the pages as words y of the items, the last in that direction being ``last``."""
+    on, undecided, ends = np.ones(len(b), bool), np.ones(len(b), bool), batch.tails if step > 0 else batch.heads
+    for n in range(1, AFTER_SKIP):
+        undecided &= (last - y) * step >= n
+        i, j = np.clip(b + n * step, 0, len(batch.page) - 1), np.clip(y + n * step, 0, len(items.flat_keys) - 1)
+        equal = batch.keys[i] == items.flat_keys[j]
+        broken = ~equal & (i == ends[batch.line[i]])  # no word after a broken one is looked at
+        on &= ~undecided | (batch.page[i] == batch.page[b]) & (equal | broken | _alike(batch.sketches[i], items.flat_sketches[j]))
+        undecided &= ~broken
+    return on
+
+
+def _may_go_on(batch: _Batch, items: Items, x: np.ndarray, y: np.ndarray, last: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """How ``follow`` may go on from words x of the pages, at words y of the items, though the next words' keys differ.
+
+    The first: with the next words, if those have lost letters; the second: otherwise, where words dropped out of the item
+    or past line ends. Sketches rule out most."""
+    nxt, want = x + step, items.flat_sketches[y + step]
+    word = batch.sketches[nxt]
+    may = np.abs(items.flat_places[y + step] - items.flat_places[y]) > 1
+    ends = batch.tails if step > 0 else batch.heads
+    # The next word may be one part of a broken one, the other part in one of the next lines.
+    r = np.flatnonzero(~may & (nxt == ends[batch.line[nxt]]))
+    b, there = batch.beyond(batch.line[nxt[r]], step, 1)
+    other, one, wanted = batch.sketches[b], word[r][:, None], want[r][:, None]
+    length, lost = (one >> 40 & 255) + (other >> 40 & 255), (one >> 48) + (wanted >> 48) + (other >> 48)
+    close = (np.abs(length - (wanted >> 40 & 255)) <= 3) & _near(one | other, (one >> 32 & 255) + (other >> 32 & 255), wanted, lost, 1)
+    m, n = np.nonzero(there & (close | (length >= 255)))
+    sure = (n == 0) | _goes_on(batch, items, b[m, n], y[r[m]] + step, last[r[m]], step)
+    may[r[m[sure]]] = True
+    # Or the passage goes on after lines in between.
+    r = np.flatnonzero(~may & (x == ends[batch.line[x]]))
+    b, there = batch.beyond(batch.line[x[r]], step, 2)
+    m, n = np.nonzero(there & ((batch.keys[b] == items.flat_keys[y[r] + step][:, None]) | _alike(batch.sketches[b], want[r][:, None])))
+    sure = _goes_on(batch, items, b[m, n], y[r[m]] + step, last[r[m]], step)
+    may[r[m[sure]]] = True
+    return _alike(word, want), may
+
+
+def _hopeful(batch: _Batch, items: Items, p: np.ndarray, k: np.ndarray, q: np.ndarray, least: int) -> np.ndarray:
+    """Whether a hit's passage may have so many words: what is left out is too short whatever ``follow`` finds.
+
+    Equal words are counted in both directions; where they end for certain in both, their number decides."""
+    may, first, ends = np.zeros(len(p), bool), items.first[k], []
+    last = items.first[k + 1] - 1
+    for step, at in ((1, GRAM - 1), (-1, 0)):
+        here, there = p + at, first + q + at
+        live = np.flatnonzero(~may)
+        for _ in range(least - GRAM):
+            x, y = here[live], there[live]
+            inside = (y < last[live] if step > 0 else y > first[live]) & (batch.page[np.clip(x + step, 0, len(batch.page) - 1)] == batch.page[x])
+            inside &= (x + step >= 0) & (x + step < len(batch.page))
+            live, x, y = live[inside], x[inside], y[inside]
+            goes = batch.keys[x + step] == items.flat_keys[y + step]
+            differ = np.flatnonzero(~goes)
+            goes[differ], may[live[differ]] = _may_go_on(batch, items, x[differ], y[differ], (last if step > 0 else first)[live[differ]], step)
+            live = live[goes & ~may[live]]
+            if not len(live):
+                break
+            here[live] += step
+            there[live] += step
+        ends.append(items.flat_places[there])
+    return may | (ends[0] - ends[1] + 1 >= least)
 
 
 def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, set[int]]]:
@@ -300,11 +384,9 @@ def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tu
     sizes = np.array([len(g.words) for g in pages], np.int64)
     if not sizes.sum():
         return []
-    begin = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(pages)), sizes)
-    keys = np.concatenate([g.keys for g in pages])
-    h = grams(keys)
-    p, k, q, few = items.hits(h)
+    begin, batch = np.cumsum(sizes) - sizes, _Batch(pages)
+    of = batch.page
+    p, k, q, few = items.hits(grams(batch.keys))
     one = of[p] == of[p + GRAM - 1]  # a window doesn't reach into the next page
     p, k, q, few = p[one], k[one], q[one], few[one]
     if not len(p):
@@ -314,8 +396,9 @@ def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tu
     wide = np.int64(1) << np.int64(30)
     pair = of[p] * len(items.ids) + k
     every = pair * wide + q
-    codes, first = np.unique(every, return_index=True)
-    rare = few[first].astype(int)
+    by = np.argsort(every)
+    new = np.r_[True, np.diff(every[by]) > 0]
+    codes, rare = every[by][new], few[by][new].astype(int)
     dense = np.zeros(len(codes), bool)
     for size, least_rare in ((LEAST_HITS, 0), (1, 1)):
         n = len(codes) - size + 1
@@ -326,10 +409,12 @@ def leaked(pages: list[Page], items: Items, least: int = LEAST_WORDS) -> list[tu
             dense[i : n + i] |= close
     if not dense.any():
         return []
-    lost, edges = np.concatenate([g.lost for g in pages]), np.concatenate([g.edges[:, : len(g.words)] for g in pages], axis=1)
-    kept = np.flatnonzero(dense[np.searchsorted(codes, every)])
+    kept = np.sort(by[dense[new.cumsum() - 1]])
     if least > GRAM:
-        kept = kept[_goes_anywhere(items, p[kept], k[kept], q[kept], keys, lost, edges, of)]
+        parts = [kept[i : i + HITS] for i in range(0, len(kept), HITS)]
+        kept = np.concatenate([x[_hopeful(batch, items, p[x], k[x], q[x], least)] for x in parts])
+    if not len(kept):
+        return []
     kept = kept[np.argsort(pair[kept], kind="stable")]
     pair, p, q = pair[kept], p[kept], q[kept]
     cuts = np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), len(pair)].tolist()
