@@ -180,6 +180,24 @@ def test_scan_failure_gives_calculated_onsets(spark, tmp_path, edge, monkeypatch
     assert [(r["record_idx"], r["onset"]) for r in rows if r["kind"] == "record"] == [(0, 0.0), (1, 1.0), (2, 2.0)]
 
 
+def test_scan_failure_is_no_result(spark, edge, tmp_path, monkeypatch):
+    """By default it ends the query; PERMISSIVE marks the calculated onsets, which count from the file's start."""
+    from tracelode.errors import MapFailedError
+    from tracelode.functions import edf_bytes as eb
+    from tracelode.sources.edf import SCHEMAS, EdfSource, Slices
+
+    head, size = eb.read_header(edge["gaps"])
+    short = tmp_path / "short.edf"
+    short.write_bytes(open(edge["gaps"], "rb").read()[: size - 10])
+    monkeypatch.setattr(eb, "read_header", lambda p, o: (head, size))
+    read = lambda **kw: [tuple(r.values()) for b in EdfSource({"view": "tals", "path": str(short), **kw}).reader(None).read(Slices([(str(short), 0, 1)])) for r in b.to_pylist()]
+    with pytest.raises(MapFailedError):
+        read()
+    tals = spark.createDataFrame(read(mode="PERMISSIVE"), SCHEMAS["tals"])
+    assert [(r.onset, r.scan_onset, r.missing) for r in ev.record_onsets(tals).orderBy("record_idx").collect()] == [(0.0, 0.0, True), (1.0, 1.0, True), (2.0, 2.0, True)]
+    assert [w.message.partition(":")[0] for w in ev.warnings(read_edf(spark, edge["gaps"]), tals).collect()] == ["annotation scan failed"]
+
+
 def scans(df):
     """Scans of the plan as it ran; a reused exchange has none."""
     execution = df._jdf.queryExecution()

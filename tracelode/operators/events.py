@@ -16,7 +16,7 @@ RECORDS = ("record", "uniform")
 
 
 def raw_onsets(tals: DataFrame) -> DataFrame:
-    """One row per scanned record: path, record_idx, variant, record_duration, raw onset, start (the first record's), before (of the record before), missing (calculated, as the lists have none), uniform."""
+    """One row per scanned record: path, record_idx, variant, record_duration, raw onset, start (the first record's), before (of the record before), missing (calculated, as the lists have none or couldn't be scanned), uniform."""
     rows = tals.where(F.col("kind").isin(*RECORDS))
     return rows.select("path", "record_idx", "variant", "record_duration", F.col("onset").alias("raw"), "start", "before", "missing", (F.col("kind") == "uniform").alias("uniform"))
 
@@ -59,7 +59,8 @@ def warnings(recordings: DataFrame, tals: DataFrame) -> DataFrame:
     head = recordings.select("path", F.explode(F.filter(F.concat(F.coalesce(many, F.array().cast(f"array<{_ROW}>")), F.array(one)), lambda x: x["message"].isNotNull())).alias("x")).select("path", "x.*")
     kind = F.col("kind")
     lost = F.format_string("missing time-keeping annotation in record %d, using calculated onset", "record_idx")
-    absent = (kind == "record") & F.col("missing") & (F.col("variant") != "EDF")
+    # A record with a text wasn't scanned, which a warning of its own tells.
+    absent = (kind == "record") & F.col("missing") & F.col("text").isNull() & (F.col("variant") != "EDF")
     rows = tals.where(F.col("kind").isin("warning", "fault", "record"))
     case = F.when(kind == "warning", F.struct(*order(1, F.col("record_idx"), F.col("signal_idx"), F.col("elem_idx")), F.lit("scan").alias("stage"), F.col("text").alias("message")))
     case = case.when(kind == "fault", F.struct(*order(2, F.col("record_idx"), zero, zero), F.lit("onsets").alias("stage"), F.col("text").alias("message")))

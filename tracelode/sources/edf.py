@@ -19,7 +19,8 @@ All that a row needs to know of its file comes with it – the first record's on
 onsets, annotations, gaps and faults need no join. A slice reads one record more for that.
 
 Paths (local ones, or URIs that pyarrow's file systems know) must be visible to all executors. ``mode`` is FAILFAST (default) or PERMISSIVE;
-the latter skips unreadable files and reports them in the ``warnings`` operator.
+the latter skips unreadable files and reports them in the ``warnings`` operator; records whose lists can't be read have calculated onsets
+(from the file's start, ``missing``, the failure as text) and a warning. With FAILFAST such a failure ends the query.
 """
 
 from __future__ import annotations
@@ -109,13 +110,15 @@ class EdfSource(DataSource):
         return SCHEMAS[self.options.get("view", "recordings")]
 
     def reader(self, schema):
-        return EdfReader(dict(self.options))
+        return EdfReader({"mode": "FAILFAST"} | dict(self.options))
 
 
 class EdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.view = options.get("view", "recordings")
-        self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        # Spark's readers have a mode. One made without it doesn't open bad files either, but a scan that fails falls back, as that of EdfFile does.
+        mode = options.get("mode", "").upper()
+        self.permissive, self.failfast = mode == "PERMISSIVE", mode == "FAILFAST"
         self.slice_bytes = int(float(options.get("slice_mb", 16)) * 2**20)
         self.rows = int(options.get("batch_records", 4096))
         self.paths = json.loads(options["paths"]) if options.get("paths") else [options["path"]] if options.get("path") else []
@@ -331,9 +334,12 @@ class EdfReader(DataSourceReader):
                     yield from found
                     before, done = onset, r + 1
         except (OSError, TraceError) as why:
-            # What can't be scanned has calculated onsets and no annotations.
-            yield (done, -1, 1, "warning", None, None, f"annotation scan failed: {why}", start, None, False)
-            yield from ((r, -1, -1, "record", r * d, None, None, start or 0.0, (r - 1) * d if r else None, False) for r in range(done, end))
+            if self.failfast:
+                raise
+            # What can't be scanned has no annotations, and calculated onsets that say so and why.
+            text = f"annotation scan failed: {why}"
+            yield (done, -1, 1, "warning", None, None, text, start, None, False)
+            yield from ((r, -1, -1, "record", r * d, None, text, 0.0, (r - 1) * d if r else None, True) for r in range(done, end))
 
 
 def read_edf(spark, paths, view: str = "recordings", **options):
