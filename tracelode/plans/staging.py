@@ -3,18 +3,33 @@
 R1 is ``events`` as one EDF+D file, R2 is ``lineitem`` as one plain EDF file for each
 l_returnflag, R3 is a corpus of edge cases, R4 is ``events`` as one EDF+C file whose lists and onsets are broken by rule. Files are written once per process and table
 folder, into the shared folder of the session.
+
+R1 is made by executors: they sort the table and write its rows, then the records of a range; the driver strings the ranges together.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelode.operators.hot import shared_dir
 from tracelode.sources import writer as w
-from tracelode.sources.files import expand, local
+from tracelode.sources.files import create_file, delete, expand, local, open_file
 
 _DONE: dict[tuple[str, str], list[str]] = {}
+#: Rows that a task sorts, and records that one writes.
+SORTED, RECORDS = 250_000, 2**14
+EVENT = np.dtype([("us", "<i8"), ("k", "<i4"), ("value", "<i2"), ("user", "<i2"), ("kind", "<i2")])
+KINDS = {"purchase": 1, "error": 2}
 
 
 def _folder(spark, sf_dir: str, kind: str) -> str:
@@ -24,37 +39,112 @@ def _folder(spark, sf_dir: str, kind: str) -> str:
 def staged(spark, sf_dir: str, kind: str) -> list[str]:
     key = (sf_dir, kind)
     if key not in _DONE or not all(expand(p).get(p) or p.endswith("absent.edf") for p in _DONE[key]):
-        _DONE[key] = {"r1": _r1, "r2": _r2, "r3": _r3, "r4": _r4, "bad": _bad}[kind](local(_folder(spark, sf_dir, kind)), sf_dir)
+        make = {"r1": partial(_r1, spark), "r2": _r2, "r3": _r3, "r4": _r4, "bad": _bad}[kind]
+        _DONE[key] = make(local(_folder(spark, sf_dir, kind)), sf_dir)
     return _DONE[key]
 
 
-def _r1(folder: str, sf_dir: str) -> list[str]:
-    t = pq.read_table(f"{sf_dir}/events.parquet").sort_by("event_id").to_pydict()
-    n = len(t["event_id"])
-    us = np.array(t["ts"], "datetime64[us]").astype(np.int64)
-    start = us.min() // 10**6 * 10**6
-    raw = (us - start) / 1e6
-    value = np.round(np.array(t["value"]) * 100).astype(np.int64) - 32768
-    k = np.array([int(p.split(":")[1].strip(" }")) for p in t["props"]])
-    tals = []
-    for r in range(n // 10):
-        parts = [w.tal(f"{raw[10 * r]:+.6f}")]
-        for i in range(10 * r, 10 * r + 10):
-            if t["event_type"][i] in ("purchase", "error"):
-                parts.append(w.tal(f"{raw[i]:+.6f}", t["event_type"][i], duration=str(k[i]) if t["event_type"][i] == "purchase" else None))
-        tals.append(b"".join(parts).ljust(320, b"\0"))
+def sorted_rows(df: DataFrame, order: list[str], pick, folder: str) -> dict[str, list[tuple[str, int]]]:
+    """Writes a table's rows in order, as files of fixed-width rows. ``pick`` turns an Arrow batch into arrays by key; of each key (file, rows), in order.
+
+    Only counts reach the driver. Nulls are refused, as a sample can't be one."""
+    schema = pa.schema([("part", pa.int32()), ("key", pa.string()), ("file", pa.string()), ("rows", pa.int64())])
+
+    def write(batches):
+        part, out = TaskContext.get().partitionId(), {}
+        with contextlib.ExitStack() as stack:
+            for b in batches:
+                if bad := [c for c, x in zip(b.schema.names, b.columns) if x.null_count]:
+                    raise ValueError(f"null in {', '.join(bad)}")
+                for key, x in pick(b).items():
+                    if key not in out:
+                        path = f"{folder}/rows-{key}-{part}-{uuid.uuid4().hex[:8]}"
+                        out[key] = [stack.enter_context(create_file(path)), path, 0]
+                    out[key][0].write(x.tobytes())
+                    out[key][2] += len(x)
+        yield pa.RecordBatch.from_pylist([{"part": part, "key": key, "file": path, "rows": n} for key, (_, path, n) in out.items()], schema)
+
+    parts = df.count() // SORTED + 1
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found: dict[str, list[tuple[str, int]]] = {}
+    for r in sorted(ordered.mapInArrow(write, "part INT, key STRING, file STRING, rows BIGINT").collect()):
+        found.setdefault(r.key, []).append((r.file, r.rows))
+    return found
+
+
+def record_files(spark: SparkSession, jobs: list, row: np.dtype, per_record: int, folder: str) -> list[list[str]]:
+    """Of each job (files of rows, function from rows to bytes) the files with its whole records, in order. The rows are deleted."""
+    blocks = []
+    for j, (parts, make) in enumerate(jobs):
+        ends = np.cumsum([n for _, n in parts])
+        whole = int(ends[-1]) // per_record * per_record if parts else 0
+        for a in range(0, whole, RECORDS * per_record):
+            b = min(a + RECORDS * per_record, whole)
+            spans = [(file, max(a - (e - n), 0), min(b, e) - max(a, e - n)) for (file, n), e in zip(parts, ends.tolist()) if e > a and e - n < b]
+            blocks.append((j, spans, make))
+    schema = pa.schema([("block", pa.int64()), ("file", pa.string())])
+
+    def write(batches):
+        for batch in batches:
+            for i in batch["id"].to_pylist():
+                _, spans, make = blocks[i]
+                data = bytearray()
+                for file, first, n in spans:
+                    with open_file(file) as f:
+                        f.seek(first * row.itemsize)
+                        data += f.read(n * row.itemsize)
+                path = w.write(f"{folder}/records-{i}-{uuid.uuid4().hex[:8]}", b"", make(np.frombuffer(data, row)))
+                yield pa.RecordBatch.from_pylist([{"block": i, "file": path}], schema)
+
+    out: list[list[str]] = [[] for _ in jobs]
+    if blocks:
+        for r in sorted(spark.range(0, len(blocks), 1, len(blocks)).mapInArrow(write, "block BIGINT, file STRING").collect()):
+            out[blocks[r.block][0]].append(r.file)
+    for parts, _ in jobs:
+        for file, _ in parts:
+            delete(file)
+    return out
+
+
+def _events(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = np.empty(len(b), EVENT)
+    out["us"] = b["ts"].cast(pa.int64())
+    out["value"] = np.round(b["value"].to_numpy() * 100).astype(np.int64) - 32768
+    out["user"] = b["user_id"].to_numpy().astype(np.int16)
+    out["k"] = pc.utf8_trim(pc.list_element(pc.split_pattern(b["props"], ":"), 1), " }").cast(pa.int32())
+    out["kind"] = b["kind"]
+    return {"events": out}
+
+
+def _event_records(start: int, x: np.ndarray) -> bytes:
+    raw, kind, k = ((x["us"] - start) / 1e6).tolist(), x["kind"], x["k"].tolist()
+    names = {v: name for name, v in KINDS.items()}
+    tals = [[w.tal(f"{t:+.6f}")] for t in raw[::10]]
+    for i in np.flatnonzero(kind).tolist():
+        tals[i // 10].append(w.tal(f"{raw[i]:+.6f}", names[int(kind[i])], duration=str(k[i]) if kind[i] == KINDS["purchase"] else None))
+    lists = [b"".join(parts).ljust(320, b"\0") for parts in tals]
+    if any(len(t) > 320 for t in lists):
+        raise ValueError("the lists of a record need more than 320 bytes")
+    return w.records([x["value"].reshape(-1, 10), x["user"].reshape(-1, 10), x["k"][::10].reshape(-1, 1), lists])
+
+
+def _r1(spark: SparkSession, folder: str, sf_dir: str) -> list[str]:
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.coalesce(*[F.when(F.col("event_type") == name, v) for name, v in KINDS.items()], F.lit(0))
+    t = t.select("event_id", "ts", "user_id", "value", "props", kind.alias("kind"))
+    start = t.agg(F.min("ts").alias("t")).toArrow()["t"].cast(pa.int64())[0].as_py() // 10**6 * 10**6
+    rows = sorted_rows(t, ["event_id"], _events, folder).get("events", [])
+    n = sum(k for _, k in rows)
     signals = [
         w.signal("value", 10, "0", "655.35", dimension="uV"),
         w.signal("user", 10, "-32768", "32767", dimension=""),
         w.signal("k", 1, "0", "99", "0", "99", dimension=""),
         w.signal("EDF Annotations", 160, "-1", "1", dimension=""),
     ]
-    begin = np.datetime64(int(start), "us").astype("datetime64[s]").item()
+    begin = np.datetime64(start, "us").astype("datetime64[s]").item()
     head = w.header(signals, n // 10, "10", date=begin.strftime("%d.%m.%y"), time=begin.strftime("%H.%M.%S"), reserved="EDF+D")
-    m = n // 10 * 10
-    user = np.array(t["user_id"])
-    body = w.records([value[:m].reshape(-1, 10), user[:m].reshape(-1, 10), k[:m:10].reshape(-1, 1), tals])
-    return [w.write(f"{folder}/events.edf", head, body)]
+    bodies = record_files(spark, [(rows, partial(_event_records, start))], EVENT, 10, folder)
+    return [w.join(f"{folder}/events.edf", head, bodies[0])]
 
 
 def _r2(folder: str, sf_dir: str) -> list[str]:

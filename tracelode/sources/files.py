@@ -41,6 +41,13 @@ def create_file(path: str):
     return found[0].open_output_stream(found[1])
 
 
+def delete(path: str) -> None:
+    if (found := _remote(path)) is None:
+        os.remove(local(path))
+    else:
+        found[0].delete_file(found[1])
+
+
 def expand(name: str, suffix: str = ".edf") -> dict[str, int]:
     """Sizes by path of the files that a name stands for: a file, a pattern, or a folder's files of the suffix. A file that isn't there has size 0."""
     if (found := _remote(name)) is not None:
