@@ -59,15 +59,35 @@ def test_events(spark, tmp_path, small_parts):
     assert made[1280:] == body and made[236:244].strip() == b"123" and [p.name for p in Path(path).parent.iterdir()] == ["events.edf"]
 
 
+def items(n: int) -> dict:
+    rng = np.random.default_rng(5)
+    whole = {c: rng.integers(0, m, n) for c, m in (("l_orderkey", n // 4), ("l_partkey", 50), ("l_suppkey", 9), ("l_linenumber", 3))}
+    return whole | {"l_quantity": rng.integers(1, 51, n) * 1.0, "l_discount": rng.integers(0, 11, n) / 100, "l_tax": rng.integers(0, 9, n) / 100, "l_returnflag": np.array(list("ANNRX"))[rng.integers(0, 5, n)]}
+
+
+def test_items(spark, tmp_path, small_parts):
+    x = items(4321)
+    shuffled(tmp_path / "lineitem.parquet", x)
+    order = np.lexsort([x[c] for c in ("l_tax", "l_discount", "l_quantity", "l_suppkey", "l_partkey", "l_linenumber", "l_orderkey")])
+    for flag, path in zip("ANR", staging.staged(spark, str(tmp_path), "r2"), strict=True):
+        mine = order[x["l_returnflag"][order] == flag]
+        n = len(mine) // 100
+        pick = lambda c, f=1: np.round(x[c][mine[: n * 100]] * f).astype(np.int64).reshape(-1, 100)
+        made = Path(path).read_bytes()
+        assert made[1280:] == w.records([pick("l_quantity"), pick("l_discount", 100), pick("l_tax", 100)[:, ::2], pick("l_linenumber")])
+        assert int(made[236:244]) == n and Path(path).name == f"{flag}.edf"
+
+
 def test_nulls_are_refused(spark, tmp_path):
     shuffled(tmp_path / "events.parquet", events(30) | {"user_id": pa.array([None, *range(29)])})
     with pytest.raises(Exception, match="null in user_id"):
         staging.staged(spark, str(tmp_path), "r1")
 
 
-@pytest.mark.parametrize("name", ["annotations"])
+@pytest.mark.parametrize("name", ["annotations", "flt_ordinary"])
 def test_the_driver_keeps_no_table(spark, tmp_path, name):
     from tracelode.plans.edf_queries import QUERIES
 
     shuffled(tmp_path / "events.parquet", events(50_000))
+    shuffled(tmp_path / "lineitem.parquet", items(200_000))
     assert peak_mb(lambda: QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()) < 10

@@ -4,7 +4,7 @@ R1 is ``events`` as one EDF+D file, R2 is ``lineitem`` as one plain EDF file for
 l_returnflag, R3 is a corpus of edge cases, R4 is ``events`` as one EDF+C file whose lists and onsets are broken by rule. Files are written once per process and table
 folder, into the shared folder of the session.
 
-R1 is made by executors: they sort the table and write its rows, then the records of a range; the driver strings the ranges together.
+R1 and R2 are made by executors: they sort the table and write its rows, then the records of a range; the driver strings the ranges together.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ _DONE: dict[tuple[str, str], list[str]] = {}
 SORTED, RECORDS = 250_000, 2**14
 EVENT = np.dtype([("us", "<i8"), ("k", "<i4"), ("value", "<i2"), ("user", "<i2"), ("kind", "<i2")])
 KINDS = {"purchase": 1, "error": 2}
+ITEM = np.dtype([(c, "<i2") for c in ("quantity", "discount", "tax", "linenumber")])
+FLAGS = ("A", "N", "R")
 
 
 def _folder(spark, sf_dir: str, kind: str) -> str:
@@ -39,7 +41,7 @@ def _folder(spark, sf_dir: str, kind: str) -> str:
 def staged(spark, sf_dir: str, kind: str) -> list[str]:
     key = (sf_dir, kind)
     if key not in _DONE or not all(expand(p).get(p) or p.endswith("absent.edf") for p in _DONE[key]):
-        make = {"r1": partial(_r1, spark), "r2": _r2, "r3": _r3, "r4": _r4, "bad": _bad}[kind]
+        make = {"r1": partial(_r1, spark), "r2": partial(_r2, spark), "r3": _r3, "r4": _r4, "bad": _bad}[kind]
         _DONE[key] = make(local(_folder(spark, sf_dir, kind)), sf_dir)
     return _DONE[key]
 
@@ -147,19 +149,29 @@ def _r1(spark: SparkSession, folder: str, sf_dir: str) -> list[str]:
     return [w.join(f"{folder}/events.edf", head, bodies[0])]
 
 
-def _r2(folder: str, sf_dir: str) -> list[str]:
+def _items(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = np.empty(len(b), ITEM)
+    for name, c, f in (("quantity", "l_quantity", 1), ("discount", "l_discount", 100), ("tax", "l_tax", 100), ("linenumber", "l_linenumber", 1)):
+        out[name] = np.round(b[c].to_numpy() * f).astype(np.int64)
+    flag = b["flag"].to_numpy()
+    return {name: x for i, name in enumerate(FLAGS) if len(x := out[flag == i])}
+
+
+def _item_records(x: np.ndarray) -> bytes:
+    quantity, discount, tax, line = (x[c].reshape(-1, 100) for c in ("quantity", "discount", "tax", "linenumber"))
+    return w.records([quantity, discount, tax[:, ::2], line])
+
+
+def _r2(spark: SparkSession, folder: str, sf_dir: str) -> list[str]:
     names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
-    t = pq.read_table(f"{sf_dir}/lineitem.parquet", columns=[*names, "l_returnflag"]).to_pandas()
-    out = []
-    for flag in ("A", "N", "R"):
-        x = t[t.l_returnflag == flag].sort_values(names)
-        n = len(x) // 100
-        x = x.iloc[: n * 100]
-        pick = lambda c, f=1: np.round(x[c].to_numpy() * f).astype(np.int64).reshape(-1, 100)
-        signals = [w.signal("quantity", 100, "-32768", "32767", dimension=""), w.signal("discount", 100, "0", "1", "0", "100", dimension=""), w.signal("tax", 50, "0", "1", "0", "100", dimension=""), w.signal("linenumber", 100, "-32768", "32767", dimension="")]
-        body = w.records([pick("l_quantity"), pick("l_discount", 100), pick("l_tax", 100)[:, ::2], pick("l_linenumber")])
-        out.append(w.write(f"{folder}/{flag}.edf", w.header(signals, n, "1", reserved=""), body))
-    return out
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_returnflag").isin(*FLAGS))
+    t = t.select(*names, F.coalesce(*[F.when(F.col("l_returnflag") == name, i) for i, name in enumerate(FLAGS)]).alias("flag"))
+    rows = sorted_rows(t, names, _items, folder)
+    rows = [rows.get(name, []) for name in FLAGS]
+    signals = [w.signal("quantity", 100, "-32768", "32767", dimension=""), w.signal("discount", 100, "0", "1", "0", "100", dimension=""), w.signal("tax", 50, "0", "1", "0", "100", dimension=""), w.signal("linenumber", 100, "-32768", "32767", dimension="")]
+    bodies = record_files(spark, [(x, _item_records) for x in rows], ITEM, 100, folder)
+    heads = [w.header(signals, sum(n for _, n in x) // 100, "1", reserved="") for x in rows]
+    return [w.join(f"{folder}/{name}.edf", head, body) for name, head, body in zip(FLAGS, heads, bodies)]
 
 
 def _r4(folder: str, sf_dir: str) -> list[str]:
