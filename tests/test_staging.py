@@ -84,7 +84,7 @@ def test_nulls_are_refused(spark, tmp_path):
         staging.staged(spark, str(tmp_path), "r1")
 
 
-@pytest.mark.parametrize("name", ["annotations", "flt_ordinary", "idx_negative", "idx_slice_physical", "onset_gap_check", "page_fleet", "prj_signal_labels", "proxy_fancy"])
+@pytest.mark.parametrize("name", ["annotations", "flt_ordinary", "idx_negative", "idx_slice_physical", "onset_gap_check", "page_fleet", "prj_signal_labels", "proxy_fancy", "proxy_row"])
 def test_the_driver_keeps_no_table(spark, tmp_path, name):
     from tracelode.plans.edf_queries import QUERIES
 
