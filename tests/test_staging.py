@@ -84,7 +84,7 @@ def test_nulls_are_refused(spark, tmp_path):
         staging.staged(spark, str(tmp_path), "r1")
 
 
-@pytest.mark.parametrize("name", ["annotations", "flt_ordinary", "idx_negative", "idx_slice_physical", "onset_gap_check", "page_fleet", "prj_signal_labels", "proxy_fancy", "proxy_row", "rate_groups", "sig_times", "sql_views", "src_recordings", "true_time_window", "annotations_with_duration", "flt_signal_by_label", "idx_point", "idx_strided", "page_digital", "page_physical", "proxy_col", "proxy_mixed", "proxy_scalar"])
+@pytest.mark.parametrize("name", ["annotations", "flt_ordinary", "idx_negative", "idx_slice_physical", "onset_gap_check", "page_fleet", "prj_signal_labels", "proxy_fancy", "proxy_row", "rate_groups", "sig_times", "sql_views", "src_recordings", "true_time_window", "annotations_with_duration", "flt_signal_by_label", "idx_point", "idx_strided", "page_digital", "page_physical", "proxy_col", "proxy_mixed", "proxy_scalar", "record_onsets"])
 def test_the_driver_keeps_no_table(spark, tmp_path, name):
     from tracelode.plans.edf_queries import QUERIES
 
